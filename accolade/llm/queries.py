@@ -6,7 +6,11 @@ from importlib import import_module
 
 #: Query name, module. Every module has query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op1_fingerprints": "op01_fingerprints",
+    "op2_bpe": "op02_bpe",
     "op5_ngram_join": "op05_ngram_join",
+    "op6_mixing": "op06_mixing",
+    "op9_language_id": "op09_language_id",
 }
 
 
