@@ -110,6 +110,27 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((out_e - out_s) * back + (ends - starts).astype(U64))
 
 
+class prefix_sums:
+    """Prefix sums of a buffer, case kept, from which any substring's hash follows."""
+
+    def __init__(self, raw: np.ndarray):
+        sums, carry, scale = np.empty(len(raw) + 1, U64), 0, 1
+        sums[0] = 0
+        for p in range(0, len(raw), _BLOCK):
+            part = raw[p : p + _BLOCK]
+            here = np.cumsum(_BYTE[part] * _POW[: len(part)], dtype=U64) * U64(scale) + U64(carry)
+            sums[p + 1 : p + 1 + len(part)] = here
+            carry, scale = int(here[-1]), scale * int(_POW[_BLOCK]) & _MASK
+        self.sums = sums
+        self.blocks = _powers(int(_INV[_BLOCK]), -(-len(raw) // _BLOCK) + 1)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return self.sums[places]
+
+    def unscale(self, places: np.ndarray) -> np.ndarray:
+        return _INV[places % _BLOCK] * self.blocks[places // _BLOCK]
+
+
 def shingles(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all runs of n words of each row, repeats included, with row bounds, and each row's word count.
 
