@@ -8,9 +8,14 @@ from importlib import import_module
 MODULES = {
     "op1_fingerprints": "op01_fingerprints",
     "op2_bpe": "op02_bpe",
+    "op3_suffix_dedup": "op03_suffix_dedup",
+    "op4_pii": "op04_pii",
     "op5_ngram_join": "op05_ngram_join",
     "op6_mixing": "op06_mixing",
+    "op7_media": "op07_media",
+    "op8_line_dedup": "op08_line_dedup",
     "op9_language_id": "op09_language_id",
+    "op10_warc": "op10_warc",
 }
 
 
