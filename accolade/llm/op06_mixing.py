@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accolade.llm._shared import stored, table
+from accolade.llm._shared import small, stored, table
 
 #: Weights by the source's place in code-point order, share of all words, most copies of a word.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -85,9 +85,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     keys = mix(docs).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), (F.col("whole") * (F.col("size") > 0).cast("int") + (F.col("extra") > 0).cast("int")).alias("mix_copies")).where("mix_copies > 0")
     keys = keys.groupBy("mix_id", "mix_source", "mix_size").agg(F.sum("mix_copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
+    keys = stored(keys, "mix-keys")
     same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (words(F.col("text")) == F.col("mix_size"))
     # Repeated rows share one key: each takes the least whole share of its copies.
-    taken = docs.join(keys, same).withColumn("mix_each", F.explode(F.expr("sequence(1L, greatest(1L, mix_copies div mix_rows))")))
+    taken = docs.join(small(keys, keys.count()), same).withColumn("mix_each", F.explode(F.expr("sequence(1L, greatest(1L, mix_copies div mix_rows))")))
     return taken.select(*docs.columns)
 
 

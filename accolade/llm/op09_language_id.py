@@ -14,8 +14,8 @@ no inputs of a prediction. Prediction reads every word of every text: texts are
 chunks whose transfer matrices are chained, which is exact and keeps the number of vector
 steps independent of the longest text.
 
-Defined cases: a text that is null or has no letter is `und` with score 0; a text whose letters
-make no word (none can) falls back to `und` too; without any labelled row everything is `und`.
+Defined cases: a text that is null or has no letter is `und` with score 0; without any labelled row
+everything is `und`.
 Repeated rows, ties (the label that sorts first wins) and further columns do not matter.
 """
 
@@ -254,32 +254,58 @@ def sample(docs: DataFrame, per_language: int = 400, window: int = 120) -> list[
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["rank"], r["lang"], r["text"]))]
 
 
+def _label(model: Model | None, A, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    """Labels and scores of the texts of a batch."""
+    raw, at = K.buffers(batch.column("text"))
+    starts, ends, row = _letter_words(raw, at)
+    n = batch.num_rows
+    count = np.bincount(row, minlength=n)
+    labels, scores = ["und"] * n, np.zeros(n)
+    if model is None or not len(starts):
+        return labels, scores
+    hashes = K.span_hashes(raw, starts, ends)
+    unique, which, word = np.unique(hashes, return_index=True, return_inverse=True)
+    x = _positive(model.scores(raw, starts[which], ends[which], unique))[word]
+    total = _sums_of_marginals(x, np.concatenate([[0], np.cumsum(count)]), A)
+    best = total.argmax(1)
+    is_ascii = np.concatenate([[0], np.cumsum(_LETTER[raw] & (raw < 128))])
+    ascii_letters = is_ascii[at[1:]] - is_ascii[at[:-1]]
+    for i in np.flatnonzero(count):
+        if ascii_letters[i] or any(map(str.isalpha, batch.column("text")[int(i)].as_py())):
+            labels[i], scores[i] = model.labels[best[i]], min(1.0, total[i, best[i]] / count[i])
+    return labels, scores
+
+
+def _labelled(shared, batches):
+    model = shared.value
+    A = np.exp(model.transitions - model.transitions.max()).astype(np.float32) if model else None
+    for whole in batches:
+        for batch in K.slices(whole, "text"):
+            yield batch, *_label(model, A, batch)
+
+
 def _predictor(shared):
     def run(batches):
-        model = shared.value
-        A = np.exp(model.transitions - model.transitions.max()).astype(np.float32) if model else None
-        for whole in batches:
-            for batch in K.slices(whole, "text"):
-                raw, at = K.buffers(batch.column("text"))
-                starts, ends, row = _letter_words(raw, at)
-                n = batch.num_rows
-                count = np.bincount(row, minlength=n)
-                labels, scores = ["und"] * n, np.zeros(n)
-                if model and len(starts):
-                    hashes = K.span_hashes(raw, starts, ends)
-                    unique, which, word = np.unique(hashes, return_index=True, return_inverse=True)
-                    x = _positive(model.scores(raw, starts[which], ends[which], unique))[word]
-                    total = _sums_of_marginals(x, np.concatenate([[0], np.cumsum(count)]), A)
-                    best = total.argmax(1)
-                    ascii_letters = np.add.reduceat(np.concatenate([(_LETTER & (np.arange(256) < 128))[raw], [False]]).astype(np.int64), np.minimum(at[:-1], len(raw))) * (np.diff(at) > 0)
-                    for i in np.flatnonzero(count):
-                        if ascii_letters[i] or any(map(str.isalpha, batch.column("text")[int(i)].as_py())):
-                            labels[i], scores[i] = model.labels[best[i]], min(1.0, total[i, best[i]] / count[i])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+        for batch, labels, scores in _labelled(shared, batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return run
+
+
+def _keeper(shared, least_score: float):
+    def run(batches):
+        for batch, labels, scores in _labelled(shared, batches):
+            yield batch.filter(pa.array([label != "und" and score >= least_score for label, score in zip(labels, scores, strict=True)], pa.bool_()))
 
     return run
 
 
+def keep_identified(docs: DataFrame, least_score: float = 0.4, per_language: int = 400, window: int = 120) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, ...) whose language is found with at least the given score; columns stay as they are."""
+    model = fit(sample(docs, per_language, window), window)
+    return docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(model), least_score), docs.schema)
+
+
 def predict_languages(docs: DataFrame, per_language: int = 400, window: int = 120) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of (doc_id, text, lang)."""
     spark = docs.sparkSession

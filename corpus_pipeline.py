@@ -1,8 +1,68 @@
-"""Corpus preparation in stages; each stage is stored and read again by the next."""
+"""Corpus preparation in five stages; each stage's result is stored and read again by the next.
 
-STAGES = []
+Languages that cannot be told go; repeated lines go, and documents that held nothing else; of each
+group of near duplicates the smallest doc_id stays; sources are mixed to their target weights; what
+is left is encoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from accolade.llm._shared import small, stored, table
+from accolade.llm.op02_bpe import encode_documents
+from accolade.llm.op05_ngram_join import ngram_components
+from accolade.llm.op06_mixing import mixed_documents
+from accolade.llm.op08_line_dedup import dedup_lines
+from accolade.llm.op09_language_id import keep_identified
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and those in which no language reaches a score of 0.4."""
+    return keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated lines, n_chars anew; a document that had text and is left with none goes."""
+    blank = lambda c: F.trim(F.translate(F.coalesce(c, F.lit("")), "\n\t\r", "   ")) == ""
+    kept = dedup_lines(docs).where(blank(F.col("text")) | ~blank(F.col("kept_text")))
+    text = F.col("kept_text")
+    new = {"text": text, "n_chars": F.when(text.isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the smallest doc_id; of rows that repeat a doc_id, one."""
+    classes = stored(ngram_components(docs.select("doc_id", "text")), "pipeline-classes")
+    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
+    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    repeated = twice.count()
+    if not repeated:
+        return kept
+    once = kept.join(small(twice, repeated), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(small(twice, repeated), "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and digests of every document's text."""
+    return encode_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("bpe", bpe)]
+
+#: A random field, an edit join and a tokenizer have no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
