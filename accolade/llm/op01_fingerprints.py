@@ -11,8 +11,8 @@ while a part of a document changes. Two fingerprints' likeness is the share of s
 hashes among those that either document has terms in.
 
 The next document of each is found without ordering the whole table: ids are cut into ranges by
-approximate quantiles, each range is ordered alone, and its last row takes the first of the next
-range.
+approximate quantiles, and evenly between two quantiles where there are too many rows for those
+alone; each range is ordered alone, and its last row takes the first of the next range.
 
 Defined cases: null texts are empty; a text with no lexicon term is hashed over all its terms, in
 the split subsets only; a text without terms has an empty fingerprint, alike (1.0) only to another
@@ -25,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accolade.llm._shared import stored, table
+from accolade.llm._shared import small, stored, table
 
 #: Shares of all documents that a lexicon term occurs in, at least and at most.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
-#: Bits of the table of lexicon terms; rows that one range of ids holds, and the most ranges.
-TABLE_BITS, RANGE_ROWS, MOST_RANGES = 22, 2000, 4096
+#: Bits of the table of lexicon terms; rows that one range of ids holds, and the most quantiles that cut them.
+TABLE_BITS, RANGE_ROWS, MOST_CUTS = 22, 2000, 1024
 LEVELS, CELLS = 4, 16
 
 
@@ -99,19 +99,24 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lexicon = lexicon_bits(docs, least, most)
     rows = docs.count()
-    ranges = min(MOST_RANGES, -(-rows // RANGE_ROWS)) or 1
-    cuts = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges).alias("cuts")).first()["cuts"] or []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
+    ranges = min(MOST_CUTS, -(-rows // RANGE_ROWS)) or 1
+    pieces = -(-rows // (ranges * RANGE_ROWS)) or 1
+    facts = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges).alias("cuts"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    cuts = sorted(set(facts["cuts"] or []))
+    constant = lambda values: F.array(*[F.lit(int(v)) for v in values]).cast("array<long>")
+    coarse = F.size(F.filter(constant(cuts), lambda b: b < F.col("doc_id")))
+    low, high = (F.get(constant(v), coarse).cast("double") for v in ([facts["least"] or 0, *cuts], [*cuts, facts["most"] or 0]))
+    fine = F.floor((F.col("doc_id") - low) / (high - low + 1) * pieces)
+    part = F.when(F.col("doc_id").isNull(), -1).otherwise(coarse * pieces + F.greatest(F.lit(0), F.least(F.lit(pieces - 1), fine)) if pieces > 1 else coarse).cast("long")
     tie = F.bitwise_not(F.xxhash64("text"))
     placed = docs.withColumn("part", part).withColumn("tie", tie)
     first = placed.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
     circle = Window.orderBy(F.desc("part"))
     whole = Window.partitionBy(F.lit(1)).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row a range, at most MOST_RANGES of them.
+    # One narrow row for each RANGE_ROWS documents.
     after = first.select("part", F.coalesce(F.lead("head").over(circle), F.first("head").over(whole)).alias("head"))
     after = stored(after.select(F.col("part").alias("of"), F.col("head.doc_id").alias("head_id"), F.col("head.tie").alias("head_tie")), "heads")
-    heads = docs.withColumn("tie", tie).join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["of"])
+    heads = docs.withColumn("tie", tie).join(small(after, after.count()), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["of"])
     heads = stored(with_cells(heads.select("of", "text"), "text", lexicon, "cells").select("of", F.struct("text", "cells").alias("head")), "heads")
     order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), F.desc("tie"))
     own = with_cells(placed, "text", lexicon, "cells")

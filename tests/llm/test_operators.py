@@ -59,7 +59,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_fingerprints(spark, texts):
+@pytest.mark.parametrize("cuts", [1024, 3])
+def test_fingerprints(spark, texts, monkeypatch, cuts):
+    monkeypatch.setattr(op01_fingerprints, "RANGE_ROWS", 9)
+    monkeypatch.setattr(op01_fingerprints, "MOST_CUTS", cuts)
     df = frame(spark, texts)
     got = op01_fingerprints.edited_fingerprints(df, 0.02, 0.9).collect()
     unsigned = lambda t: -int.from_bytes(__import__("xxhash").xxh64(t.encode(), seed=42).digest(), "big", signed=True)
