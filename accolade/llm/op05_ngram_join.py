@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from accolade.llm import textkit as K
 from accolade.llm._shared import components, small, stored, table
 
-#: Hash prefixes that are counted to find frequent n-grams, and how many of them the order may name.
-_BUCKET_BITS, _HOT_BUCKETS = 20, 65_536
+#: Hash prefixes that are counted to find frequent n-grams, and how many of them the order may name. The table has a fixed size.
+_BUCKET_BITS, _HOT_BUCKETS = 24, 262_144
 _U64 = np.uint64
 
 
@@ -61,23 +61,26 @@ def _hot_counter(n: int):
     """Buckets that a task saw far more often than chance would give, with their counts."""
 
     def run(batches):
-        seen = np.zeros(1 << _BUCKET_BITS, np.int64)
+        seen = np.zeros(1 << _BUCKET_BITS, np.int32)
+        total = 0
         for _, h, _ in _sets(batches, n):
-            seen += np.bincount(_bucket(h), minlength=len(seen))
-        mean = seen.mean()
-        hot = np.flatnonzero(seen > mean + 8 * np.sqrt(mean) + 8)
+            bucket, count = np.unique(_bucket(h).astype(np.int32), return_counts=True)
+            seen[bucket] += count.astype(np.int32)
+            total += len(h)
+        mean = total / len(seen)
+        hot = np.flatnonzero(seen > mean + 5 * np.sqrt(mean) + 2)
         if len(hot):
-            yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(seen[hot])], ["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(seen[hot].astype(np.int64))], ["bucket", "n"])
 
     return run
 
 
 def _hot_ranks(docs: DataFrame, n: int) -> np.ndarray:
-    """A rank for each bucket: 0, or more for the frequent ones. At most _HOT_BUCKETS small rows reach the driver."""
+    """A rank for each bucket: 0, or the count's magnitude for the frequent ones. At most _HOT_BUCKETS small rows reach the driver."""
     rows = docs.select("text").mapInArrow(_hot_counter(n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(_HOT_BUCKETS).collect()
-    ranks = np.zeros(1 << _BUCKET_BITS, np.int32)
-    for i, r in enumerate(reversed(rows)):
-        ranks[r["bucket"]] = i + 1
+    ranks = np.zeros(1 << _BUCKET_BITS, np.uint8)
+    for r in rows:
+        ranks[r["bucket"]] = min(255, int(4 * np.log2(1 + r["n"])))
     return ranks
 
 
@@ -99,17 +102,18 @@ def _bits(u: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def _encoder(n: int, ranks: np.ndarray, percent: int):
+def _traits(n: int):
+    """Size, digest and bitmap of each row's set."""
+
     def run(batches):
         for batch, h, bounds in _sets(batches, n):
-            sizes, keys, prefixes, bits = [], [], [], []
+            sizes, keys, bits = [], [], []
             for i in range(batch.num_rows):
                 u = np.unique(h[bounds[i] : bounds[i + 1]])
                 sizes.append(len(u))
                 keys.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                prefixes.append(_prefix(u, ranks, percent).tobytes() if len(u) else None)
                 bits.append(_bits(u) if len(u) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), _binary(keys), _binary(prefixes), _binary(bits)], ["doc_id", "size", "key", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), _binary(keys), _binary(bits)], ["doc_id", "size", "key", "bits"])
 
     return run
 
@@ -117,20 +121,19 @@ def _encoder(n: int, ranks: np.ndarray, percent: int):
 _HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
-def _blocker(bits: int):
-    """Cuts prefixes into blocks of columns: one packed row for each block that a batch touches."""
+def _blocker(n: int, ranks: np.ndarray, percent: int, bits: int):
+    """Cuts the first n-grams of each row's set into blocks of columns: one packed row for each block that a slice touches."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch, grams, bounds in _sets(batches, n):
             docs = batch.column("doc_id").to_numpy()
-            sizes = batch.column("size").to_numpy()
-            raw, at = K.buffers(batch.column("prefix"))
-            h = np.frombuffer(raw.tobytes(), "<u8")
-            count = np.diff(at) // 8
+            sets = [np.unique(grams[bounds[i] : bounds[i + 1]]) for i in range(len(docs))]
+            sizes = np.array([len(u) for u in sets], np.int64)
+            first = [_prefix(u, ranks, percent) if len(u) else u for u in sets]
+            count = np.array([len(u) for u in first], np.int64)
+            h = np.concatenate(first)
             row = np.repeat(np.arange(len(docs)), count)
-            pos = np.arange(len(h)) - np.repeat(at[:-1] // 8, count)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
             block = (h >> _U64(64 - bits)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
@@ -319,20 +322,22 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 75, block_bytes: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranks = _hot_ranks(docs, n)
-    sets = stored(docs.mapInArrow(_encoder(n, ranks, percent), "doc_id long, size long, key binary, prefix binary, bits binary"), "ngram-sets")
+    sets = stored(docs.mapInArrow(_traits(n), "doc_id long, size long, key binary, bits binary"), "ngram-sets")
     reps = sets.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     sized = stored(sets.select("doc_id", "size", "key").join(reps, "key", "left").select("doc_id", "size", "rep"), "ngram-sizes")
     ids = sized.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     entries, count = sized.where("doc_id = rep").agg(F.sum("size"), F.count("*")).first()
-    own = sets.where("key is not null").join(small(ids, count), "doc_id", "left_semi").select("doc_id", "size", "prefix")
+    own = docs.join(small(ids, count), "doc_id", "left_semi")
     bits = max(6, int((entries or 0) * (100 - percent) // 100 * _HEAD.itemsize // block_bytes).bit_length())
-    blocks = own.mapInArrow(_blocker(bits), "block long, packed binary").repartition(1 << bits, "block").sortWithinPartitions("block")
+    blocks = own.mapInArrow(_blocker(n, ranks, percent, bits), "block long, packed binary").repartition(1 << bits, "block").sortWithinPartitions("block")
     shared = stored(blocks.mapInArrow(_shared_columns, "h long, doc long, size int, pos int"), "ngram-columns")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        traits = sets.where("key is not null").select("doc_id", "size", "bits").dropDuplicates(["doc_id"])
+        pairs = stored(pairs.distinct(), "ngram-pairs")
+        near = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram-near")
+        traits = sets.where("key is not null").join(small(near, near.count()), "doc_id", "left_semi").select("doc_id", "size", "bits").dropDuplicates(["doc_id"])
         side = lambda s: traits.select(F.col("doc_id").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}"))
-        likely = stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_bitmap_bound(percent), "a long, b long"), "ngram-likely")
+        likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bitmap_bound(percent), "a long, b long"), "ngram-likely")
         wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         wanted = stored(wanted, "ngram-wanted")
         whole = docs.join(small(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_whole_sets(n), "doc_id long, grams binary").dropDuplicates(["doc_id"])
