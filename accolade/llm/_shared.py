@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +81,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-
-
-def fold_ids(ids: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(ids, dtype="<i8")

@@ -250,7 +250,7 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
             live = int(np.searchsorted(-sizes, -j, "right"))
             bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
             to_tail = np.argsort(bwt, kind="stable")
-            ended = int(np.searchsorted(bwt[to_tail], 1)) if len(bwt) < 4096 else int((bwt == 0).sum())
+            ended = int((bwt == 0).sum())
             starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
             tail, symbol = place[:live], by_end[j - 1, :live].astype(np.int64)
             nth = np.empty(live, np.int64)
