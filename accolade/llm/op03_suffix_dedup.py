@@ -245,13 +245,14 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
         by_end[0].tofile(bwt_file)
         np.zeros(m, np.uint8).tofile(lcp_file)
         place = np.arange(m)
+        counts = np.bincount(by_end[0], minlength=256)
         for j in range(1, top + 1):
             # Strings are ordered by length, so those that still have a symbol for this round stand first.
             live = int(np.searchsorted(-sizes, -j, "right"))
             bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
             to_tail = np.argsort(bwt, kind="stable")
-            ended = int((bwt == 0).sum())
-            starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
+            ended = int(counts[0])
+            starts = np.concatenate([[0], np.cumsum(counts)])
             tail, symbol = place[:live], by_end[j - 1, :live].astype(np.int64)
             nth = np.empty(live, np.int64)
             for c in np.unique(symbol):
@@ -278,6 +279,7 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
             out_b.tofile(bwt_file)
             out_l.tofile(lcp_file)
             place = new
+            counts += np.bincount(by_end[j, :live], minlength=256)
         bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
     # The mapping of all rows, then from each string's end to its start.
     to_tail = np.argsort(bwt, kind="stable")
