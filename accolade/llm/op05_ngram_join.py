@@ -209,10 +209,27 @@ def _columns(batches):
         yield left
 
 
-def _pairs_out(a: list[np.ndarray], b: list[np.ndarray]):
-    a, b = np.concatenate(a), np.concatenate(b)
-    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["a", "b"])
+class _Pairs:
+    """Pairs that a task has found, each once; what exceeds the bound is passed on and forgotten."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most, self.held, self.parts = most, 0, []
+
+    def add(self, a: np.ndarray, b: np.ndarray):
+        self.parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        self.held += len(a)
+        if self.held > self.most:
+            self.parts = [np.unique(np.concatenate(self.parts), axis=0)]
+            self.held = len(self.parts[0])
+            if self.held > self.most // 2:
+                yield from self.rest()
+
+    def rest(self):
+        if self.parts:
+            pair = np.unique(np.concatenate(self.parts), axis=0)
+            self.held, self.parts = 0, []
+            for i in range(0, len(pair), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[i : i + 100_000, 0])), pa.array(np.ascontiguousarray(pair[i : i + 100_000, 1]))], ["a", "b"])
 
 
 def _least_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,14 +240,17 @@ def _least_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _stars(percent: int):
+    """Pairs of each column's documents with its least one."""
+
     def run(batches):
+        found = _Pairs()
         for x in _columns(batches):
             first, end, least = _least_of(x)
             hub = np.repeat(least, end - first)
             i = np.arange(len(x))
             ok = (x["doc"] != x["doc"][hub]) & _may_reach(x, i, hub, percent)
-            if ok.any():
-                yield _pairs_out([x["doc"][hub[ok]]], [x["doc"][i[ok]]])
+            yield from found.add(x["doc"][hub[ok]], x["doc"][i[ok]])
+        yield from found.rest()
 
     return run
 
@@ -239,27 +259,23 @@ def _across(percent: int):
     """Pairs of a column between different components, except those with the column's least document."""
 
     def run(batches):
+        found = _Pairs()
         for x in _columns(batches):
             first, end, least = _least_of(x)
-            a, b, held = [], [], 0
             for s, e, hub in zip(first, end, least, strict=True):
                 comp = x["comp"][s:e]
                 if e - s < 3 or (comp == comp[0]).all():
                     continue
                 for i in range(s, e - 1):
+                    if i == hub:
+                        continue
                     # Sizes ascend in a column, so partners of i stand before the first that is too large.
                     j = np.arange(i + 1, s + int(np.searchsorted(x["size"][s:e], 100 * x["size"][i] // percent, "right")))
-                    j = j[(x["comp"][j] != x["comp"][i]) & (j != hub)] if i != hub else j[:0]
+                    j = j[(x["comp"][j] != x["comp"][i]) & (j != hub)]
                     j = j[_may_reach(x, np.full(len(j), i), j, percent)]
                     if len(j):
-                        a.append(np.full(len(j), x["doc"][i]))
-                        b.append(x["doc"][j])
-                        held += len(j)
-                    if held > 500_000:
-                        yield _pairs_out(a, b)
-                        a, b, held = [], [], 0
-            if a:
-                yield _pairs_out(a, b)
+                        yield from found.add(np.full(len(j), x["doc"][i]), x["doc"][j])
+        yield from found.rest()
 
     return run
 
@@ -356,7 +372,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     """doc_id, n_shingles and component_id for every row of documents (doc_id, text)."""
     sized, links = ngram_links(docs, n, percent)
     roots = components(links).select(F.col("node").alias("rep"), "root")
-    return sized.join(roots, "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    return sized.join(roots, "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
