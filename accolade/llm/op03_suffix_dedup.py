@@ -34,7 +34,7 @@ from accolade.llm._shared import small, stored, table
 
 U64 = np.uint64
 LENGTH, SEED_BYTES, MOST_WINDOWS = 200, 120, 256
-_BLOCK_BYTES, _STRING_BYTES, _RANGE = 8 << 20, 4 << 20, 64
+_BLOCK_BYTES, _STRING_BYTES, _RANGE = 8 << 20, 1 << 20, 64
 _ENTRY = np.dtype([("seed", "<u8"), ("content", "<u8"), ("text", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("copies", "<i4"), ("inner", "<i4")])
 
 
@@ -241,15 +241,16 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
         by_end[: size[s], i] = np.frombuffer(strings[s], np.uint8)[::-1] + 1
     sizes = size[order]
     with tempfile.TemporaryDirectory() as folder:
-        bwt_file, lcp_file = os.path.join(folder, "bwt"), os.path.join(folder, "lcp")
-        by_end[0].tofile(bwt_file)
-        np.zeros(m, np.uint8).tofile(lcp_file)
+        # Each round writes files of its own: to truncate and rewrite one makes file systems wait for the disk.
+        files = lambda j: (os.path.join(folder, f"bwt{j}"), os.path.join(folder, f"lcp{j}"))
+        by_end[0].tofile(files(0)[0])
+        np.zeros(m, np.uint8).tofile(files(0)[1])
         place = np.arange(m)
         counts = np.bincount(by_end[0], minlength=256)
         for j in range(1, top + 1):
             # Strings are ordered by length, so those that still have a symbol for this round stand first.
             live = int(np.searchsorted(-sizes, -j, "right"))
-            bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+            bwt, lcp = (np.fromfile(f, np.uint8) for f in files(j - 1))
             to_tail = np.argsort(bwt, kind="stable")
             ended = int(counts[0])
             starts = np.concatenate([[0], np.cumsum(counts)])
@@ -276,11 +277,12 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
             inside = follow < total
             out_l[follow[inside]] = behind[inside]
             out_l[new] = before
-            out_b.tofile(bwt_file)
-            out_l.tofile(lcp_file)
+            for out, new_file, old_file in zip((out_b, out_l), files(j), files(j - 1), strict=True):
+                out.tofile(new_file)
+                os.unlink(old_file)
             place = new
             counts += np.bincount(by_end[j, :live], minlength=256)
-        bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+        bwt, lcp = (np.fromfile(f, np.uint8) for f in files(top))
     # The mapping of all rows, then from each string's end to its start.
     to_tail = np.argsort(bwt, kind="stable")
     row_of = np.empty(len(bwt), np.int32)
