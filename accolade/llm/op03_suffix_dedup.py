@@ -33,8 +33,8 @@ from accolade.llm import textkit as K
 from accolade.llm._shared import small, stored, table
 
 U64 = np.uint64
-LENGTH, SEED_BYTES, MOST_WINDOWS = 200, 120, 256
-_BLOCK_BYTES, _STRING_BYTES, _RANGE = 8 << 20, 1 << 20, 64
+LENGTH, SEED_BYTES, MOST_WINDOWS = 200, 150, 256
+_BLOCK_BYTES, _STRING_BYTES, _RANGE = 8 << 20, 1 << 20, 32
 _ENTRY = np.dtype([("seed", "<u8"), ("content", "<u8"), ("text", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("copies", "<i4"), ("inner", "<i4")])
 
 
