@@ -298,6 +298,45 @@ def test_line_dedup(spark):
     assert op08_line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_line_dedup_edits_grow_with_length(spark):
+    r = random.Random(16)
+    words = ["".join(r.choice("abcdefghé") for _ in range(r.randint(3, 9))) for _ in range(300)]
+    base = [" ".join(r.choice(words) for _ in range(n)) for n in (9, 10, 12, 18, 20, 35, 40, 42, 70, 90, 160, 170)]
+
+    def mutate(s):
+        most, s = len(s) // 20, list(s)
+        if r.random() < 0.3:  # spread evenly, so that only one segment can be left whole
+            at, n = range(9, len(s), 19), most + r.randint(0, 1)
+            for i in list(at)[:n]:
+                s[i] = "#"
+        else:
+            for _ in range(r.randint(0, most + 2)):
+                i = r.randrange(len(s))
+                s[i : i + r.randint(0, 1)] = r.choice(["", "a", "é"])
+        return "".join(s)
+
+    docs = [(i, "\n".join(mutate(r.choice(base)) for _ in range(3))) for i in range(30)]
+    seen, want = [], []
+    for d, t in docs:
+        kept, near, same = [], 0, 0
+        for x in t.split("\n"):
+            if x in seen:
+                same += 1
+                continue
+            most = [max(2, min(len(x), len(y)) // 20) for y in seen]
+            is_near = any(abs(len(x) - len(y)) <= k and edits(x, y) <= k for y, k in zip(seen, most, strict=True))
+            seen.append(x)
+            near += is_near
+            kept += [] if is_near else [x]
+        want.append((d, 3, same, near, "\n".join(kept)))
+    assert sum(w[3] for w in want) > 20 and sum(len(w[4].split("\n")) for w in want) > 12
+    assert rows(op08_line_dedup.dedup_lines(frame(spark, docs)), "doc_id", "n_lines", "n_same", "n_near", "kept_text") == sorted(want, key=repr)
+    for _ in range(300):
+        a, b = r.choice(base)[:60], r.choice(base)[:60]
+        k = edits(a, b)
+        assert op08_line_dedup.within(a, b, k) and not (k and op08_line_dedup.within(a, b, k - 1))
+
+
 def test_language_field(spark):
     r = random.Random(8)
     vocabulary = {lang: [a + b for a in start for b in end] for lang, start, end in (("aa", ["ka", "to", "mi", "ru"], ["ling", "sto", "ve"]), ("bb", ["ez", "oq", "ul", "yi"], ["ción", "ar", "ñe"]), ("cc", ["schn", "br", "gl", "pf"], ["ung", "heit", "öß"]))}
