@@ -14,7 +14,7 @@ from accolade.llm._shared import small, stored, table
 from accolade.llm.op02_bpe import encode_documents
 from accolade.llm.op05_ngram_join import ngram_components
 from accolade.llm.op06_mixing import mixed_documents
-from accolade.llm.op08_line_dedup import dedup_lines
+from accolade.llm.op08_line_dedup import SHORTEST, dedup_lines
 from accolade.llm.op09_language_id import keep_identified
 
 
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines, n_chars anew; a document that had text and is left with none goes."""
     blank = lambda c: F.trim(F.translate(F.coalesce(c, F.lit("")), "\n\t\r", "   ")) == ""
-    kept = dedup_lines(docs).where(blank(F.col("text")) | ~blank(F.col("kept_text")))
+    kept = dedup_lines(docs, shortest=SHORTEST).where(blank(F.col("text")) | ~blank(F.col("kept_text")))
     text = F.col("kept_text")
     new = {"text": text, "n_chars": F.when(text.isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)}
     return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -337,6 +337,16 @@ def test_line_dedup_edits_grow_with_length(spark):
         assert op08_line_dedup.within(a, b, k) and not (k and op08_line_dedup.within(a, b, k - 1))
 
 
+def test_line_dedup_short_repeats(spark, tmp_path):
+    docs = [(1, "And ornd.\n\nx"), (2, " And ornd.\t\n \nAnd ornd!"), (3, "x\nOf, edti oner.\nx"), (4, "Of, edti oner."), (5, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op08_line_dedup.query(spark, str(tmp_path))
+    kept = {1: "And ornd.\n\nx", 2: " \nAnd ornd!", 3: "Of, edti oner.", 4: "", 5: ""}
+    same = {1: 0, 2: 1, 3: 2, 4: 1, 5: 0}
+    want = [(d, same[d], 0, hashlib.sha256(kept[d].encode()).hexdigest()) for d, _ in docs]
+    assert rows(got, "doc_id", "n_same", "n_near", "kept_sha256") == sorted(want, key=repr)
+
+
 def test_language_field(spark):
     r = random.Random(8)
     vocabulary = {lang: [a + b for a in start for b in end] for lang, start, end in (("aa", ["ka", "to", "mi", "ru"], ["ling", "sto", "ve"]), ("bb", ["ez", "oq", "ul", "yi"], ["ción", "ar", "ñe"]), ("cc", ["schn", "br", "gl", "pf"], ["ung", "heit", "öß"]))}
