@@ -1,7 +1,8 @@
 """I-Match document fingerprints, in DataFrame operations only.
 
 Terms are runs of letters and digits, lower-cased and hashed. Document frequencies are counted
-over all texts; the lexicon keeps the terms whose inverse document frequency lies in a band. The
+over all texts, where the texts of a large group of near copies (equal in four minima of their terms'
+hashes) weigh together as one; the lexicon keeps the terms whose inverse document frequency lies in a band. The
 band's lower frequency is a share f of all documents, so at most (mean terms a document) / f
 terms pass, however many documents there are; what reaches every task is a fixed table of bits
 by term hash. A document's lexicon terms, distinct and sorted, are hashed over randomised subsets
@@ -14,8 +15,8 @@ The next document of each is found without ordering the whole table: ids are cut
 approximate quantiles, and evenly between two quantiles where there are too many rows for those
 alone; each range is ordered alone, and its last row takes the first of the next range.
 
-Defined cases: null texts are empty; a text with no lexicon term is hashed over all its terms, in
-the split subsets only; a text without terms has an empty fingerprint, alike (1.0) only to another
+Defined cases: null texts are empty; a text of whose terms less than a tenth, or none, are in the
+lexicon is hashed over all its terms; a text without terms has an empty fingerprint, alike (1.0) only to another
 such; rows with a null doc_id come last, rows with equal doc_id are ordered by a hash of their
 texts; a single row is its own next one; further columns are ignored.
 """
@@ -32,6 +33,8 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
 #: Bits of the table of lexicon terms; rows that one range of ids holds, and the most quantiles that cut them.
 TABLE_BITS, RANGE_ROWS, MOST_CUTS = 22, 2000, 1024
 LEVELS, CELLS = 4, 16
+#: A text with a smaller share of its terms in the lexicon is hashed over all; minima that near copies share; units of a document's weight.
+FEW_SHARE, MINIMA, UNITS = 0.1, 4, 1 << 20
 
 
 def terms(text: Column) -> Column:
@@ -43,8 +46,17 @@ def terms(text: Column) -> Column:
 def lexicon_bits(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> Column:
     """A constant array of 64-bit words with a bit set for each lexicon term's hash; its size is the same for any input."""
     size = docs.count()
+    found = docs.select(terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    found = found.withColumn("copy", F.xxhash64(*[F.array_min(F.transform("terms", lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(MINIMA)]))
+    # Groups beyond the least share of all rows: at most 1 / least of them, whatever the number of rows.
+    groups = found.where(F.size("terms") > 0).groupBy("copy").agg(F.count("*").alias("members")).where(F.col("members") > max(1.0, least * size))
+    groups = stored(groups, "copies")
+    many, members = groups.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
+    size -= members - many
     low, high = max(2, int(least * size)), max(2.0, most * size)
-    counts = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.coalesce(F.greatest(F.lit(1), F.floor(F.lit(UNITS) / F.col("members"))), F.lit(UNITS)).cast("long")
+    weighed = found.join(small(groups, many), "copy", "left").select(F.explode("terms").alias("term"), weight.alias("weight"))
+    counts = weighed.groupBy("term").agg((F.sum("weight") / UNITS).alias("df"))
     slot = F.col("term").bitwiseAND((1 << TABLE_BITS) - 1)
     chosen = counts.where((F.col("df") >= low) & (F.col("df") <= high)).select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(term & 63 as int))").alias("bit"))
     chosen = chosen.groupBy("word").agg(F.bit_or("bit").alias("bits"))
@@ -68,12 +80,11 @@ def with_cells(df: DataFrame, text: str, bits: Column, out: str) -> DataFrame:
     t, s = f"{out}_all", f"{out}_own"
     known = lambda h: F.getbit(F.element_at(bits, (F.shiftright(h.bitwiseAND((1 << TABLE_BITS) - 1), 6) + 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
     df = df.withColumn(t, terms(F.col(text))).withColumn(s, F.array_sort(F.filter(t, known)))
-    df = df.withColumn(f"{out}_0", F.when(F.size(s) > 0, F.col(s)).otherwise(F.array_sort(F.col(t))))
+    df = df.withColumn(f"{out}_0", F.when((F.size(s) > 0) & (F.size(s) >= FEW_SHARE * F.size(t)), F.col(s)).otherwise(F.array_sort(F.col(t))))
     cells = []
     for k in range(LEVELS):
         if k:
-            base = s if k == 1 else f"{out}_{k - 1}"
-            df = df.withColumn(f"{out}_{k}", F.filter(base, _bits_equal(24 + 2 * k, 3, 0)))
+            df = df.withColumn(f"{out}_{k}", F.filter(f"{out}_{k - 1}", _bits_equal(24 + 2 * k, 3, 0)))
         subsets = F.array(*[F.filter(f"{out}_{k}", _bits_equal(34 + 4 * k, CELLS - 1, c)) for c in range(CELLS)])
         cells.append(F.transform(subsets, lambda x: F.when(F.size(x) > 0, _signed(F.xxhash64(x))).otherwise("")))
     return df.withColumn(out, F.concat(*cells)).drop(t, s, *[f"{out}_{k}" for k in range(LEVELS)])

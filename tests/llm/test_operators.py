@@ -83,6 +83,27 @@ def test_fingerprints(spark, texts, monkeypatch, cuts):
     assert op01_fingerprints.edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_fingerprints_of_a_large_group_of_copies(spark):
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    base = r.sample(words, 146)
+    docs = [(2 * i, " ".join(r.choice(words) for _ in range(100))) for i in range(400)]
+    for i in range(200):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(146)] = r.choice(words)
+        docs.append((2 * i + 1, " ".join(w)))
+    got = op01_fingerprints.fingerprints(frame(spark, docs))
+    cells = [row["cells"] for row in got.where("doc_id % 2 = 1").orderBy("doc_id").collect()]
+    like = []
+    for a, b in zip(cells, cells[1:]):
+        pairs = [(x, y) for x, y in zip(a, b) if x or y]
+        like.append(sum(x == y for x, y in pairs) / len(pairs))
+    # Many terms count, so no pair of copies is taken for different and nearly all are alike.
+    assert min(sum(x != "" for x in c) for c in cells) >= 20
+    assert min(like) > 0.3 and sorted(like)[len(like) // 2] > 0.7
+
+
 def test_bpe_matches_library(spark, texts):
     from tokenizers import Tokenizer
 
