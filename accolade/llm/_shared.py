@@ -9,17 +9,36 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and has at most this many narrow rows.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only when it was counted and has at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Bytes that a batch handed to a Python worker holds, however long the texts are (a batch has one row at least).
+_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return in_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session hands texts to Python workers in batches of bounded bytes, unless it sets a bound of its own below ours."""
+    conf, (name, most) = df.sparkSession.conf, _BATCH_BYTES
+    now = conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > most:
+        conf.set(name, str(most))
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share; a temporary one of this process only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder named by spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session (tests) gets a temporary folder; a cluster's session raises, as
+    no folder of one machine would do.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _own_dir()
     return found.rstrip("/")
 
 
@@ -37,20 +56,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+def drop_stored(*frames: DataFrame) -> None:
+    """Deletes stored() tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for a side that was counted and is within the bound; beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
+    """A broadcast hint for a side that was counted and is within the bounds of rows and bytes; beyond them the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -60,7 +81,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     there are links, until the number of links and the sum of their ends stay the same. Every
     step is a stored table, so neither lineage nor driver memory grows. A node with many
     neighbours is safe: its neighbourhood is reduced to a minimum by partial aggregation.
-    Null ends are ignored; self links make a node its own root.
+    Null ends are ignored; self links make a node its own root. Steps halve the distances to the root, so
+    `rounds` is far beyond what any number of links takes; without a fixed point by then it raises.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and a is not null and b is not null").distinct()
     edges = stored(edges, "edges")
@@ -81,6 +103,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = after
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         before = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    raise RuntimeError(f"no fixed point of the components after {rounds} rounds")

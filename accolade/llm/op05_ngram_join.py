@@ -1,25 +1,31 @@
-"""N-gram Jaccard join as a blocked sparse matrix product.
-
-The corpus is a sparse matrix of documents by word n-grams. Its columns are cut into blocks by
-hash range; each block arrives as packed arrays of (hash, document, set size, position), and
-the product of a block with itself gives the documents that share an n-gram in it. A pair whose
-overlap cannot reach the bound that the two set sizes give is discarded in the block:
-
-* a document enters with the first n - ceil(t n) + 1 n-grams of a fixed global order only, as
-  a partner must share one of those (n-grams that the hot-bucket count shows to be frequent
-  come last in the order, so their columns are rarely needed);
+"""N-gram Jaccard join as a blocked sparse matrix product with accumulated overlap counts.
+
+The corpus is a sparse matrix of distinct n-gram sets by word n-grams. Its columns are cut into
+blocks by hash range; each block arrives as packed arrays of (hash, set, set size, position). A
+block's product with itself gives, for pairs of sets, the number of its columns that both have;
+these counts are added up over all blocks, and a pair is discarded when its count and what can
+still be shared outside the counted columns stay below the bound that both sizes give:
+
+* a set enters with the first n - ceil(t n) + 1 n-grams of a fixed global order only (n-grams
+  that a count of hash buckets shows to be frequent come last). Of two sets one leaves that part first, so
+  outside the counted columns they share at most as many as that one has left, and a pair must have
+  t (a + b) / (1 + t) in all;
 * sizes must be within the threshold of each other;
-* the position in both orders bounds the overlap from above;
-* fixed-width bitmaps of both sets bound it again before any whole set is moved.
+* the two positions of a shared n-gram bound the overlap on both sides of it.
+
+What is left is counted exactly on whole sets. So that a group of thousands of near copies does not
+become all its pairs, the first product is one of columns by their least set only; the components
+of the links found so are put back into the columns, and the second, complete product
+leaves out pairs within a component. A column of many sets is cut into tiles for the second product, so no task
+holds more than two tiles of a column; the first one streams.
 
-What is left is counted exactly. So that a group of thousands of near copies does not become all
-its pairs, each column first gives only the pairs with its least document; the components of
-the links found so are put back into the columns, and only pairs between two components
-remain to be tried. A pair that is never tried thus joins documents already connected.
+A set is known by a 64-bit digest of its sorted n-gram hashes, so equal texts are one vertex whatever their
+doc_id, and rows that repeat a doc_id with other texts stay apart.
 
 Defined cases: a null or blank text has size 0 and no link, its own id is its component; equal
-sets are one vertex whatever the order or repetition of rows; a row with a null doc_id gets its
-size and a null component; further columns of the input are ignored.
+sets are linked whatever the order or repetition of rows; of rows that share a doc_id each has its own
+text's size and component; links also run through rows with a null doc_id, which get the smallest known doc_id that they
+reach, or null; an empty table gives no rows; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accolade.llm import textkit as K
-from accolade.llm._shared import components, small, stored, table
+from accolade.llm._shared import components, drop_stored, small, stored, table
 
 #: Hash prefixes that are counted to find frequent n-grams, and how many of them the order may name. The table has a fixed size.
-_BUCKET_BITS, _HOT_BUCKETS = 24, 262_144
+_BUCKET_BITS, _HOT_BUCKETS = 20, 65_536
+#: Sets of a column that one tile holds.
+_TILE = 1024
 _U64 = np.uint64
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> _U64(64 - _BUCKET_BITS)).astype(np.int64)
+    return (h >> _U64(64 - _BUCKET_BITS)).astype(np.int32)
 
 
 def _binary(parts: list[bytes]) -> pa.Array:
@@ -49,7 +57,7 @@ def _binary(parts: list[bytes]) -> pa.Array:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
-    """(batch, word hashes, bounds of rows) for slices of a moderate size."""
+    """(batch, n-gram hashes, bounds of rows) for slices of a moderate size."""
     for whole in batches:
         for batch in K.slices(whole, "text"):
             raw, at = K.buffers(batch.column("text"))
@@ -57,15 +65,30 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int):
             yield batch, h, bounds
 
 
+def _vertex(u: np.ndarray) -> int:
+    """The name of a set, from its sorted hashes."""
+    return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _sizes(n: int):
+    """Size and vertex of each row's set."""
+
+    def run(batches):
+        for batch, h, bounds in _sets(batches, n):
+            sets = [np.unique(h[bounds[i] : bounds[i + 1]]) for i in range(batch.num_rows)]
+            sizes, names = [len(u) for u in sets], [_vertex(u) if len(u) else None for u in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "text_hash", "size", "vertex"])
+
+    return run
+
+
 def _hot_counter(n: int):
     """Buckets that a task saw far more often than chance would give, with their counts."""
 
     def run(batches):
-        seen = np.zeros(1 << _BUCKET_BITS, np.int32)
-        total = 0
+        seen, total = np.zeros(1 << _BUCKET_BITS, np.int32), 0
         for _, h, _ in _sets(batches, n):
-            bucket, count = np.unique(_bucket(h).astype(np.int32), return_counts=True)
-            seen[bucket] += count.astype(np.int32)
+            seen += np.bincount(_bucket(h), minlength=len(seen)).astype(np.int32)
             total += len(h)
         mean = total / len(seen)
         hot = np.flatnonzero(seen > mean + 5 * np.sqrt(mean) + 2)
@@ -92,57 +115,41 @@ def _prefix(u: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
     return u[: size - -(-percent * size // 100) + 1]
 
 
-def _bits(u: np.ndarray) -> bytes:
-    """A bitmap of four bits or more an element; its width is a power of two, of 256 bytes at least."""
-    width = 2048
-    while width < 4 * len(u):
-        width *= 2
-    out = np.zeros(width, np.uint8)
-    out[(u & _U64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
-
-
-def _traits(n: int):
-    """Size, digest and bitmap of each row's set."""
-
-    def run(batches):
-        for batch, h, bounds in _sets(batches, n):
-            sizes, keys, bits = [], [], []
-            for i in range(batch.num_rows):
-                u = np.unique(h[bounds[i] : bounds[i + 1]])
-                sizes.append(len(u))
-                keys.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                bits.append(_bits(u) if len(u) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), _binary(keys), _binary(bits)], ["doc_id", "size", "key", "bits"])
-
-    return run
-
-
 _HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
 def _blocker(n: int, ranks: np.ndarray, percent: int, bits: int):
-    """Cuts the first n-grams of each row's set into blocks of columns: one packed row for each block that a slice touches."""
+    """Cuts the first n-grams of each distinct set into blocks of columns: one packed row for each block that a slice touches."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch, grams, bounds in _sets(batches, n):
-            docs = batch.column("doc_id").to_numpy()
-            sets = [np.unique(grams[bounds[i] : bounds[i + 1]]) for i in range(len(docs))]
-            sizes = np.array([len(u) for u in sets], np.int64)
-            first = [_prefix(u, ranks, percent) if len(u) else u for u in sets]
+            names, sizes, first = [], [], []
+            for i in range(batch.num_rows):
+                u = np.unique(grams[bounds[i] : bounds[i + 1]])
+                name = _vertex(u) if len(u) else None
+                # A task passes on one of equal sets.
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    sizes.append(len(u))
+                    first.append(_prefix(u, ranks, percent))
+            if not names:
+                continue
+            docs, sizes = np.array(names, np.int64), np.array(sizes, np.int32)
             count = np.array([len(u) for u in first], np.int64)
             h = np.concatenate(first)
             row = np.repeat(np.arange(len(docs)), count)
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+            pos = (np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)).astype("<i4")
             block = (h >> _U64(64 - bits)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-            names, packed = [], []
+            at, packed = [], []
             for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 o = order[i:j]
-                names.append(int(block[o[0]]))
-                packed.append(b"".join((h[o].tobytes(), docs[row[o]].astype("<i8").tobytes(), sizes[row[o]].astype("<i4").tobytes(), pos[o].astype("<i4").tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _binary(packed)], ["block", "packed"])
+                at.append(int(block[o[0]]))
+                packed.append(b"".join((h[o].tobytes(), docs[row[o]].tobytes(), sizes[row[o]].tobytes(), pos[o].tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), _binary(packed)], ["block", "packed"])
 
     return run
 
@@ -160,17 +167,18 @@ def _unpack(parts: list[bytes]) -> np.ndarray:
 
 
 def _shared_columns(batches):
-    """The entries of a block whose column holds two documents or more; blocks come one after another."""
+    """The entries of a block whose column holds two sets or more, each set once; blocks come one after another."""
 
     def flush(parts):
         x = _unpack(parts)
-        x = x[np.lexsort((x["doc"], x["size"], x["h"]))]
+        x = x[np.lexsort((x["doc"], x["h"]))]
+        x = x[np.r_[True, (x["h"][1:] != x["h"][:-1]) | (x["doc"][1:] != x["doc"][:-1])]]
         first = np.flatnonzero(np.r_[True, x["h"][1:] != x["h"][:-1]])
         length = np.diff(np.r_[first, len(x)])
         x = x[np.repeat(length > 1, length)]
         for i in range(0, len(x), 200_000):
             y = x[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(y["h"].view("<i8")), pa.array(np.ascontiguousarray(y["doc"])), pa.array(np.ascontiguousarray(y["size"])), pa.array(np.ascontiguousarray(y["pos"]))], ["h", "doc", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(y["h"].copy().view("<i8")), *[pa.array(np.ascontiguousarray(y[c])) for c in ("doc", "size", "pos")]], ["h", "doc", "size", "pos"])
 
     now, parts = None, []
     for batch in batches:
@@ -185,129 +193,128 @@ def _shared_columns(batches):
 
 
 def _may_reach(x: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and positions leave room for enough overlap: o >= t (a + b) / (100 + t), in percent."""
-    a, b = x["size"][i].astype(np.int64), x["size"][j].astype(np.int64)
-    most = 1 + np.minimum(a - x["pos"][i] - 1, b - x["pos"][j] - 1)
+    """Whether sizes and positions of a shared column leave room for enough overlap: o >= t (a + b) / (1 + t), t in percent."""
+    a, b, p, q = x["size"][i], x["size"][j], x["pos"][i], x["pos"][j]
+    most = np.minimum(p, q) + 1 + np.minimum(a - p, b - q) - 1
     return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * most >= percent * (a + b))
 
 
-def _columns(batches):
-    """Whole columns, in runs of many: the input is sorted by h, so only the column at a batch's end is carried over."""
-    left = None
-    for batch in batches:
-        x = np.empty(batch.num_rows, [("h", "<i8"), ("doc", "<i8"), ("size", "<i8"), ("pos", "<i8"), ("comp", "<i8")])
-        for name in x.dtype.names:
-            x[name] = batch.column(name).to_numpy(zero_copy_only=False) if name in batch.schema.names else 0
-        x = x if left is None else np.concatenate([left, x])
-        if not len(x):
-            continue
-        cut = int(np.searchsorted(x["h"], x["h"][-1], "left"))
-        left = x[cut:]
-        if cut:
-            yield x[:cut]
-    if left is not None and len(left):
-        yield left
-
+class _Counts:
+    """Overlap counts of pairs that a task has found; what exceeds the bound is passed on, to be added up with the other tasks'."""
 
-class _Pairs:
-    """Pairs that a task has found, each once; what exceeds the bound is passed on and forgotten."""
+    _NAMES = ("a", "b", "size_a", "size_b", "n")
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         self.most, self.held, self.parts = most, 0, []
 
-    def add(self, a: np.ndarray, b: np.ndarray):
-        self.parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        self.held += len(a)
+    def add(self, x: np.ndarray, i: np.ndarray, j: np.ndarray):
+        """One column more for the pairs x[i], x[j]."""
+        swap = x["doc"][i] > x["doc"][j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        self.parts.append([x["doc"][i], x["doc"][j], x["size"][i], x["size"][j], np.ones(len(i), np.int64)])
+        self.held += len(i)
         if self.held > self.most:
-            self.parts = [np.unique(np.concatenate(self.parts), axis=0)]
-            self.held = len(self.parts[0])
+            self._sum()
             if self.held > self.most // 2:
                 yield from self.rest()
 
+    def _sum(self):
+        a, b, size_a, size_b, n = (np.concatenate([p[k] for p in self.parts]) for k in range(5))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        self.parts = [[a[first], b[first], size_a[order][first], size_b[order][first], np.add.reduceat(n[order], first) if len(a) else n]]
+        self.held = len(first)
+
     def rest(self):
         if self.parts:
-            pair = np.unique(np.concatenate(self.parts), axis=0)
-            self.held, self.parts = 0, []
-            for i in range(0, len(pair), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[i : i + 100_000, 0])), pa.array(np.ascontiguousarray(pair[i : i + 100_000, 1]))], ["a", "b"])
-
+            self._sum()
+            columns, (self.held, self.parts) = self.parts[0], (0, [])
+            for i in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in columns], list(self._NAMES))
 
-def _least_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of each column and the index of its entry with the least document."""
-    first = np.flatnonzero(np.r_[True, x["h"][1:] != x["h"][:-1]])
-    order = np.lexsort((x["doc"], x["h"]))
-    return first, np.r_[first[1:], len(x)], order[first]
 
+_PAIR = "a long, b long, size_a long, size_b long, n long"
+_ENTRY = np.dtype([("h", "<i8"), ("doc", "<i8"), ("size", "<i8"), ("pos", "<i8"), ("comp", "<i8"), ("side", "<i8")])
 
-def _stars(percent: int):
-    """Pairs of each column's documents with its least one."""
-
-    def run(batches):
-        found = _Pairs()
-        for x in _columns(batches):
-            first, end, least = _least_of(x)
-            hub = np.repeat(least, end - first)
-            i = np.arange(len(x))
-            ok = (x["doc"] != x["doc"][hub]) & _may_reach(x, i, hub, percent)
-            yield from found.add(x["doc"][hub[ok]], x["doc"][i[ok]])
-        yield from found.rest()
 
-    return run
+def _entries(batch: pa.RecordBatch) -> np.ndarray:
+    x = np.zeros(batch.num_rows, _ENTRY)
+    for name in batch.schema.names:
+        x[name] = batch.column(name).to_numpy(zero_copy_only=False)
+    return x
 
 
-def _across(percent: int):
-    """Pairs of a column between different components, except those with the column's least document."""
+def _stars(percent: int):
+    """Counts of each column's sets with its least one; the input is sorted by column, then set."""
 
     def run(batches):
-        found = _Pairs()
-        for x in _columns(batches):
-            first, end, least = _least_of(x)
-            for s, e, hub in zip(first, end, least, strict=True):
-                comp = x["comp"][s:e]
-                if e - s < 3 or (comp == comp[0]).all():
-                    continue
-                for i in range(s, e - 1):
-                    if i == hub:
-                        continue
-                    # Sizes ascend in a column, so partners of i stand before the first that is too large.
-                    j = np.arange(i + 1, s + int(np.searchsorted(x["size"][s:e], 100 * x["size"][i] // percent, "right")))
-                    j = j[(x["comp"][j] != x["comp"][i]) & (j != hub)]
-                    j = j[_may_reach(x, np.full(len(j), i), j, percent)]
-                    if len(j):
-                        yield from found.add(np.full(len(j), x["doc"][i]), x["doc"][j])
+        found, hub = _Counts(), np.zeros(0, _ENTRY)
+        for batch in batches:
+            # The last column's least set stands before what may be the rest of that column.
+            x = np.concatenate([hub, _entries(batch)])
+            if not len(x):
+                continue
+            starts = np.r_[True, x["h"][1:] != x["h"][:-1]]
+            least = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+            i = np.flatnonzero(~starts)
+            i = i[_may_reach(x, least[i], i, percent)]
+            yield from found.add(x, least[i], i)
+            hub = x[least[-1] : least[-1] + 1]
         yield from found.rest()
 
     return run
 
 
-def _fold(bits: np.ndarray, width: int) -> np.ndarray:
-    while len(bits) > width:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
+def _groups(batches):
+    """Whole tiles, in runs of many: only the last tile of a batch is carried over."""
+    left = np.zeros(0, _ENTRY)
+    for batch in batches:
+        x = np.concatenate([left, _entries(batch)])
+        if len(x):
+            cut = int(np.searchsorted(x["h"], x["h"][-1], "left"))
+            left = x[cut:]
+            if cut:
+                yield x[:cut]
+    if len(left):
+        yield left
 
 
-def _bitmap_bound(percent: int):
-    """Keeps pairs whose bitmaps leave room: every bit of one that the other lacks is an element outside the overlap."""
+def _across(percent: int, at_once: int = 500_000):
+    """Counts of all pairs of a tile that lie in different components and, where two tiles of a column meet, on different sides."""
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            n_a, n_b = batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist()
-            for i, (x, y) in enumerate(zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-                p, q = _fold(p, len(q)), _fold(q, len(p))
-                most = min(n_a[i] - int(np.bitwise_count(p & ~q).sum()), n_b[i] - int(np.bitwise_count(q & ~p).sum()))
-                keep.append((100 + percent) * most >= percent * (n_a[i] + n_b[i]))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        found = _Counts()
+        for x in _groups(batches):
+            first = np.flatnonzero(np.r_[True, x["h"][1:] != x["h"][:-1]])
+            size = np.diff(np.r_[first, len(x)])
+            later = np.repeat(first + size, size) - np.arange(len(x)) - 1
+            rounds = (np.cumsum(later) - later) // at_once
+            for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(rounds)) + 1):
+                i = np.repeat(part, later[part])
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[part]) - later[part], later[part])
+                keep = (x["comp"][i] != x["comp"][j]) & ((x["side"][i] < 0) | (x["side"][i] != x["side"][j]))
+                i, j = i[keep], j[keep]
+                keep = _may_reach(x, i, j, percent)
+                yield from found.add(x, i[keep], j[keep])
+        yield from found.rest()
 
     return run
 
 
 def _whole_sets(n: int):
     def run(batches):
+        seen: set[int] = set()
         for batch, h, bounds in _sets(batches, n):
-            out = [np.unique(h[bounds[i] : bounds[i + 1]]).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _binary(out)], ["doc_id", "grams"])
+            names, out = [], []
+            for i in range(batch.num_rows):
+                u = np.unique(h[bounds[i] : bounds[i + 1]])
+                name = _vertex(u)
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    out.append(u.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _binary(out)], ["vertex", "grams"])
 
     return run
 
@@ -329,50 +336,69 @@ def _count_overlaps(percent: int):
     return run
 
 
+def _summed(partial: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose counts, added up over all blocks, leave room for enough overlap in what was not counted."""
+    pairs = partial.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
+    left = F.ceil(F.greatest("size_a", "size_b") * percent / 100) - 1
+    return pairs.where((100 + percent) * (F.col("n") + left) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
 def ngram_links(docs: DataFrame, n: int = 5, percent: int = 75, block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """Sizes and links of documents (doc_id, text).
 
-    Returns (sized, links): `sized` has doc_id, size and rep, the least doc_id with an equal set,
-    for every row; `links` holds pairs (a, b) of reps with 100 * overlap >= percent * union, enough
+    Returns (sized, links): `sized` has doc_id, size and vertex, the name of the row's set, for every
+    row; `links` holds pairs (a, b) of vertices with 100 * overlap >= percent * union, enough
     of them to connect all that are linked.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     ranks = _hot_ranks(docs, n)
-    sets = stored(docs.mapInArrow(_traits(n), "doc_id long, size long, key binary, bits binary"), "ngram-sets")
-    reps = sets.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    sized = stored(sets.select("doc_id", "size", "key").join(reps, "key", "left").select("doc_id", "size", "rep"), "ngram-sizes")
-    ids = sized.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    entries, count = sized.where("doc_id = rep").agg(F.sum("size"), F.count("*")).first()
-    own = docs.join(small(ids, count), "doc_id", "left_semi")
-    bits = max(6, int((entries or 0) * (100 - percent) // 100 * _HEAD.itemsize // block_bytes).bit_length())
-    blocks = own.mapInArrow(_blocker(n, ranks, percent, bits), "block long, packed binary").repartition(1 << bits, "block").sortWithinPartitions("block")
+    sized = stored(docs.mapInArrow(_sizes(n), "doc_id long, text_hash long, size long, vertex long"), "ngram-sets")
+    entries = sized.agg(F.sum("size")).first()[0] or 0
+    bits = max(6, int(entries * (100 - percent) // 100 * _HEAD.itemsize // block_bytes).bit_length())
+    blocks = docs.select("text").mapInArrow(_blocker(n, ranks, percent, bits), "block long, packed binary").repartition(1 << bits, "block").sortWithinPartitions("block")
     shared = stored(blocks.mapInArrow(_shared_columns, "h long, doc long, size int, pos int"), "ngram-columns")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct(), "ngram-pairs")
-        near = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram-near")
-        traits = sets.where("key is not null").join(small(near, near.count()), "doc_id", "left_semi").select("doc_id", "size", "bits").dropDuplicates(["doc_id"])
-        side = lambda s: traits.select(F.col("doc_id").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}"))
-        likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bitmap_bound(percent), "a long, b long"), "ngram-likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        wanted = stored(wanted, "ngram-wanted")
-        whole = docs.join(small(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_whole_sets(n), "doc_id long, grams binary").dropDuplicates(["doc_id"])
-        side = lambda s: whole.select(F.col("doc_id").alias(s), F.col("grams").alias(f"grams_{s}"))
-        return stored(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_count_overlaps(percent), "a long, b long"), "ngram-links")
-
-    by_column = lambda x: x.repartition("h").sortWithinPartitions("h", "size", "doc")
-    near = confirm(by_column(shared).mapInArrow(_stars(percent), "a long, b long"))
-    roots = components(near)
-    placed = shared.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "size", "pos", F.coalesce("root", "doc").alias("comp"))
-    rest = confirm(by_column(placed).mapInArrow(_across(percent), "a long, b long"))
+    def confirm(partial: DataFrame) -> DataFrame:
+        pairs = stored(_summed(partial, percent), "ngram-pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+        # One text of each vertex, whichever it is.
+        wanted = stored(sized.join(wanted, "vertex").groupBy("vertex").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct(), "ngram-wanted")
+        whole = docs.join(small(wanted, wanted.count()), "text_hash", "left_semi").select("text").mapInArrow(_whole_sets(n), "vertex long, grams binary").dropDuplicates(["vertex"])
+        whole = stored(whole, "ngram-whole")
+        side = lambda s: whole.select(F.col("vertex").alias(s), F.col("grams").alias(f"grams_{s}"))
+        links = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_count_overlaps(percent), "a long, b long"), "ngram-links")
+        drop_stored(pairs, wanted, whole)
+        return links
+
+    near = confirm(shared.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_stars(percent), _PAIR))
+    roots = stored(components(near), "ngram-roots")
+    placed = shared.join(small(roots, roots.count()).withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "size", "pos", F.coalesce("root", "doc").alias("comp"))
+    placed = stored(placed, "ngram-placed")
+    # Columns that more than one component meets in, and how many tiles they are cut into.
+    open_ = placed.groupBy("h").agg(F.ceil(F.count("*") / _TILE).cast("long").alias("tiles"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("h", "tiles")
+    open_ = stored(open_, "ngram-open")
+    tiled = placed.join(small(open_, open_.count()), "h").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    group = F.when(F.col("tiles") == 1, F.col("h")).otherwise(F.xxhash64("h", low, high))
+    tiled = tiled.select(group.alias("h"), "doc", "size", "pos", "comp", F.when(low == high, F.lit(-1)).otherwise((F.col("own") == high).cast("int")).cast("long").alias("side"))
+    rest = confirm(tiled.repartition("h").sortWithinPartitions("h").mapInArrow(_across(percent), _PAIR))
+    drop_stored(shared, roots, placed, open_)
     return sized, near.union(rest)
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of documents (doc_id, text)."""
     sized, links = ngram_links(docs, n, percent)
-    roots = components(links).select(F.col("node").alias("rep"), "root")
-    return sized.join(roots, "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+    vertices = sized.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    roots = components(links).select(F.col("node").alias("vertex"), "root")
+    vertices = stored(vertices.join(roots, "vertex", "left").select("vertex", "least", "rows", "root"), "ngram-vertices")
+    linked = vertices.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
+    linked = vertices.join(linked, "root").select("vertex", "component")
+    alone = vertices.where("root is null and rows > 1").select("vertex", F.col("least").alias("component"))
+    # Of vertices that neither a link nor a second row has, the row's own id is the component.
+    named = stored(linked.union(alone), "ngram-named")
+    rows = sized.join(small(named, named.count()), "vertex", "left")
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,23 +185,27 @@ def test_personal_data(spark):
 
 
 def brute_groups(docs, n=5, percent=75):
+    """Every row is a vertex of its own; a row's component is the least known doc_id that it reaches."""
     sets = []
     for d, t in docs:
         w = re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append((d, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}))
-    parent = {d: d for d, _ in sets if d is not None}
+    parent = list(range(len(sets)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (a, s) in enumerate(sets):
-        for b, t in sets[:i]:
-            if a is not None and b is not None and s and 100 * len(s & t) >= percent * len(s | t):
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    return sorted([(d, len(s), None if d is None else root(d)) for d, s in sets], key=repr)
+    for i, (_, s) in enumerate(sets):
+        for j, (_, t) in enumerate(sets[:i]):
+            if s and 100 * len(s & t) >= percent * len(s | t):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return sorted([(d, len(s), least.get(root(i))) for i, (d, s) in enumerate(sets)], key=repr)
 
 
 def test_ngram_join(spark, texts):
@@ -212,6 +216,34 @@ def test_ngram_join(spark, texts):
     assert op05_ngram_join.ngram_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_ngram_join_repeated_and_unknown_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    docs = [(1, a), (1, b), (2, b + " x"), (3, a + " y")]
+    got = dict(rows(op05_ngram_join.ngram_components(frame(spark, docs)), "doc_id", "component_id"))
+    assert got == {1: 1, 2: 1, 3: 1}
+    # A chain whose middle has no id, and a group without any id.
+    chain = [(8, " ".join(words[:48])), (None, " ".join(words[:56])), (9, " ".join(words)), (None, "alone in here"), (4, " ".join(words[:50]))]
+    columns = ("doc_id", "n_shingles", "component_id")
+    assert rows(op05_ngram_join.ngram_components(frame(spark, chain), 1, 85), *columns) == brute_groups(chain, 1, 85)
+    long = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = "".join("ba"[bin(i).count("1") % 2] for i in range(2048))
+    assert rows(op05_ngram_join.ngram_components(frame(spark, [(1, long), (2, other), (3, long.upper())])), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_ngram_join_tiles(spark, texts, monkeypatch):
+    monkeypatch.setattr(op05_ngram_join, "_TILE", 3)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    shared = words[:60]
+    # Half of each text is common to all, so columns hold all documents and few of them are linked.
+    docs = [(i, " ".join(shared + [r.choice(words[60:90]) for _ in range(r.randint(5, 40))])) for i in range(60)]
+    columns = ("doc_id", "n_shingles", "component_id")
+    want = brute_groups(docs, 2, 60)
+    assert 3 < len({c for _, _, c in want}) < 58
+    assert rows(op05_ngram_join.ngram_components(frame(spark, docs), 2, 60), *columns) == want
+
+
 def test_mixing(spark, texts):
     got = op06_mixing.mix(frame(spark, texts)).collect()
     by_source = {}
