@@ -14,10 +14,11 @@ still be shared outside the counted columns stay below the bound that both sizes
 * the two positions of a shared n-gram bound the overlap on both sides of it.
 
 What is left is counted exactly on whole sets. So that a group of thousands of near copies does not
-become all its pairs, the first product is one of columns by their least set only; the components
-of the links found so are put back into the columns, and the second, complete product
-leaves out pairs within a component. A column of many sets is cut into tiles for the second product, so no task
-holds more than two tiles of a column; the first one streams.
+become all its pairs, products of columns with one set each come first: in each column the set whose
+n-grams most others share, then, in a second round, any; of these pairs each set tries the one with the
+highest count. The components of the links found so are put back into the columns, and the last, complete product
+leaves out pairs within a component only. A column of many sets is cut into tiles for it, so no task
+holds more than two tiles of a column; the first ones stream.
 
 A set is known by a 64-bit digest of its sorted n-gram hashes, so equal texts are one vertex whatever their
 doc_id, and rows that repeat a doc_id with other texts stay apart.
@@ -209,8 +210,6 @@ class _Counts:
 
     def add(self, x: np.ndarray, i: np.ndarray, j: np.ndarray):
         """One column more for the pairs x[i], x[j]."""
-        swap = x["doc"][i] > x["doc"][j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
         self.parts.append([x["doc"][i], x["doc"][j], x["size"][i], x["size"][j], np.ones(len(i), np.int64)])
         self.held += len(i)
         if self.held > self.most:
@@ -246,21 +245,21 @@ def _entries(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _stars(percent: int):
-    """Counts of each column's sets with its least one; the input is sorted by column, then set."""
+    """Counts (set, first set of a column) where the two lie in different components; the input is sorted by column, the first set foremost."""
 
     def run(batches):
         found, hub = _Counts(), np.zeros(0, _ENTRY)
         for batch in batches:
-            # The last column's least set stands before what may be the rest of that column.
+            # The last column's first set stands before what may be the rest of that column.
             x = np.concatenate([hub, _entries(batch)])
             if not len(x):
                 continue
             starts = np.r_[True, x["h"][1:] != x["h"][:-1]]
-            least = np.flatnonzero(starts)[np.cumsum(starts) - 1]
-            i = np.flatnonzero(~starts)
-            i = i[_may_reach(x, least[i], i, percent)]
-            yield from found.add(x, least[i], i)
-            hub = x[least[-1] : least[-1] + 1]
+            first = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+            i = np.flatnonzero(x["comp"] != x["comp"][first])
+            i = i[_may_reach(x, first[i], i, percent)]
+            yield from found.add(x, i, first[i])
+            hub = x[first[-1] : first[-1] + 1]
         yield from found.rest()
 
     return run
@@ -296,7 +295,9 @@ def _across(percent: int, at_once: int = 500_000):
                 keep = (x["comp"][i] != x["comp"][j]) & ((x["side"][i] < 0) | (x["side"][i] != x["side"][j]))
                 i, j = i[keep], j[keep]
                 keep = _may_reach(x, i, j, percent)
-                yield from found.add(x, i[keep], j[keep])
+                i, j = i[keep], j[keep]
+                swap = x["doc"][i] > x["doc"][j]
+                yield from found.add(x, np.where(swap, j, i), np.where(swap, i, j))
         yield from found.rest()
 
     return run
@@ -358,8 +359,8 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 75, block_bytes: int
     blocks = docs.select("text").mapInArrow(_blocker(n, ranks, percent, bits), "block long, packed binary").repartition(1 << bits, "block").sortWithinPartitions("block")
     shared = stored(blocks.mapInArrow(_shared_columns, "h long, doc long, size int, pos int"), "ngram-columns")
 
-    def confirm(partial: DataFrame) -> DataFrame:
-        pairs = stored(_summed(partial, percent), "ngram-pairs")
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "ngram-pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
         # One text of each vertex, whichever it is.
         wanted = stored(sized.join(wanted, "vertex").groupBy("vertex").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct(), "ngram-wanted")
@@ -370,20 +371,34 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 75, block_bytes: int
         drop_stored(pairs, wanted, whole)
         return links
 
-    near = confirm(shared.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_stars(percent), _PAIR))
-    roots = stored(components(near), "ngram-roots")
-    placed = shared.join(small(roots, roots.count()).withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "size", "pos", F.coalesce("root", "doc").alias("comp"))
-    placed = stored(placed, "ngram-placed")
-    # Columns that more than one component meets in, and how many tiles they are cut into.
-    open_ = placed.groupBy("h").agg(F.ceil(F.count("*") / _TILE).cast("long").alias("tiles"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("h", "tiles")
-    open_ = stored(open_, "ngram-open")
+    def open_columns(placed: DataFrame) -> DataFrame:
+        """Columns that more than one component meets in, and how many tiles they are cut into."""
+        counted = placed.groupBy("h").agg(F.ceil(F.count("*") / _TILE).cast("long").alias("tiles"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        return stored(counted.where("low != high").select("h", "tiles"), "ngram-open")
+
+    # A set's weight is the number of its n-grams' other sets: that of a group's middle is the highest.
+    widths = shared.groupBy("h").agg(F.count("*").alias("width"))
+    weights = stored(shared.join(widths, "h").groupBy("doc").agg(F.sum("width").alias("weight")), "ngram-weights")
+    placed = stored(shared.join(small(weights, weights.count()), "doc").withColumn("comp", F.col("doc")), "ngram-placed")
+    open_, links = open_columns(placed), None
+    for order in (F.desc("weight"), F.xxhash64("doc")):
+        entries = placed.join(small(open_, open_.count()), "h", "left_semi").repartition("h").sortWithinPartitions("h", order, "doc").select("h", "doc", "size", "pos", "comp")
+        counts = entries.mapInArrow(_stars(percent), _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        found = confirm(counts.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+        links = found if links is None else links.union(found)
+        roots = stored(components(links), "ngram-roots")
+        now = placed.drop("comp").join(small(roots, roots.count()).withColumnRenamed("node", "doc"), "doc", "left")
+        now = stored(now.select("h", "doc", "size", "pos", "weight", F.coalesce("root", "doc").alias("comp")), "ngram-placed")
+        drop_stored(placed, open_, roots)
+        placed = now
+        open_ = open_columns(placed)
     tiled = placed.join(small(open_, open_.count()), "h").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     group = F.when(F.col("tiles") == 1, F.col("h")).otherwise(F.xxhash64("h", low, high))
     tiled = tiled.select(group.alias("h"), "doc", "size", "pos", "comp", F.when(low == high, F.lit(-1)).otherwise((F.col("own") == high).cast("int")).cast("long").alias("side"))
-    rest = confirm(tiled.repartition("h").sortWithinPartitions("h").mapInArrow(_across(percent), _PAIR))
-    drop_stored(shared, roots, placed, open_)
-    return sized, near.union(rest)
+    rest = confirm(_summed(tiled.repartition("h").sortWithinPartitions("h").mapInArrow(_across(percent), _PAIR), percent))
+    drop_stored(shared, weights, placed, open_)
+    return sized, links.union(rest)
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
