@@ -8,33 +8,44 @@ hash is one segment and goes to the block of that hash. Segments of equal bytes
 they are found and collapsed; all their windows repeat. Of a hash with two or more different
 segments, the segments form a collection of strings, whose Burrows-Wheeler transform and common
 prefixes are built column-wise: in each round every string gives one more symbol, from its end
-to its start; the last-to-first mapping of what is there tells where the new suffixes go, and
-minima over ranges of the common prefixes give theirs. Transform and prefixes are sequential
-files that each round reads and writes anew. Neighbours that share `length` bytes or more
+to its start. A round reads transform and prefixes once from front to back: counts of the symbols
+passed tell where the new suffixes go (the last-to-first mapping), and the least prefix since a symbol's last
+occurrence gives theirs; then it writes both anew with the new rows put in. Both are one
+sequence, which is a buffer in memory up to a fixed size and a sequential file in the folder that the cluster shares beyond it, so a
+construction's memory does not grow with its block. Neighbours that share `length` bytes or more
 repeat, and walking the mapping takes them back to places in the texts.
 
+A hash that very many different segments share is not left to one task: its segments are cut once more by longer
+substrings, up to whole windows, and meet only those that share these.
+
+Why equal segments are collapsed before: the construction's work is the square of a string's length for each
+byte, and most repeats are whole copies, for which counting says the same.
+
 Defined cases: a null text is empty; texts shorter than `length` lose nothing; equal texts lose
-the same bytes, and repeated rows count as copies; further columns are ignored. Texts are known by
-a 64-bit hash and their length, and substrings by 64-bit hashes where segments are grouped.
+the same bytes, and repeated rows count as copies; an empty table gives no rows; further columns are ignored. Texts are known by
+a 64-bit hash, and substrings by 64-bit hashes where segments are grouped. A `length` beyond 2^24 - 2 raises ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accolade.llm import textkit as K
-from accolade.llm._shared import small, stored, table
+from accolade.llm._shared import scratch, small, stored, table
 
 U64 = np.uint64
 LENGTH, SEED_BYTES, MOST_WINDOWS = 200, 150, 256
-_BLOCK_BYTES, _STRING_BYTES, _RANGE = 8 << 20, 1 << 20, 32
+#: Bytes of a block of segments and of a block of strings; different segments of one hash beyond which it is cut again.
+_BLOCK_BYTES, _STRING_BYTES, MOST_SEGMENTS = 8 << 20, 1 << 20, 16_384
+#: Entries of a transform that are held in memory, and that are read at once from a file.
+_HELD, _PIECE = 4 << 20, 1 << 20
 _ENTRY = np.dtype([("seed", "<u8"), ("content", "<u8"), ("text", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("copies", "<i4"), ("inner", "<i4")])
 
 
@@ -173,7 +184,7 @@ def _extract(length: int):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            seeds, texts, starts, kinds, strings = [], [], [], [], []
+            seeds, texts, starts, kinds, hot, strings = [], [], [], [], [], []
             for text, key, at in zip(batch.column("text"), batch.column("text_hash").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 if key in seen:
                     continue
@@ -184,135 +195,205 @@ def _extract(length: int):
                     texts.append(key)
                     starts.append(x["start"])
                     kinds.append(x["kind"])
+                    hot.append(x["hot"])
                     strings.append(data[x["start"] : x["start"] + x["windows"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(texts, pa.int64()), pa.array(starts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(strings, pa.binary())], ["seed", "text_hash", "start", "kind", "string"])
+            yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(texts, pa.int64()), pa.array(starts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(hot, pa.bool_()), pa.array(strings, pa.binary())], ["seed", "text_hash", "start", "kind", "hot", "string"])
 
     return run
 
 
-class _Minima:
-    """Minima over ranges of an array of small numbers: within blocks by looking at them, between by a table over blocks."""
-
-    def __init__(self, values: np.ndarray):
-        blocks = -(-len(values) // _RANGE) + 1
-        self.rows = np.full((blocks, _RANGE), 255, np.uint8)
-        self.rows.ravel()[: len(values)] = values
-        self.levels = [self.rows.min(1)]
-        while (1 << len(self.levels)) < blocks:
-            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(last, np.r_[last[step:], np.full(step, 255, np.uint8)]))
-
-    def over(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Minima of lo:hi, all of them ranges of at least one."""
-        hi = hi - 1
-        a, b = lo // _RANGE, hi // _RANGE
-        lane = np.arange(_RANGE)
-        x, y = lo % _RANGE, hi % _RANGE
-        first = np.where((lane >= x[:, None]) & ((a < b)[:, None] | (lane <= y[:, None])), self.rows[a], 255).min(1)
-        far = np.flatnonzero(a < b)
-        if len(far):
-            out = np.where(lane <= y[far][:, None], self.rows[b[far]], 255).min(1)
-            first[far] = np.minimum(first[far], out)
-            gap = b[far] - a[far] - 1
-            wide = far[gap > 0]
-            if len(wide):
-                level = np.log2(gap[gap > 0]).astype(np.int64)
-                for k in np.unique(level):
-                    w = wide[level == k]
-                    t = self.levels[k]
-                    first[w] = np.minimum(first[w], np.minimum(t[a[w] + 1], t[b[w] - (1 << k)]))
-        return first
-
-
-def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
+class _Sequence:
+    """Transform and common prefixes of a round: symbol + 256 * prefix for each row, written once in order and read in pieces."""
+
+    def __init__(self, kind, folder: str | None, held: int = _HELD, piece: int = _PIECE):
+        self.kind, self.folder, self.held, self.piece = kind, folder, held, piece
+        self.parts, self.size, self.out, self.path = [], 0, None, None
+
+    def append(self, x: np.ndarray) -> None:
+        self.size += len(x)
+        if self.out is None and (self.size <= self.held or self.folder is None):
+            self.parts.append(x)
+            return
+        if self.out is None:
+            self.files, base = pafs.FileSystem.from_uri(self.folder)
+            self.files.create_dir(base, recursive=True)
+            self.path = f"{base}/{uuid.uuid4().hex}"
+            self.out = self.files.open_output_stream(self.path, compression=None)
+            for p in self.parts:
+                self.out.write(p.tobytes())
+            self.parts = []
+        self.out.write(x.tobytes())
+
+    def done(self) -> _Sequence:
+        if self.out is not None:
+            self.out.close()
+        elif len(self.parts) > 1:
+            self.parts = [np.concatenate(self.parts)]
+        return self
+
+    def read(self):
+        if self.path is None:
+            yield from self.parts
+            return
+        with self.files.open_input_stream(self.path, compression=None) as source:
+            while data := source.read(self.piece * self.kind.itemsize):
+                yield np.frombuffer(data, self.kind)
+
+    def delete(self) -> None:
+        if self.path is not None:
+            self.files.delete_file(self.path)
+
+
+def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Minima of values[lo:hi], ranges of at least one; values has one element more than any range needs."""
+    order = np.argsort(-lo, kind="stable")
+    ends = np.empty(2 * len(lo), np.int64)
+    # Starts descend, so what reduceat does from an end to the next start is a single element.
+    ends[::2], ends[1::2] = lo[order], hi[order]
+    out = np.empty(len(lo), values.dtype)
+    out[order] = np.minimum.reduceat(values, ends)[::2] if len(lo) else values[:0]
+    return out
+
+
+def _look(sequence: _Sequence, place: np.ndarray, symbol: np.ndarray, totals: np.ndarray, prefixes: bool = True):
+    """One pass over a sequence, which has `totals` of each symbol, for rows `place`, ascending, that hold `symbol`.
+
+    For each row: the number of earlier rows with its symbol, the least prefix from the last of these on, and
+    the least prefix up to the next one; 0 where there is none.
+    """
+    most = np.iinfo(sequence.kind).max >> 8
+    nth, before, behind = np.empty(len(place), np.int64), np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    passed, since, waits, ahead = np.zeros(256, np.int64), np.full(256, most), np.full(256, -1), np.full(256, most)
+    several, base = sequence.path is not None, 0
+    for piece in sequence.read():
+        n, codes = len(piece), np.ascontiguousarray(piece.view(np.uint8)[:: sequence.kind.itemsize])
+        tails, counts = np.argsort(codes, kind="stable"), np.bincount(codes, minlength=256) if several else totals
+        starts = np.cumsum(counts) - counts
+        lcp = np.empty(n + 1, np.uint8 if most < 256 else np.uint32)
+        lcp[:n], lcp[n] = piece.view(np.uint8)[1::2] if most < 256 else piece >> 8, most
+        i, j = np.searchsorted(place, (base, base + n))
+        rows, mine = place[i:j] - base, symbol[i:j]
+        by = np.argsort(mine, kind="stable")
+        at = np.empty(len(rows), np.int64)
+        cuts = np.searchsorted(mine[by], np.arange(257))
+        for c in np.unique(mine):
+            some = by[cuts[c] : cuts[c + 1]]
+            at[some] = starts[c] + np.searchsorted(tails[starts[c] : starts[c] + counts[c]], rows[some])
+        nth[i:j] = passed[mine] + at - starts[mine]
+        if prefixes:
+            if several:
+                for c in np.flatnonzero(waits >= 0):
+                    ahead[c] = min(ahead[c], lcp[: (tails[starts[c]] + 1 if counts[c] else n)].min())
+                    if counts[c]:
+                        behind[waits[c]], waits[c] = ahead[c], -1
+            has = at > starts[mine]
+            prior = np.where(has, tails[np.maximum(at - 1, 0)] + 1, 0)
+            least = _least(lcp, prior, rows + 1).astype(np.int64)
+            before[i:j] = np.where(has, least, np.where(passed[mine] > 0, np.minimum(least, since[mine]), 0))
+            has = np.flatnonzero(at + 1 < starts[mine] + counts[mine])
+            behind[i:j][has] = _least(lcp, rows[has] + 1, tails[at[has] + 1] + 1)
+            if several:
+                for k in np.flatnonzero(at + 1 == starts[mine] + counts[mine]):
+                    waits[mine[k]], ahead[mine[k]] = i + k, lcp[rows[k] + 1 : n].min(initial=most)
+                for c in range(256):
+                    last = tails[starts[c] + counts[c] - 1] + 1 if counts[c] else 0
+                    since[c] = min(lcp[last:n].min(initial=most), most if counts[c] else since[c])
+        passed += counts
+        base += n
+    return nth, before, behind
+
+
+def repeated_windows(strings: list[bytes], length: int, folder: str | None = None, held: int = _HELD, piece: int = _PIECE) -> list[np.ndarray]:
     """For each string, which of its `length`-byte windows also start elsewhere in the strings.
 
     Symbols are the bytes plus one, 0 is the end of a string (255 is no byte of UTF-8 text). Ends
-    are ordered by string. Common prefixes count up to `length`, at most 254.
+    are ordered by string. Common prefixes count up to `length`. Sequences of more than `held` rows are files in `folder`.
     """
-    m = len(strings)
-    size = np.array([len(s) for s in strings])
+    if not 0 < length < (1 << 24) - 1:
+        raise ValueError(f"length must be from 1 to {(1 << 24) - 2}")
+    kind, m = np.dtype("<u2" if length < 255 else "<u4"), len(strings)
+    size = np.array([len(s) for s in strings], np.int64)
     top = int(size.max(initial=0))
-    if m == 0 or length > 254:
-        return [np.zeros(0, bool) for _ in strings]
-    order = np.argsort(-size, kind="stable")
+    # The symbol of each string before its last j ones.
     by_end = np.zeros((top + 1, m), np.uint8)
-    for i, s in enumerate(order):
-        by_end[: size[s], i] = np.frombuffer(strings[s], np.uint8)[::-1] + 1
-    sizes = size[order]
-    with tempfile.TemporaryDirectory() as folder:
-        # Each round writes files of its own: to truncate and rewrite one makes file systems wait for the disk.
-        files = lambda j: (os.path.join(folder, f"bwt{j}"), os.path.join(folder, f"lcp{j}"))
-        by_end[0].tofile(files(0)[0])
-        np.zeros(m, np.uint8).tofile(files(0)[1])
-        place = np.arange(m)
-        counts = np.bincount(by_end[0], minlength=256)
-        for j in range(1, top + 1):
-            # Strings are ordered by length, so those that still have a symbol for this round stand first.
-            live = int(np.searchsorted(-sizes, -j, "right"))
-            bwt, lcp = (np.fromfile(f, np.uint8) for f in files(j - 1))
-            to_tail = np.argsort(bwt, kind="stable")
-            ended = int(counts[0])
-            starts = np.concatenate([[0], np.cumsum(counts)])
-            tail, symbol = place[:live], by_end[j - 1, :live].astype(np.int64)
-            nth = np.empty(live, np.int64)
-            for c in np.unique(symbol):
-                mine = symbol == c
-                nth[mine] = starts[c] + np.searchsorted(to_tail[starts[c] : starts[c + 1]], tail[mine])
-            minima = _Minima(lcp)
-            before = np.zeros(live, np.uint8)
-            has = nth > starts[symbol]
-            before[has] = np.minimum(minima.over(to_tail[nth[has] - 1] + 1, tail[has] + 1), length - 1) + 1
-            behind = np.zeros(live, np.uint8)
-            has = nth + 1 < starts[symbol + 1]
-            behind[has] = np.minimum(minima.over(tail[has] + 1, to_tail[nth[has] + 1] + 1), length - 1) + 1
-            new = nth - ended + m
-            total = len(bwt) + live
-            old = np.ones(total, bool)
-            old[new] = False
-            out_b, out_l = np.empty(total, np.uint8), np.empty(total, np.uint8)
-            out_b[old], out_l[old] = bwt, lcp
-            out_b[new] = by_end[j, :live]
-            follow = new + 1
-            inside = follow < total
-            out_l[follow[inside]] = behind[inside]
-            out_l[new] = before
-            for out, new_file, old_file in zip((out_b, out_l), files(j), files(j - 1), strict=True):
-                out.tofile(new_file)
-                os.unlink(old_file)
-            place = new
-            counts += np.bincount(by_end[j, :live], minlength=256)
-        bwt, lcp = (np.fromfile(f, np.uint8) for f in files(top))
-    # The mapping of all rows, then from each string's end to its start.
-    to_tail = np.argsort(bwt, kind="stable")
-    row_of = np.empty(len(bwt), np.int32)
-    row_of[to_tail] = np.arange(len(bwt))
-    repeats = np.zeros(len(lcp) + 1, bool)
-    repeats[:-1] = lcp >= length
-    repeats[:-1] |= np.r_[repeats[1:-1], False]
-    result = [np.zeros(max(0, n - length + 1), bool) for n in sizes]
-    flags = np.zeros((top + 1, m), bool)
-    row = np.arange(m)
+    for i, s in enumerate(strings):
+        by_end[: size[i], i] = np.frombuffer(s, np.uint8)[::-1] + 1
+    now = _Sequence(kind, folder, held, piece)
+    now.append(by_end[0].astype(kind))
+    now.done()
+    counts = np.bincount(by_end[0], minlength=256)
+    # Strings in the order of their latest rows, and these rows.
+    order, place = np.arange(m), np.arange(m)
     for j in range(1, top + 1):
-        live = int(np.searchsorted(-sizes, -j, "right"))
-        row = row_of[row[:live]]
+        live = size[order] >= j
+        order, place = order[live], place[live]
+        symbol = by_end[j - 1, order].astype(np.int64)
+        nth, before, behind = _look(now, place, symbol, counts)
+        by = np.argsort(symbol, kind="stable")
+        starts = np.cumsum(counts) - counts
+        order, place = order[by], (starts[symbol] + nth - counts[0] + m)[by]
+        before, behind = (np.where(x[by] >= length, length, x[by] + 1) for x in (before, behind))
+        # No earlier or later row with the symbol: nothing is shared, not even that.
+        before[nth[by] == 0] = 0
+        last = np.r_[symbol[by][1:] != symbol[by][:-1], True] if len(by) else np.zeros(0, bool)
+        behind[nth[by] + 1 == counts[symbol[by]]] = 0
+        into = place - np.arange(len(place))
+        rows = (by_end[j, order].astype(np.int64) + (np.minimum(before, length) << 8)).astype(kind)
+        follows = np.r_[into[1:] != into[:-1], True] if len(into) else last
+        following, base = _Sequence(kind, folder, held, piece), 0
+        for x in now.read():
+            a, b = np.searchsorted(into, (base, base + len(x)))
+            if base + len(x) == now.size:
+                b = len(into)
+            at = into[a:b] - base
+            x = x.copy()
+            is_next = follows[a:b] & (at < len(x))
+            to = at[is_next]
+            x[to] = (x[to] & 255) + (np.minimum(behind[a:b][is_next], length) << 8).astype(kind)
+            following.append(np.insert(x, at, rows[a:b]))
+            base += len(x)
+        now.delete()
+        now = following.done()
+        counts += np.bincount(by_end[j, order], minlength=256)
+    return _walk(now, by_end, size, length, counts)
+
+
+def _walk(sequence: _Sequence, by_end: np.ndarray, size: np.ndarray, length: int, counts: np.ndarray) -> list[np.ndarray]:
+    """From each string's end to its start over the mapping of all rows; which windows share `length` bytes with a neighbour."""
+    m, starts = len(size), np.cumsum(counts) - counts
+    whole = sequence.path is None
+    lcp = [(p >> 8) >= length for p in sequence.read()]
+    near = np.append(np.concatenate(lcp), False) if lcp else np.zeros(1, bool)
+    near[:-1] |= near[1:]
+    row_of = None
+    if whole and m:
+        tails = np.argsort((sequence.parts[0] & 255).astype(np.uint8), kind="stable")
+        row_of = np.empty(len(tails), np.int32)
+        row_of[tails] = np.arange(len(tails))
+    flags = np.zeros(by_end.shape, bool)
+    order, row = np.arange(m), np.arange(m)
+    for j in range(1, len(by_end)):
+        live = size[order] >= j
+        order, row = order[live], row[live]
+        if whole:
+            row = row_of[row]
+        else:
+            symbol = by_end[j - 1, order].astype(np.int64)
+            row = starts[symbol] + _look(sequence, row, symbol, counts, prefixes=False)[0] - counts[0] + m
+            by = np.argsort(symbol, kind="stable")
+            order, row = order[by], row[by]
         if j >= length:
-            flags[j, :live] = repeats[row]
-    for i, n in enumerate(sizes):
-        if n >= length:
-            result[i] = flags[length : n + 1, i][::-1].copy()
-    out: list = [None] * m
-    for i, s in enumerate(order):
-        out[s] = result[i]
-    return out
+            flags[j, order] = near[row]
+    sequence.delete()
+    return [flags[length : n + 1, i][::-1].copy() if n >= length else np.zeros(0, bool) for i, n in enumerate(size)]
 
 
-def _construct(length: int):
+def _construct(length: int, folder: str):
     """Runs of repeated windows of the strings; blocks come one after another."""
 
     def flush(texts, starts, kinds, strings):
         keys, begin, windows = [], [], []
-        for text, start, kind, flags in zip(texts, starts, kinds, repeated_windows(strings, length), strict=True):
+        for text, start, kind, flags in zip(texts, starts, kinds, repeated_windows(strings, length, folder), strict=True):
             if kind == 0 and flags.any():
                 edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -343,49 +424,76 @@ def _remove(length: int):
     def run(batches):
         for batch in batches:
             columns: list[list] = [[], [], [], []]
-            for text, at in zip(batch.column("text"), batch.column("at"), strict=True):
+            lists = batch.column("at")
+            bounds, runs = lists.offsets.to_numpy(), lists.values
+            begin, windows = (runs.field(c).to_numpy(zero_copy_only=False) for c in ("start", "windows"))
+            for i, text in enumerate(batch.column("text")):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                spans: list[list[int]] = []
-                if at.is_valid:
-                    x = np.array([(v["start"].as_py(), v["windows"].as_py()) for v in at], np.int64).reshape(-1, 2)
-                    for a, w in x[np.argsort(x[:, 0], kind="stable")].tolist():
-                        b = a + w + length - 1
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], b)
-                        else:
-                            spans.append([a, b])
+                a, b = (bounds[i], bounds[i + 1]) if lists[i].is_valid else (0, 0)
+                order = a + np.argsort(begin[a:b], kind="stable")
+                first, last = begin[order], begin[order] + windows[order] + (length - 1)
+                # A span begins where all earlier runs have ended.
+                reach = np.maximum.accumulate(last) if len(last) else last
+                fresh = np.flatnonzero(np.r_[True, first[1:] > reach[:-1]]) if len(first) else first
+                spans = list(zip(first[fresh].tolist(), reach[np.r_[fresh[1:] - 1, len(reach) - 1]].tolist(), strict=True)) if len(first) else []
                 kept, end = hashlib.sha256(), 0
-                for a, b in spans:
-                    kept.update(data[end:a])
-                    end = b
+                for x, y in spans:
+                    kept.update(data[end:x])
+                    end = y
                 kept.update(data[end:])
-                for c, v in zip(columns, (len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest()), strict=True):
+                for c, v in zip(columns, (len(data), sum(y - x for x, y in spans), len(spans), kept.hexdigest()), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED_BYTES) -> DataFrame:
-    """(text_hash, start, windows): runs of repeated windows of the texts of docs, known by xxhash64 of the text."""
-    keyed = docs.select(F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
+_SPAN = "text_hash long, start int, windows int"
+
+
+def _spans(keyed: DataFrame, length: int, k: int, folder: str) -> DataFrame:
+    """(text_hash, start, windows): runs of repeated windows of the texts (text_hash, text), text being string or binary."""
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, int(total * 2 // (length - k) * _ENTRY.itemsize // _BLOCK_BYTES).bit_length())
+    bits = max(6, int(total * 2 // (length - k + 1) * _ENTRY.itemsize // _BLOCK_BYTES).bit_length())
     cut = keyed.mapInArrow(_cutter(length, k, bits), "block long, kind int, packed binary").repartition(1 << bits, "block").sortWithinPartitions("block")
     found = stored(cut.mapInArrow(_group, "kind int, seed long, text_hash long, start int, windows int"), "suffix-segments")
-    open_ = found.where("kind != 1")
-    wanted = stored(open_.groupBy("text_hash").agg(F.collect_list(F.struct("seed", "start", "windows", "kind")).alias("at")), "suffix-wanted")
+    repeats, open_ = found.where("kind = 1").select("text_hash", "start", "windows"), found.where("kind != 1")
+    if k == length:  # a hash is a whole window: all its segments are equal
+        return repeats
+    hot = stored(open_.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SEGMENTS).select("seed", F.lit(True).alias("hot")), "suffix-hot")
+    seeds = hot.count()
+    if seeds:
+        open_ = stored(open_.join(small(hot, seeds), "seed", "left").withColumn("hot", F.col("hot").isNotNull()), "suffix-open")
+    else:
+        open_ = open_.withColumn("hot", F.lit(False))
+    wanted = stored(open_.groupBy("text_hash").agg(F.collect_list(F.struct("seed", "start", "windows", "kind", "hot")).alias("at")), "suffix-wanted")
     count, bytes_ = open_.agg(F.count("*"), F.coalesce(F.sum(F.col("windows") + length - 1), F.lit(0))).first()
-    strings = keyed.join(small(wanted, count), "text_hash").mapInArrow(_extract(length), "seed long, text_hash long, start int, kind int, string binary")
+    strings = keyed.join(small(wanted, count, 48), "text_hash").mapInArrow(_extract(length), "seed long, text_hash long, start int, kind int, hot boolean, string binary")
+    if seeds:
+        strings = stored(strings, "suffix-strings")
     blocks = max(6, int(bytes_ // _STRING_BYTES) + 1)
-    strings = strings.withColumn("block", F.pmod(F.xxhash64("seed"), F.lit(blocks)))
-    built = strings.repartition(blocks, "block").sortWithinPartitions("block", "seed", "text_hash", "start").mapInArrow(_construct(length), "text_hash long, start int, windows int")
-    return found.where("kind = 1").select("text_hash", "start", "windows").union(stored(built, "suffix-runs"))
+    few = strings.where("not hot").withColumn("block", F.pmod(F.xxhash64("seed"), F.lit(blocks)))
+    built = few.repartition(blocks, "block").sortWithinPartitions("block", "seed", "text_hash", "start").mapInArrow(_construct(length, folder), _SPAN)
+    runs = repeats.union(stored(built, "suffix-runs"))
+    if seeds:
+        # Segments of a crowded hash, once each, are the texts of a collection cut by longer substrings.
+        crowded = strings.where("hot").select("text_hash", "start", "string").dropDuplicates(["text_hash", "start"])
+        crowded = stored(crowded.select(F.xxhash64("text_hash", "start").alias("key"), F.col("text_hash").alias("of"), F.col("start").alias("offset"), "string"), "suffix-crowded")
+        inner = _spans(crowded.select(F.col("key").alias("text_hash"), F.col("string").alias("text")), length, (k + length + 1) // 2, folder)
+        inner = inner.withColumnRenamed("text_hash", "key").join(crowded.select("key", "of", "offset"), "key")
+        runs = runs.union(inner.select(F.col("of").alias("text_hash"), (F.col("offset") + F.col("start")).alias("start"), "windows"))
+    return runs
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED_BYTES) -> DataFrame:
+    """(text_hash, start, windows): runs of repeated windows of the texts of docs, known by xxhash64 of the text."""
+    keyed = docs.select(F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
+    return _spans(keyed, length, k, scratch(docs.sparkSession, "suffix-files"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED_BYTES) -> DataFrame:
     """The query's columns for every row of (doc_id, text)."""
-    spans = repeated_spans(docs, length, k).groupBy("text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("at"))
+    spans = stored(repeated_spans(docs, length, k).groupBy("text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("at")), "suffix-spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     return rows.join(spans, "text_hash", "left").select("doc_id", "text", "at").mapInArrow(_remove(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

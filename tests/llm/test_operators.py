@@ -148,13 +148,37 @@ def test_suffix_dedup(spark, texts):
     assert op03_suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_column_wise_construction():
+def test_suffix_dedup_of_a_crowded_hash(spark, monkeypatch):
+    monkeypatch.setattr(op03_suffix_dedup, "MOST_SEGMENTS", 5)
+    r = random.Random(13)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(60))
+    docs = [(i, "".join(r.choice("xyz") for _ in range(r.randint(0, 6))) + passage[r.randint(0, 6) :] + "".join(r.choice("xy") for _ in range(r.randint(0, 6)))) for i in range(80)]
+    got = op03_suffix_dedup.remove_repeats(frame(spark, docs), 58, 30)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(docs, 58)
+
+
+def test_suffix_dedup_of_long_strings(spark):
+    r = random.Random(14)
+    one = "".join(r.choice("abcd") for _ in range(500))
+    docs = [(1, one), (2, one), (3, "x" + one[100:] + "y"), (4, one[:301] + "z"), (5, "b" * 1000)]
+    for length in (200, 300):
+        assert rows(op03_suffix_dedup.remove_repeats(frame(spark, docs), length, 100), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(docs, length)
+
+
+def test_column_wise_construction(tmp_path):
     r = random.Random(5)
-    for _ in range(150):
-        length, alphabet = r.choice([1, 2, 3, 5]), r.choice([b"a", b"ab", b"abcd"])
-        strings = [bytes(r.choice(alphabet) for _ in range(r.randint(length, 25))) for _ in range(r.randint(1, 10))]
+    for n in range(150):
+        length, alphabet = r.choice([1, 2, 3, 5, 300 if n % 30 == 0 else 4]), r.choice([b"a", b"ab", b"abcd"])
+        strings = [bytes(r.choice(alphabet) for _ in range(r.randint(length, length + 25))) for _ in range(r.randint(1, 10))]
+        strings += strings[: n % 2]
         count = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
-        assert [g.tolist() for g in op03_suffix_dedup.repeated_windows(strings, length)] == [[count[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
+        want = [[count[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
+        assert [g.tolist() for g in op03_suffix_dedup.repeated_windows(strings, length)] == want
+        if length < 300:  # in files, read in pieces of five rows
+            assert [g.tolist() for g in op03_suffix_dedup.repeated_windows(strings, length, f"file://{tmp_path}/files", 7, 5)] == want
+    assert op03_suffix_dedup.repeated_windows([], 5) == [] and not list((tmp_path / "files").iterdir())
+    with pytest.raises(ValueError):
+        op03_suffix_dedup.repeated_windows([b"a"], 0)
 
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
