@@ -287,13 +287,55 @@ def test_mixing(spark, texts):
             break
         targets |= {k: 2.0 * by_source[k][0] for k in above}
         fixed |= above
+    longest = max(r["size"] for r in got)
     for k, (size, taken, target, source_size) in by_source.items():
-        assert source_size == size and target == pytest.approx(targets[k]) and abs(taken - target) <= 1
+        assert source_size == size and target == pytest.approx(targets[k]) and abs(taken - target) <= longest / 2 + 1
+    assert all(r["taken"] % r["size"] == 0 for r in got if r["size"])
     assert sorted(map(repr, got)) == sorted(map(repr, op06_mixing.mix(frame(spark, texts)).collect()))
     assert op06_mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert {r["target"] for r in op06_mixing.mix(frame(spark, [(1, None), (2, " ")])).collect()} == {0.0}
-    copies = Counter(r["doc_id"] for r in op06_mixing.mixed_documents(frame(spark, texts)).collect())
-    assert all(0 < n <= 4 for n in copies.values()) and 0 not in copies
+    kept = op06_mixing.mixed_documents(frame(spark, texts).withColumn("mix_rows", __import__("pyspark").sql.functions.lit(1)))
+    copies = Counter((r["doc_id"], r["source"], r["text"]) for r in kept.collect())
+    want = Counter()
+    for r in got:
+        want[r["name"], r["source"]] += r["taken"] // r["size"] if r["size"] else 0
+    name = lambda d, t: f"{'' if d is None else d}:{hashlib.md5(t.encode()).hexdigest()}"
+    assert {(name(d, t), s): n for (d, s, t), n in copies.items()} == {k: n for k, n in want.items() if n}
+
+
+def test_mixing_matches_sql(spark, texts):
+    import duckdb
+
+    docs = texts + [(2000 + i, " ".join(["w"] * (i * i % 90))) for i in range(150)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(d, t, ("s", None, "t")[i % 3]) for i, (d, t) in enumerate(docs)])
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    assert rows(op06_mixing.mix(frame(spark, docs)), *columns) == sorted(con.sql(op06_mixing.SQL).fetchall(), key=repr)
+
+
+def test_mixing_follows_inclusion_probabilities(spark):
+    """Over many seeds documents are taken about as often as min(1, c w) says."""
+    sizes = [1 + i % 40 for i in range(400)]
+    docs = [(i, " ".join([f"w{i}"] * n)) for i, n in enumerate(sizes)]
+    df, seen, runs = frame(spark, docs, ("s",)), Counter(), 12
+    uniform = op06_mixing.uniform
+    for seed in range(runs):
+        op06_mixing.uniform = lambda name, seed=seed: uniform(name, f"seed{seed}")
+        try:
+            for r in op06_mixing.mix(df).where("extra > 0").select("size").collect():
+                seen[r["size"]] += 1
+        finally:
+            op06_mixing.uniform = uniform
+    # One source only: its target is 1.5 times its words, so half the words are sampled.
+    weight = lambda n: n >> max(0, n.bit_length() - 5) << max(0, n.bit_length() - 5)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(1, c * weight(n)) * n for n in sizes) < sum(sizes) / 2 else (low, c)
+    for group in (range(1, 11), range(11, 21), range(21, 31), range(31, 41)):
+        expected = sum(10 * min(1, low * weight(n)) for n in group) * runs
+        assert abs(sum(seen[n] for n in group) - expected) <= 4 * expected**0.5 + 2 * runs
 
 
 def test_media(spark, texts):
