@@ -401,12 +401,16 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 75, block_bytes: int
     return sized, links.union(rest)
 
 
+def vertex_groups(links: DataFrame) -> DataFrame:
+    """(vertex, root) of the vertices that have links."""
+    return components(links).select(F.col("node").alias("vertex"), "root")
+
+
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of documents (doc_id, text)."""
     sized, links = ngram_links(docs, n, percent)
     vertices = sized.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    roots = components(links).select(F.col("node").alias("vertex"), "root")
-    vertices = stored(vertices.join(roots, "vertex", "left").select("vertex", "least", "rows", "root"), "ngram-vertices")
+    vertices = stored(vertices.join(vertex_groups(links), "vertex", "left").select("vertex", "least", "rows", "root"), "ngram-vertices")
     linked = vertices.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     linked = vertices.join(linked, "root").select("vertex", "component")
     alone = vertices.where("root is null and rows > 1").select("vertex", F.col("least").alias("component"))

@@ -466,6 +466,27 @@ def test_line_dedup_short_repeats(spark, tmp_path):
     assert rows(got, "doc_id", "n_same", "n_near", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_line_dedup_clashing_columns_tiles_and_digests(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op08_line_dedup, "_TILE", 3)
+    r = random.Random(17)
+    thue = ["".join(pair[bin(i).count("1") % 2] for i in range(1024)) for pair in ("ab", "ba")]
+    head = "".join(r.choice("abcdef") for _ in range(30))
+    # Lines of one template: all share segments, few are within two edits.
+    many = [head + "".join(r.choice("uvwxyz") for _ in range(9)) for _ in range(50)]
+    many += [m[:-1] + r.choice("uvwxyz") for m in many[:10]]
+    docs = [(1, thue[0]), (2, thue[1])] + [(3 + i, m) for i, m in enumerate(many)]
+    df = frame(spark, docs)
+    for name in ("near", "same", "line", "kept_text", "n_lines", "doc_id_2", "text_hash"):
+        df = df.withColumn(name, F.lit(1))
+    got = op08_line_dedup.dedup_lines(df)
+    assert len(set(got.columns)) == len(got.columns) and "near" in got.columns
+    want = [(*w[:4], w[4]) for w in brute_lines(docs)]
+    assert rows(got, "doc_id", "n_lines", "n_same", "n_near", "kept_text") == want
+    assert sum(w[3] for w in want) >= 5
+
+
 def test_language_field(spark):
     r = random.Random(8)
     vocabulary = {lang: [a + b for a in start for b in end] for lang, start, end in (("aa", ["ka", "to", "mi", "ru"], ["ling", "sto", "ve"]), ("bb", ["ez", "oq", "ul", "yi"], ["ción", "ar", "ñe"]), ("cc", ["schn", "br", "gl", "pf"], ["ung", "heit", "öß"]))}
