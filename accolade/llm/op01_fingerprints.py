@@ -5,7 +5,7 @@ over all texts, where the texts of a large group of near copies (equal in four m
 hashes) weigh together as one; the lexicon keeps the terms whose inverse document frequency lies in a band. The
 band's lower frequency is a share f of all documents, so at most (mean terms a document) / f
 terms pass, however many documents there are; what reaches every task is a fixed table of bits
-by term hash. A document's lexicon terms, distinct and sorted, are hashed over randomised subsets
+by two places in a term's hash: a term outside the band passes by chance at the square of the table's share of set bits. A document's lexicon terms, distinct and sorted, are hashed over randomised subsets
 of the lexicon at four densities: sixteen subsets that split it, then sixteen each of a quarter, a
 sixteenth and a sixty-fourth of it. Large subsets find equal documents, small ones keep agreeing
 while a part of a document changes. Two fingerprints' likeness is the share of subsets with equal
@@ -18,7 +18,7 @@ alone; each range is ordered alone, and its last row takes the first of the next
 Defined cases: null texts are empty; a text of whose terms less than a tenth, or none, are in the
 lexicon is hashed over all its terms; a text without terms has an empty fingerprint, alike (1.0) only to another
 such; rows with a null doc_id come last, rows with equal doc_id are ordered by a hash of their
-texts; a single row is its own next one; further columns are ignored.
+texts; a single row is its own next one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,22 +43,34 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
+def _slot(term: Column, i: int) -> Column:
+    """A place in the table: the lowest bits of a term's hash, or its highest ones."""
+    return (F.shiftrightunsigned(term, 64 - TABLE_BITS) if i else term).bitwiseAND((1 << TABLE_BITS) - 1)
+
+
+def _seeded(i: int):
+    # A function of one argument: of two, the second would be an element's place.
+    return lambda h: F.xxhash64(h, F.lit(i))
+
+
 def lexicon_bits(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> Column:
     """A constant array of 64-bit words with a bit set for each lexicon term's hash; its size is the same for any input."""
     size = docs.count()
     found = docs.select(terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    found = found.withColumn("copy", F.xxhash64(*[F.array_min(F.transform("terms", lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(MINIMA)]))
+    found = found.withColumn("copy", F.xxhash64(*[F.array_min(F.transform("terms", _seeded(i))) for i in range(MINIMA)]))
     # Groups beyond the least share of all rows: at most 1 / least of them, whatever the number of rows.
     groups = found.where(F.size("terms") > 0).groupBy("copy").agg(F.count("*").alias("members")).where(F.col("members") > max(1.0, least * size))
     groups = stored(groups, "copies")
     many, members = groups.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
     size -= members - many
     low, high = max(2, int(least * size)), max(2.0, most * size)
-    weight = F.coalesce(F.greatest(F.lit(1), F.floor(F.lit(UNITS) / F.col("members"))), F.lit(UNITS)).cast("long")
+    # greatest() passes over nulls, so a text of no group has to be one of itself.
+    weight = F.greatest(F.lit(1), F.floor(F.lit(UNITS) / F.coalesce("members", F.lit(1)))).cast("long")
     weighed = found.join(small(groups, many), "copy", "left").select(F.explode("terms").alias("term"), weight.alias("weight"))
     counts = weighed.groupBy("term").agg((F.sum("weight") / UNITS).alias("df"))
-    slot = F.col("term").bitwiseAND((1 << TABLE_BITS) - 1)
-    chosen = counts.where((F.col("df") >= low) & (F.col("df") <= high)).select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(term & 63 as int))").alias("bit"))
+    slots = F.array(*[_slot(F.col("term"), i) for i in range(2)])
+    chosen = counts.where((F.col("df") >= low) & (F.col("df") <= high)).select(F.explode(slots).alias("slot"))
+    chosen = chosen.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
     chosen = chosen.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     words = [0] * (1 << (TABLE_BITS - 6))
     for r in chosen.collect():  # at most one row a word of the table
@@ -78,7 +90,8 @@ def _bits_equal(shift: int, mask: int, value: int):
 def with_cells(df: DataFrame, text: str, bits: Column, out: str) -> DataFrame:
     """Adds `out`, the hashes of the subsets as an array of 8 hexadecimal digits each, or '' where the document has no term."""
     t, s = f"{out}_all", f"{out}_own"
-    known = lambda h: F.getbit(F.element_at(bits, (F.shiftright(h.bitwiseAND((1 << TABLE_BITS) - 1), 6) + 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+    is_set = lambda slot: F.getbit(F.element_at(bits, (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+    known = lambda h: is_set(_slot(h, 0)) & is_set(_slot(h, 1))
     df = df.withColumn(t, terms(F.col(text))).withColumn(s, F.array_sort(F.filter(t, known)))
     df = df.withColumn(f"{out}_0", F.when((F.size(s) > 0) & (F.size(s) >= FEW_SHARE * F.size(t)), F.col(s)).otherwise(F.array_sort(F.col(t))))
     cells = []
@@ -112,14 +125,17 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
     rows = docs.count()
     ranges = min(MOST_CUTS, -(-rows // RANGE_ROWS)) or 1
     pieces = -(-rows // (ranges * RANGE_ROWS)) or 1
-    facts = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges).alias("cuts"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    facts = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges).alias("cuts"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("unknown")).first()
     cuts = sorted(set(facts["cuts"] or []))
     constant = lambda values: F.array(*[F.lit(int(v)) for v in values]).cast("array<long>")
     coarse = F.size(F.filter(constant(cuts), lambda b: b < F.col("doc_id")))
     low, high = (F.get(constant(v), coarse).cast("double") for v in ([facts["least"] or 0, *cuts], [*cuts, facts["most"] or 0]))
     fine = F.floor((F.col("doc_id") - low) / (high - low + 1) * pieces)
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(coarse * pieces + F.greatest(F.lit(0), F.least(F.lit(pieces - 1), fine)) if pieces > 1 else coarse).cast("long")
     tie = F.bitwise_not(F.xxhash64("text"))
+    # Rows without an id come last, in ranges of their ties.
+    last = -(-facts["unknown"] // RANGE_ROWS)
+    by_tie = F.greatest(F.lit(0), F.least(F.lit(last - 1), F.floor((tie.cast("double") / float(1 << 64) + 0.5) * last))) - last
+    part = F.when(F.col("doc_id").isNull(), by_tie).otherwise(coarse * pieces + F.greatest(F.lit(0), F.least(F.lit(pieces - 1), fine)) if pieces > 1 else coarse).cast("long")
     placed = docs.withColumn("part", part).withColumn("tie", tie)
     first = placed.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
     circle = Window.orderBy(F.desc("part"))
