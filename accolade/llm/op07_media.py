@@ -2,13 +2,14 @@
 
 A payload becomes a one-channel, 8-bit WAV that the wave module writes and reads back without
 loss. Its samples are cut into overlapping windows; the Fourier transform of each gives a
-spectrum. In each of a few frequency bands the strongest bin of a window is a peak if no
-window within two of it is stronger there. Each peak is paired with the next peaks of its band; a
-pair is stored as the time of its first peak and a code of both bins and the time between them.
+spectrum; the last window is filled up with the last sample, so every sample is in one. In each of a few frequency bands the strongest bin of a window is a peak if no
+window within two of it is stronger there. Each peak is paired with the next peaks of its band (one that has none in reach with itself); a
+pair is stored as the time of its first peak and a code of both bins and the time between them, in two arrays of equal length;
+`feature` is the same as text.
 
 Defined cases: a null text is the empty payload and is padded like one; a silent window (all
 samples alike) has no peak, so a constant payload has the empty feature; repeated rows give equal
-values; further columns do not matter.
+values; an empty table gives no rows; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def from_wav(media: bytes) -> bytes:
 
 def band_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window and band, the strongest bin and its magnitude; blocks of windows bound the scratch memory."""
-    if len(samples) < WINDOW:
-        samples = np.pad(samples, (0, WINDOW - len(samples)), mode="edge")
+    steps = max(0, -(-(len(samples) - WINDOW) // HOP))
+    samples = np.pad(samples, (0, WINDOW + steps * HOP - len(samples)), mode="edge")
     frames = np.lib.stride_tricks.sliding_window_view(samples, WINDOW)[::HOP]
     bins, power = np.empty((len(frames), len(BANDS) - 1), np.int64), np.empty((len(frames), len(BANDS) - 1), np.float32)
     for i in range(0, len(frames), _BLOCK):
@@ -69,8 +70,8 @@ def band_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bins, power
 
 
-def peak_pairs(samples: np.ndarray) -> list[tuple[int, int]]:
-    """(time, code) of each pair, by time, then code."""
+def peak_pairs(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time and code of each pair, by time, then code."""
     bins, power = band_peaks(samples)
     padded = np.pad(power, ((ALONE, ALONE), (0, 0)))
     around = np.max([padded[d : d + len(power)] for d in range(2 * ALONE + 1) if d != ALONE], axis=0)
@@ -79,6 +80,10 @@ def peak_pairs(samples: np.ndarray) -> list[tuple[int, int]]:
     for b in range(bins.shape[1]):
         at = np.flatnonzero(is_peak[:, b])
         f = bins[at, b]
+        # A peak with none behind it in reach is stored alone, as a pair with itself.
+        alone = np.append(np.diff(at) >= REACH, True)[: len(at)]
+        times.append(at[alone])
+        codes.append((f[alone] * 256 + f[alone]) * REACH)
         for k in range(1, PARTNERS + 1):
             gap = at[k:] - at[:-k]
             near = gap < REACH
@@ -86,25 +91,25 @@ def peak_pairs(samples: np.ndarray) -> list[tuple[int, int]]:
             codes.append((f[:-k][near] * 256 + f[k:][near]) * REACH + gap[near])
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
-    return list(zip(t[order].tolist(), c[order].tolist(), strict=True))
+    return t[order], c[order]
 
 
 def describe(text: str | None) -> tuple:
     data = (text or "").encode()
     media = to_wav(pad(data))
     payload = from_wav(media)
-    pairs = peak_pairs(np.frombuffer(payload, np.uint8))
-    feature = ",".join([f"{t:x}:{c:x}" for t, c in pairs])
-    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    times, codes = peak_pairs(np.frombuffer(payload, np.uint8))
+    feature = ",".join([f"{t:x}:{c:x}" for t, c in zip(times.tolist(), codes.tolist(), strict=True)])
+    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, times, codes
 
 
-_FIELDS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+_FIELDS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "times": pa.list_(pa.int32()), "codes": pa.list_(pa.int32())}
 
 
 def _describer(batches):
     for batch in batches:
-        for i in range(0, batch.num_rows, 1000):
-            part = batch.slice(i, 1000)
+        for i in range(0, batch.num_rows, 200):
+            part = batch.slice(i, 200)
             rows = [describe(t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(_FIELDS.values())]], ["doc_id", *_FIELDS])
 
@@ -112,7 +117,8 @@ def _describer(batches):
 def media_features(docs: DataFrame) -> DataFrame:
     """The query's columns for every row of (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = ", ".join(f"{k} {'long' if t == pa.int64() else 'string'}" for k, t in _FIELDS.items())
+    names = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
+    fields = ", ".join(f"{k} {names[t]}" for k, t in _FIELDS.items())
     return docs.select("doc_id", "text").mapInArrow(_describer, f"doc_id {kind}, {fields}")
 
 
