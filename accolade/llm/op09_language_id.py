@@ -5,17 +5,17 @@ its character n-grams between word marks (those that hold a mark are its affixes
 common enough in the sample, the word itself as a lexicon entry; transition weights between
 languages are learned with them, so runs of one language are favoured and switches inside a
 text remain possible. Forward-backward gives each word's label probabilities; a document's
-are the means over its words.
+are the means over its words; `label_words` gives the words' own labels.
 
 The model is fitted on a bounded sample of labelled rows: about `per_language` documents of
-each language, chosen by a hash of doc_id, of each one run of `window` words. Rows whose
+each language, chosen by a hash of doc_id and text (of equal runs one), of each one run of `window` words. Rows whose
 crc32(doc_id as text) mod 5 is 0 are held out and never fitted on; lang, source and doc_id are
 no inputs of a prediction. Prediction reads every word of every text: texts are cut into
 chunks whose transfer matrices are chained, which is exact and keeps the number of vector
 steps independent of the longest text.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any labelled row
-everything is `und`.
+everything is `und`; an empty table gives no rows.
 Repeated rows, ties (the label that sorts first wins) and further columns do not matter.
 """
 
@@ -99,8 +99,8 @@ def _positive(scores: np.ndarray) -> np.ndarray:
     return np.exp(scores - scores.max(1, keepdims=True)) + np.float32(1e-9)
 
 
-def _sums_of_marginals(x: np.ndarray, first: np.ndarray, A: np.ndarray) -> np.ndarray:
-    """For each row first[r]:first[r+1] of positive emissions, the sum of its words' label probabilities.
+def _sums_of_marginals(x: np.ndarray, first: np.ndarray, A: np.ndarray, each: np.ndarray | None = None) -> np.ndarray:
+    """For each row first[r]:first[r+1] of positive emissions, the sum of its words' label probabilities; `each` is filled with these.
 
     Before the first word all labels are alike. Chunks are run side by side: once for their
     transfer matrices, which are chained along each row, then forward and backward.
@@ -148,7 +148,10 @@ def _sums_of_marginals(x: np.ndarray, first: np.ndarray, A: np.ndarray) -> np.nd
             continue
         at = start[:k] + t
         g = forward[at] * after[:k]
-        total[:k] += g / g.sum(1, keepdims=True)
+        g = g / g.sum(1, keepdims=True)
+        total[:k] += g
+        if each is not None:
+            each[at] = g
         v = (x[at] * after[:k]) @ A.T
         after[:k] = v / v.sum(1, keepdims=True)
     np.add.at(out, doc, total)
@@ -246,11 +249,12 @@ def sample(docs: DataFrame, per_language: int = 400, window: int = 120) -> list[
     """About per_language rows of each language outside the held-out fold, as (lang, run of words), in an order fixed by their hashes."""
     usable = docs.where("lang is not null and text is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    share = F.lit(False)
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    for lang, count in sorted(counts.items()):
-        share = share | ((F.col("lang") == lang) & (rank < int(min(1.0, per_language / count) * (1 << 30))))
-    rows = usable.select("lang", "text", rank.alias("rank")).where(share).mapInArrow(_window(window), "lang string, text string, rank long").collect()
+    if not counts:
+        return []
+    rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    bounds = F.create_map(*[F.lit(v) for lang, count in sorted(counts.items()) for v in (lang, int(min(1.0, per_language / count) * (1 << 30)))])
+    chosen = usable.select("lang", "text", rank.alias("rank")).where(F.col("rank") < bounds[F.col("lang")])
+    rows = chosen.mapInArrow(_window(window), "lang string, text string, rank long").groupBy("lang", "text").agg(F.min("rank").alias("rank")).collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["rank"], r["lang"], r["text"]))]
 
 
@@ -315,5 +319,40 @@ def predict_languages(docs: DataFrame, per_language: int = 400, window: int = 12
     return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_predictor(spark.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def _word_labeller(shared):
+    def run(batches):
+        model = shared.value
+        A = np.exp(model.transitions - model.transitions.max()).astype(np.float32) if model else None
+        for whole in batches:
+            for batch in K.slices(whole, "text"):
+                raw, at = K.buffers(batch.column("text"))
+                starts, ends, row = _letter_words(raw, at)
+                count = np.bincount(row, minlength=batch.num_rows) if model else np.zeros(batch.num_rows, np.int64)
+                bounds = np.concatenate([[0], np.cumsum(count)])
+                best, p = np.zeros(bounds[-1], np.int64), np.zeros(bounds[-1])
+                if bounds[-1]:
+                    hashes = K.span_hashes(raw, starts, ends)
+                    unique, which, word = np.unique(hashes, return_index=True, return_inverse=True)
+                    x = _positive(model.scores(raw, starts[which], ends[which], unique))[word]
+                    each = np.zeros_like(x)
+                    _sums_of_marginals(x, bounds, A, each)
+                    best = each.argmax(1)
+                    p = each[np.arange(len(best)), best].astype(np.float64)
+                chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                begin, end = (chars[v] - chars[at[:-1][row]] if bounds[-1] else np.zeros(0, np.int64) for v in (starts, ends))
+                labels = pa.array([model.labels[k] for k in best] if model else [], pa.string())
+                words = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), labels, pa.array(p)], ["start", "end", "lang", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words)], ["doc_id", "words"])
+
+    return run
+
+
+def label_words(docs: DataFrame, per_language: int = 400, window: int = 120) -> DataFrame:
+    """doc_id and `words`, for each word (a run of letters and characters beyond ASCII) its start and end (code points, end exclusive), most likely language and that one's probability, for every row of (doc_id, text, lang)."""
+    model = fit(sample(docs, per_language, window), window)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_word_labeller(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, words array<struct<start:int,end:int,lang:string,p:double>>")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
