@@ -7,12 +7,12 @@ sidecar. Reading then goes by offset. All files go to the folder that the cluste
 attempt of a task writes under a name of its own, and only names that a finished task has
 returned are read, so lost executors and repeated tasks leave nothing wrong behind.
 
-Equal payloads of at least `least` bytes: the smallest page_id is the response, the others are
-revisits that hold its id and digest but no payload. Payloads are compared by their SHA-256.
+Equal payloads of at least `least` bytes: the row with the smallest page_id is the response (of rows that share it that with the least url,
+of equal rows any one), the others are revisits that hold its id and digest but no payload. Payloads are compared by their SHA-256.
 
-Defined cases: a null html is the empty payload; a null url has no target header; rows that
-repeat the smallest page_id are all responses; rows with a null page_id are responses unless some
-other page has their payload (they never are referred to); further columns are ignored.
+Defined cases: a null html is the empty payload; a null url has no target header; a null page_id comes
+after all others, so it is a response only where no row with its payload has an id, and is referred to as null then; an
+empty table writes no archive and gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accolade.llm._shared import scratch, small, stored, table
@@ -35,16 +35,16 @@ _GZIP = 31
 _END = b"\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit (refers_to given) holds the response's head only."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
+    """One WARC record; a revisit holds the response's head only."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    block = head if revisit else head + payload
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url))
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    if revisit:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + _END + block + _END
 
@@ -112,12 +112,12 @@ def _write_archives(folder: str):
         files, base = _opened(folder)
         out, z, held, names = None, None, 0, []
         for batch in batches:
-            for page_id, url, html, digest, refers_to in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")], strict=True):
+            for page_id, url, html, digest, revisit, refers_to in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "revisit", "refers_to")], strict=True):
                 if out is None:
                     names.append(f"{uuid.uuid4().hex}.warc.gz")
                     out, z, held = files.open_output_stream(f"{base}/{names[-1]}", compression=None), zlib.compressobj(1, zlib.DEFLATED, _GZIP), 0
                 payload = (html or "").encode()
-                out.write(z.compress(record(page_id, url, payload, digest, refers_to)))
+                out.write(z.compress(record(page_id, url, payload, digest, revisit, refers_to)))
                 held += len(payload)
                 if held >= ARCHIVE_BYTES:
                     out.write(z.flush())
@@ -188,16 +188,27 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     """Names of the whole-file archives written for every row of (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
     size = F.octet_length(F.coalesce("html", F.lit("")))
-    firsts = pages.where(size >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    firsts = pages.where(size >= least).groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     firsts = stored(firsts, "warc-firsts")
-    refers_to = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
-    marked = pages.join(small(firsts, firsts.count()), "digest", "left").select("page_id", "url", "html", "digest", refers_to.cast("long").alias("refers_to"))
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    marked = pages.join(small(firsts, firsts.count(), 512), "digest", "left").withColumn("leads", is_first & F.col("first").isNotNull())
+    # Where rows are alike in id and url as well, one of them stays the response.
+    alike = stored(marked.where("leads").groupBy("digest").count().where("count > 1").select("digest"), "warc-alike")
+    several = alike.count()
+    if several:
+        nth = F.row_number().over(Window.partitionBy("digest").orderBy("page_id"))
+        twins = marked.where("leads").join(small(alike, several, 96), "digest", "left_semi").withColumn("leads", nth == 1)
+        others = marked.where("not leads").unionByName(marked.where("leads").join(small(alike, several, 96), "digest", "left_anti"))
+        marked = others.unionByName(twins)
+    revisit = F.col("first").isNotNull() & ~F.col("leads")
+    marked = marked.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"))
     return stored(marked.mapInArrow(_write_archives(folder), "archive string"), "warc-archives")
 
 
 def normalise_archives(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """(archive, offset, length) of every record's member in the archives rewritten from whole-file ones, in the files' order."""
-    return stored(archives.repartition(max(1, archives.count()), "archive").mapInArrow(_normalise(folder, level), "archive string, offset long, length long"), "warc-index")
+    return stored(archives.repartitionByRange(max(1, archives.count()), "archive").mapInArrow(_normalise(folder, level), "archive string, offset long, length long"), "warc-index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -211,10 +222,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
-       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
-FROM p LEFT JOIN f ON p.d = f.d
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST, url NULLS LAST) AS nth, first_value(page_id) OVER (PARTITION BY d ORDER BY page_id NULLS LAST, url NULLS LAST) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n < 100 OR nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n >= 100 AND nth > 1 THEN first END AS refers_to
+FROM f
 """
