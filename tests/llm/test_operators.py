@@ -65,7 +65,7 @@ def test_fingerprints(spark, texts, monkeypatch, cuts):
     monkeypatch.setattr(op01_fingerprints, "MOST_CUTS", cuts)
     df = frame(spark, texts)
     got = op01_fingerprints.edited_fingerprints(df, 0.02, 0.9).collect()
-    unsigned = lambda t: -int.from_bytes(__import__("xxhash").xxh64(t.encode(), seed=42).digest(), "big", signed=True)
+    unsigned = lambda t: int.from_bytes(__import__("xxhash").xxh64(t.encode(), seed=42).digest(), "big", signed=True)
     order = sorted([(d, t or "") for d, t in texts], key=lambda x: (x[0] is None, -(x[0] or 0), unsigned(x[1])))
     want = []
     for i, (d, t) in enumerate(order):
@@ -83,6 +83,73 @@ def test_fingerprints(spark, texts, monkeypatch, cuts):
     assert op01_fingerprints.edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def brute_cells(texts, least, most):
+    """The subsets' hashes of each text, from the definitions; xxhash64 chains through its columns or elements."""
+    import struct
+
+    import xxhash
+
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    word = lambda w: signed(xxhash.xxh64(w.encode(), seed=42).intdigest())
+
+    def chain(values, formats):
+        seed = 42
+        for v, f in zip(values, formats):
+            seed = xxhash.xxh64(struct.pack(f, v), seed=seed).intdigest()
+        return signed(seed)
+
+    sets = [{word(w) for w in re.split(r"[\x00-/:-@\[-`{-\x7F]+", t.lower()) if w} for t in texts]
+    copies = [tuple(min(chain((h, i), ("<q", "<i")) for h in s) for i in range(op01_fingerprints.MINIMA)) if s else None for s in sets]
+    members = Counter(c for c in copies if c)
+    groups = {c: n for c, n in members.items() if n > max(1.0, least * len(texts))}
+    size = len(texts) - sum(groups.values()) + len(groups)
+    df = Counter()
+    for s, c in zip(sets, copies):
+        for h in s:
+            df[h] += max(1, op01_fingerprints.UNITS // groups[c]) if c in groups else op01_fingerprints.UNITS
+    lexicon = {h for h, n in df.items() if max(2, int(least * size)) <= n / op01_fingerprints.UNITS <= max(2.0, most * size)}
+    mask = (1 << op01_fingerprints.TABLE_BITS) - 1
+    slots = {x for h in lexicon for x in (h & mask, (h >> 64 - op01_fingerprints.TABLE_BITS) & mask)}
+    out = []
+    for s in sets:
+        own = [h for h in s if h & mask in slots and (h >> 64 - op01_fingerprints.TABLE_BITS) & mask in slots]
+        level, cells = sorted(own if own and len(own) >= op01_fingerprints.FEW_SHARE * len(s) else s), []
+        for k in range(4):
+            if k:
+                level = [h for h in level if h >> 24 + 2 * k & 3 == 0]
+            for c in range(16):
+                some = [h for h in level if h >> 34 + 4 * k & 15 == c]
+                cells.append(f"{chain(some, ['<q'] * len(some)) & 0xFFFFFFFF:08x}" if some else "")
+        out.append(cells)
+    return out
+
+
+def test_fingerprints_by_brute_force(spark, texts):
+    docs = sorted({(i, t or "") for i, (_, t) in enumerate(texts)}, reverse=True)
+    got = {r["doc_id"]: r for r in op01_fingerprints.edited_fingerprints(frame(spark, docs), 0.02, 0.3).collect()}
+    plain = [t for _, t in docs]
+    cells = brute_cells(plain, 0.02, 0.3)
+    like = lambda a, b: 1.0 if not any(a + b) else sum(x == y for x, y in zip(a, b) if x or y) / sum(bool(x or y) for x, y in zip(a, b))
+    for n, (i, t) in enumerate(docs):
+        after = (n + 1) % len(docs)
+        assert got[i]["fingerprint"] == ".".join(c or "-" for c in cells[n])
+        assert got[i]["near_next"] == pytest.approx(like(cells[n], cells[after]))
+    assert len({tuple(c) for c in cells}) > 40
+
+
+def test_fingerprints_without_ids(spark, texts, monkeypatch):
+    monkeypatch.setattr(op01_fingerprints, "RANGE_ROWS", 4)
+    docs = [(None, t) for _, t in texts[:30]] + [(1, "a b c"), (None, "a b c")]
+    got = op01_fingerprints.edited_fingerprints(frame(spark, docs), 0.02, 0.9).collect()
+    unsigned = lambda t: int.from_bytes(__import__("xxhash").xxh64(t.encode(), seed=42).digest(), "big", signed=True)
+    order = sorted([(d, t or "") for d, t in docs], key=lambda x: (x[0] is None, -(x[0] or 0), unsigned(x[1])))
+    want = []
+    for i, (d, t) in enumerate(order):
+        after, half = order[(i + 1) % len(order)][1], len(t) // 2
+        want.append((d, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted([(r["doc_id"], r["edited_sha256"]) for r in got], key=repr) == sorted(want, key=repr)
+
+
 def test_fingerprints_of_a_large_group_of_copies(spark):
     r = random.Random(21)
     words = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
@@ -202,6 +269,14 @@ def test_personal_data(spark):
         assert [x for x in op04_pii.find(s) if x[0] in op04_pii.BASE] == brute_base(s)
     found = op04_pii.find("see https://bob:pw@host.example/x user: bob77 superuser: eve99 account no: DE8937")
     assert [k for k, _, _ in found] == ["login", "email", "account", "account"]
+    for text, want in [
+        ("IBAN: DE89 3704 0044 0532 0130 00 and more", ["DE89 3704 0044 0532 0130 00"]), ("iban DE89370400440532013000", ["DE89370400440532013000"]), ("IBAN DE88 3704 0044 0532 0130 00", []),
+        ("SSN 123-45-6789", ["123-45-6789"]), ("ssn 000-45-6789", []), ("social security number: 123456789", ["123456789"]), ("UserId=Eve-77 x", ["Eve-77"]), ("ACCOUNT number: 12-3456 7890, then", ["12-3456 7890"]),
+        ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]), ("password: hunter2hunter2", ["hunter2hunter2"]), ("a token of thanks", []), ("user: " + "a1" * 500, ["a1" * 500]),
+        ("Account no: \u0130" + " user=x9y8", ["x9y8"]),
+    ]:
+        assert [text[a:b] for k, a, b in op04_pii.find(text) if k in ("account", "secret")] == want, text
+    assert op04_pii.find_personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
     got = op04_pii.find_personal_data(frame(spark, [(1, None), (2, "é x@y.z"), (2, "é x@y.z")])).collect()
     assert sorted((r["doc_id"], r["n_email"], r["spans"]) for r in got) == [(1, 0, ""), (2, 1, "email:2:7"), (2, 1, "email:2:7")]
     assert got[0]["base_sha256"] in {hashlib.sha256(x).hexdigest() for x in (b"", b"email:2:7")}
@@ -352,9 +427,44 @@ def test_media(spark, texts):
     # A tone that changes its pitch gives its own bins at their times.
     t = np.arange(8192)
     tone = np.where(t < 4096, np.sin(2 * np.pi * 20 * t / 256), np.sin(2 * np.pi * 50 * t / 256))
-    pairs = op07_media.peak_pairs((128 + 100 * tone).astype(np.uint8))
+    pairs = list(zip(*(v.tolist() for v in op07_media.peak_pairs((128 + 100 * tone).astype(np.uint8)))))
     assert any(c // 32 // 256 == 20 for at, c in pairs if at < 28) and any(c // 32 // 256 == 50 for at, c in pairs if at > 34)
-    assert op07_media.peak_pairs(np.full(640, 7, np.uint8)) == []
+    assert len(op07_media.peak_pairs(np.full(640, 7, np.uint8))[0]) == 0
+    for r in got.values():
+        assert r["feature"] == ",".join(f"{t:x}:{c:x}" for t, c in zip(r["times"], r["codes"], strict=True))
+    # Samples behind the last whole window count.
+    a, b = (b"x" * 256 + tail for tail in (b"abcdefgh" * 8, b"hgfedcba" * 8))
+    assert op07_media.describe(a.decode())[6] != op07_media.describe(b.decode())[6]
+    assert op07_media.media_features(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert op07_media.media_features(frame(spark, [(1, "é" * 2_000_000)])).first()["n_bytes"] == 4_000_000
+
+
+def brute_pairs(payload):
+    """Peak pairs by sums instead of a fast transform, window by window."""
+    x = list(payload)
+    while len(x) < 256 or (len(x) - 256) % 128:
+        x.append(x[-1])
+    strongest = []
+    for at in range(0, len(x) - 255, 128):
+        w = np.array(x[at : at + 256], np.float64)
+        w = (w - w.mean()) * np.hanning(256)
+        power = [abs((w * np.exp(-2j * np.pi * k * np.arange(256) / 256)).sum()) ** 2 for k in range(129)]
+        strongest.append([max((power[k], -k) for k in range(lo, hi)) for lo, hi in zip((2, 12, 32, 72), (12, 32, 72, 129))])
+    out = []
+    for band in range(4):
+        peaks = [(i, -s[band][1]) for i, s in enumerate(strongest) if s[band][0] > 1 and all(s[band][0] >= strongest[j][band][0] for j in range(max(0, i - 2), min(len(strongest), i + 3)))]
+        for n, (i, f) in enumerate(peaks):
+            next_ones = [(i, (f * 256 + g) * 32 + j - i) for j, g in peaks[n + 1 : n + 3] if j - i < 32]
+            out += next_ones or [(i, (f * 256 + f) * 32)]
+    return sorted(out)
+
+
+def test_media_features_by_brute_force():
+    r = random.Random(15)
+    for n in (64, 256, 320, 1024, 2112):
+        payload = bytes(r.choice(b"the quick brown fox\n\xc3\xa9") for _ in range(n))
+        times, codes = op07_media.peak_pairs(np.frombuffer(payload, np.uint8))
+        assert list(zip(times.tolist(), codes.tolist())) == brute_pairs(payload)
 
 
 def edits(a, b):
@@ -506,6 +616,13 @@ def test_language_field(spark):
     kept = op09_language_id.keep_identified(df)
     assert kept.columns == df.columns and kept.count() == 300
     assert op09_language_id.predict_languages(df.limit(0)).count() == 0
+    assert rows(op09_language_id.predict_languages(df.union(df.limit(20))).dropDuplicates(), "doc_id") == rows(df, "doc_id")
+    # Words of a text that switches its language have their own labels.
+    mixed = " ".join([r.choice(vocabulary["aa"]) for _ in range(30)] + ["- 5"] + [r.choice(vocabulary["bb"]) for _ in range(30)])
+    own = df.union(spark.createDataFrame([(2000, mixed, None, 1)], df.schema))
+    words = {r["doc_id"]: r["words"] for r in op09_language_id.label_words(own).where("doc_id in (2000, 1000, 3)").collect()}
+    assert words[1000] == [] and [mixed[w["start"] : w["end"]] for w in words[2000]] == [w for w in mixed.split() if w[0].isalpha()]
+    assert sum(w["lang"] == ("aa" if i < 30 else "bb") for i, w in enumerate(words[2000])) >= 57 and all(0 < w["p"] <= 1.0001 for w in words[2000])
 
 
 def test_forward_backward():
@@ -529,17 +646,28 @@ def test_forward_backward():
 
 def test_warc(spark):
     html = ["<p>é</p>" * 40, "short", "", None, "x" * 100, "y" * 99, "\r\n\r\nWARC/1.1\r\n" * 20]
-    pages = [(i, None if i % 5 == 0 else f"http://h/{i}\r\n", html[i % 7]) for i in range(40)] + [(None, "u", "x" * 100), (3, "u", None)]
+    pages = [(i, None if i % 5 == 0 else f"http://h/{i}\r\n", html[i % 7]) for i in range(40)] + [(None, "u", "x" * 100), (3, "u", None), (4, "a", "x" * 100), (900, "v", "long" * 200_000), (900, "v", "long" * 200_000), (None, "w", "z" * 300), (None, None, "z" * 300), (None, "w", "z" * 300)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", __import__("pyspark").sql.functions.lit(1)).repartition(3)
     folder = op10_warc.scratch(spark, "warc-test")
     index = op10_warc.normalise_archives(op10_warc.write_archives(df, folder), folder)
     got = rows(op10_warc.read_archives(index, folder), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    want = []
+    want, led = [], set()
     for p, _, h in pages:
         data = (h or "").encode()
-        first = min(q for q, _, g in pages if g == h and q is not None) if len(data) >= 100 else p
-        want.append((p, len(data), hashlib.sha256(data).hexdigest(), "response" if first == p else "revisit", None if first == p else first))
+        group = sorted([(q is None, q or 0, u is None, u or "", q) for q, u, g in pages if g == h])
+        leads = len(data) < 100 or ((p is None, p or 0) == group[0][:2] and (p, h) not in led)
+        led.add((p, h))
+        want.append((p, len(data), hashlib.sha256(data).hexdigest(), "response" if leads else "revisit", None if leads else group[0][4]))
     assert got == sorted(want, key=repr)
+    assert Counter(r[3] for r in got if r[2] == hashlib.sha256(b"z" * 300).hexdigest()) == {"response": 1, "revisit": 2}
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert got == sorted(con.sql(op10_warc.SQL).fetchall(), key=repr)
+    empty = op10_warc.write_archives(df.limit(0), folder)
+    assert op10_warc.read_archives(op10_warc.normalise_archives(empty, folder), folder).count() == 0
     # Every member can be inflated alone, and the sidecar lists them.
     path = folder.removeprefix("file://")
     for r in index.select("archive").distinct().collect():
