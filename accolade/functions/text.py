@@ -13,26 +13,23 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from accolade.functions.phrase import Phrase, people, squeeze
+
 #: Characters that stand for plain quotes, and for three dots where a source folds them.
 QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"', "´": "'", "`": "'"}
 DOTS = {"…": "..."}
 _QUOTES, _QUOTES_DOTS = str.maketrans(QUOTES), str.maketrans(QUOTES | DOTS)
-#: The forms of initials, roles, suffixes and joints in names and titles.
-_GAP, _AND, _INITIAL = re.compile(r"\s+"), re.compile(r"\s+&\s+"), re.compile(r"\b([A-Za-z])\.\s+")
+#: The forms of initials, roles and joints in names and titles.
+_AND, _INITIAL = re.compile(r"\s+&\s+"), re.compile(r"\b([A-Za-z])\.\s+")
 _HYPHEN = re.compile("(\\w)[‐‑‒–—−-](\\w)")
 _LONE_APOSTROPHE = re.compile(r"(?<!\w)'|'(?!\w)")
-_TRANSLATOR = re.compile(r",\s*(?:translated by\s+.+|.+\s+translator)\s*$", re.I)
-_SUFFIX = re.compile(r"(?:Jr\.?|Sr\.?|II|III|IV)", re.I)
+TRANSLATOR = re.compile(r",\s*(?:translated by\s+.+|.+\s+translator)\s*$", re.I)
+LAST_GROUP, LAST_GROUP_WITH_LETTER = re.compile(r"(?<=\S)[\s,]*\([^(]*\)$"), re.compile(r"(?<=\S)[\s,]*\([^(]*[^\W\d_][^(]*\)$")
 _ROLE_PROSE = re.compile(r"\b(?:with|translated\s+by|edited\s+by|editors?|introduction\s+by)\b", re.I)
 _RELATED_PROSE = re.compile(r";|\bwith\b|\bintro\.|\bfwd\.|\bappendix\b|\btranslated\s+by\b", re.I)
 _QUERY_ROLE = re.compile(r"\(\s*(?:eds?\.?|editors?)\s*\)\s*$", re.I)
 _CREDIT_ROLE = re.compile(r",\s*(?:eds?\.|editors?)\s*$", re.I)
-_OR_AND = re.compile(r"\s+(?:and|&)\s+", re.I)
-
-
-def squeeze(text: str) -> str:
-    """White space as single spaces, none at the ends."""
-    return _GAP.sub(" ", text).strip()
+_SLUG_MARKS = ".,'’`´‘"
 
 
 def plain(text: str, dots: bool = False) -> str:
@@ -54,14 +51,6 @@ def _unhyphened(text: str) -> str:
     return squeeze(_HYPHEN.sub(r"\1 \2", text))
 
 
-def before_last_group(text: str, needs_letter: bool) -> str:
-    """Text without a parenthesis at its end, if something is left."""
-    text = text.rstrip()
-    at = text.rfind("(") if text.endswith(")") else -1
-    rest = text[:at].rstrip(" ,") if at > 0 else ""
-    return rest if rest and (not needs_letter or any(map(str.isalpha, text[at:]))) else text
-
-
 def join_names(names) -> str:
     names = [n for n in map(squeeze, names) if n]
     return " and ".join([", ".join(names[:-1]), names[-1]] if len(names) > 1 else names)
@@ -84,23 +73,19 @@ def title_marked(text: str) -> str:
 
 
 _OPEN_QUOTES = "\"'“”‘’"
-_MARKUP_END = re.compile(r",?\s*(?:</?em>|/em>)\s*$", re.I)
-
-
-def without_markup(text: str) -> str:
-    return _MARKUP_END.sub("", text)
+MARKUP_END = re.compile(r",?\s*(?:</?em>|/em>)\s*$", re.I)
 
 
 def cleaned_title(text: str) -> str:
     """A table's or list's title without left-over markup and quotes around it."""
-    text = without_markup(squeeze(text)).rstrip(" ,")
-    while len(text) > 1 and text[0] in _OPEN_QUOTES and text[-1] in _OPEN_QUOTES:
-        text = text[1:-1].strip()
-    return squeeze(text)
+    title = Phrase(text).less(MARKUP_END, strip=" ,").rstrip(" ,")
+    # Quotes go in pairs only.
+    pairs = next((i for i in range(len(title) // 2) if title[i] not in _OPEN_QUOTES or title[-1 - i] not in _OPEN_QUOTES), len(title) // 2)
+    return Phrase(title[pairs : len(title) - pairs]) if not pairs else cleaned_title(title[pairs : len(title) - pairs])
 
 
 def cleaned_author(text: str) -> str:
-    return squeeze(before_last_group(_TRANSLATOR.sub("", squeeze(text)).rstrip(" ,"), needs_letter=False))
+    return Phrase(text).less(TRANSLATOR, strip=" ,").less(LAST_GROUP)
 
 
 def title_cleaned(text: str) -> str:
@@ -137,52 +122,35 @@ def whole_name(author: str) -> list[str]:
 
 def query_people(author: str) -> list[str]:
     """People of a request: ' & ' stands between names, '&&' for an ampersand in one."""
-    return [p for p in (x.replace("￿", "&").strip() for x in author.replace("&&", "￿").split(" & ")) if p]
-
-
-def with_suffixes(parts) -> list[str]:
-    """Name parts with generational suffixes put back to the name before."""
-    out: list[str] = []
-    for p in (x.strip() for x in parts):
-        if out and _SUFFIX.fullmatch(p):
-            out[-1] += f", {p}"
-        elif p:
-            out.append(p)
-    return out
+    return people(author, "sign", "twice")
 
 
 def listed_people(author: str) -> list[str]:
     """People of an official list; none where prose about roles makes a split unsafe."""
-    text = squeeze(author)
-    if _ROLE_PROSE.search(text):
-        return []
-    return with_suffixes(re.sub(r"(?:\s*,)?\s+and\s+", ", ", text, flags=re.I).split(","))
+    return [] if _ROLE_PROSE.search(author) else people(author, "word", "comma")
 
 
 def ordered_names(author: str, is_query: bool) -> list[str]:
-    people = query_people(author) if is_query else listed_people(author)
-    return ["W|" + plain(author), *(["L|" + "\x1f".join(map(plain, people))] if people else [])]
+    """Keys of the whole text and of the list of its people in order."""
+    names = query_people(author) if is_query else listed_people(author)
+    return [f"W|{plain(author)}"] + [f"L|{chr(31).join(map(plain, names))}"] * bool(names)
 
 
 def credited_names(author: str) -> list[str]:
     """The name as it is, and without a translator and a parenthesis that holds a letter."""
-    bare = before_last_group(_TRANSLATOR.sub("", author).rstrip(" ,"), needs_letter=True) or author
-    return list(dict.fromkeys([plain(author, True), plain(bare, True)]))
+    return list(dict.fromkeys(plain(n, True) for n in (author, Phrase(author).less(TRANSLATOR, strip=" ,").less(LAST_GROUP_WITH_LETTER) or author)))
 
 
 def related_people(author: str) -> list[str]:
     """People of a credit of editors and authors, if it is simple; with several, each needs two words."""
-    text = squeeze(author)
-    text = _CREDIT_ROLE.sub("", text).strip().rstrip(",") or text
-    if not text or _RELATED_PROSE.search(text):
-        return []
-    pieces = _OR_AND.split(text)
-    people = [p for piece in pieces for p in with_suffixes(piece.split(","))] if len(pieces) > 1 or "," in text else [text]
-    return [] if len(people) > 1 and any(len(p.split()) < 2 for p in people) else [plain(p, True) for p in people]
+    credit = Phrase(author).less(_CREDIT_ROLE).rstrip(",") or squeeze(author)
+    names = [] if _RELATED_PROSE.search(credit) else people(credit, "word", "sign", "comma")
+    unsure = len(names) > 1 and min(n.count(" ") for n in names) == 0
+    return [] if unsure else [plain(n, True) for n in names]
 
 
 def related_query(author: str) -> list[str]:
-    return [x for x in (plain(_QUERY_ROLE.sub("", p).strip() or p, True) for p in query_people(author)) if x]
+    return [k for n in query_people(author) if (k := plain(Phrase(n).less(_QUERY_ROLE) or n, True))]
 
 
 def folded_names(names) -> list[str]:
@@ -192,8 +160,8 @@ def folded_names(names) -> list[str]:
 
 def any_part(names) -> list[str]:
     """Forms with and without accents of names and of their parts between and or &."""
-    parts = [p for n in names for p in (n, *(x.strip() for x in _OR_AND.split(n)))]
-    return list(dict.fromkeys(k for p in parts for k in (plain(p, True), plain(unaccented(p), True)) if k))
+    every = [p for n in names for p in (n, *people(n, "word", "sign"))]
+    return [k for k in dict.fromkeys(plain(f, True) for p in every for f in (p, unaccented(p))) if k]
 
 
 def name_key(name: str) -> str:
@@ -202,14 +170,10 @@ def name_key(name: str) -> str:
 
 def slugs(author: str) -> list[str]:
     """Page names that an author may have: without accents first, then as written."""
-    text = unicodedata.normalize("NFKC", author)
-    out = []
-    for t in (unaccented(text), text):
-        t = squeeze(re.sub("[.,'’`´‘]", "", squeeze(t)))
-        slug = re.sub("_+", "_", t.replace(" ", "_")).strip("_")
-        if slug and slug not in out:
-            out.append(slug)
-    return out
+    letters = str.maketrans({m: None for m in _SLUG_MARKS} | {" ": "_"})
+    written = unicodedata.normalize("NFKC", author)
+    forms = ("_".join(filter(None, squeeze(t).translate(letters).split("_"))) for t in (unaccented(written), written))
+    return list(dict.fromkeys(filter(None, forms)))
 
 
 # --- Arrow column functions ---
@@ -227,6 +191,17 @@ def _mapped(function, kind):
     return run
 
 
+def keys_column(function):
+    """An Arrow function of lists of texts, element by element; a null list stays null, a null element too."""
+
+    @F.arrow_udf(returnType=ArrayType(StringType()))
+    def run(column: pa.Array) -> pa.Array:
+        lists = column.to_pylist()
+        return pa.array([None if v is None else [None if x is None else function(x) for x in v] for v in lists], pa.list_(pa.string()))
+
+    return run
+
+
 def text_column(function):
     return _mapped(function, StringType())
 

@@ -138,7 +138,7 @@ def _joined(authors: Column) -> Column:
     return F.when(F.size(authors) == 1, last).otherwise(F.concat(F.array_join(F.slice(authors, 1, F.size(authors) - 1), ", "), F.lit(" and "), last))
 
 
-_identity = T.list_column(lambda name: list(dict.fromkeys(k for n in [*(p.strip() for p in T._OR_AND.split(name) if p.strip()), name] if (k := T.name_key(n)))))
+_identity = T.list_column(lambda name: list(dict.fromkeys(k for n in [*T.people(name, "word", "sign"), name] if (k := T.name_key(n)))))
 
 
 def fantasy_candidates(raw: DataFrame) -> DataFrame:
