@@ -191,17 +191,6 @@ def _mapped(function, kind):
     return run
 
 
-def keys_column(function):
-    """An Arrow function of lists of texts, element by element; a null list stays null, a null element too."""
-
-    @F.arrow_udf(returnType=ArrayType(StringType()))
-    def run(column: pa.Array) -> pa.Array:
-        lists = column.to_pylist()
-        return pa.array([None if v is None else [None if x is None else function(x) for x in v] for v in lists], pa.list_(pa.string()))
-
-    return run
-
-
 def text_column(function):
     return _mapped(function, StringType())
 

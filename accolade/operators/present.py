@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accolade.operators.qualify import blank, ordinal
+from accolade.operators.qualify import blank, folded, ordinal
+from accolade.sources import fixed
 
 TEMPLATE = "<placement> - <year> <award> - <category>"
 _TOKENS = re.compile("(<placement>|<year>|<award>|<category>)")
@@ -50,17 +52,39 @@ def report(results: DataFrame, failures: DataFrame, queries: DataFrame, template
     return queries.select("query_id").join(lines, "query_id", "left").join(problems, "query_id", "left").select("query_id", text.alias("text"))
 
 
+def formatted_qualifying(results: DataFrame, template: str | None = None) -> DataFrame:
+    """query_id and the formatted lines of results that qualify, in order."""
+    lines = results.where("decision = 'QUALIFIES'").withColumn("_line", formatted(template)).groupBy("query_id")
+    return lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("source_ord", "result_ord", "_line"))), lambda x: x["_line"]).alias("lines"))
+
+
 def identity(title: Column, author: Column) -> Column:
-    return F.concat_ws(" | ", F.when(~blank(title), trimmed(title)), F.when(~blank(author), trimmed(author)))
+    return F.concat(trimmed(F.coalesce(title, F.lit(""))), F.lit(" | "), trimmed(F.coalesce(author, F.lit(""))))
+
+
+def book_line(title: Column, author: Column) -> Column:
+    return F.concat(F.lit("Book: "), identity(title, author))
+
+
+def series_line(series: Column) -> Column:
+    """The series asked for, or null."""
+    return F.when(~blank(series), F.concat(F.lit("Series: "), trimmed(series)))
+
+
+def identity_if_different(title: Column, author: Column, asked_title: Column, asked_author: Column) -> Column:
+    """A result's identity where it is not what was asked for, as it is written, else null."""
+    found = identity(title, author)
+    return F.when((trimmed(title) != trimmed(asked_title)) | (trimmed(author) != trimmed(asked_author)), found)
 
 
-def identity_if_different(found: Column, asked: Column) -> Column:
-    """The source's identity where it is not what was asked for, else null."""
-    return F.when(found != asked, found)
+def with_series_award(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """The requests with `has_series_award`: a series was asked for and some result is a series'."""
+    found = results.groupBy("query_id").agg(F.bool_or(F.col("identity_kind") == "series").alias("_series"))
+    return requests.join(found, "query_id", "left").withColumn("has_series_award", ~blank(F.col("series")) & F.coalesce("_series", F.lit(False))).drop("_series")
 
 
 def _key(x: Column) -> Column:
-    return F.lower(trimmed(x))
+    return folded(x)
 
 
 def unique_values(values: Column) -> Column:
@@ -98,5 +122,44 @@ def write_back(df: DataFrame, existing: str, new: str, mode: str = "append") ->
 
 
 def is_eligible_target(df: DataFrame, column: str) -> bool:
-    """Whether a column can take the values: a list of texts."""
-    return column in df.columns and df.schema[column].dataType.simpleString() == "array<string>"
+    """Whether a column can take the values: a list of texts that does not hold names (metadata key is_names)."""
+    if column not in df.columns:
+        return False
+    field = df.schema[column]
+    return field.dataType.simpleString() == "array<string>" and not (field.metadata or {}).get("is_names", False)
+
+
+def eligible_targets(df: DataFrame) -> list[tuple[str, str]]:
+    """(column, display name) of the columns that can take the values, by display name (metadata key name) without regard to case."""
+    found = [(f.name, str((f.metadata or {}).get("name") or f.name)) for f in df.schema.fields if is_eligible_target(df, f.name)]
+    return sorted(found, key=lambda item: item[1].casefold())
+
+
+@dataclass(frozen=True)
+class Preferences:
+    """Options of a write-back as they are kept; what is odd or missing counts as the usual."""
+
+    template: str = TEMPLATE
+    enabled: bool = False
+    field: str = ""
+    mode: str = "append"
+
+    @classmethod
+    def of(cls, values: dict) -> Preferences:
+        text = lambda k: v.strip() if isinstance(v := values.get(k), str) else ""
+        mode = text("mode").lower()
+        return cls(values["template"] if text("template") else TEMPLATE, bool(values.get("enabled", False)), text("field"), mode if mode in ("append", "replace") else "append")
+
+
+def status_text(df: DataFrame, preferences: Preferences, any_results: bool = True) -> str:
+    """What a write-back to a column of df would do, or why it cannot be done."""
+    field = preferences.field
+    if not preferences.enabled:
+        return fixed.WRITE_DISABLED
+    if not field:
+        return fixed.WRITE_NO_FIELD
+    if not is_eligible_target(df, field):
+        return fixed.WRITE_LOST_FIELD.format(field=field)
+    if not any_results:
+        return fixed.WRITE_NOTHING
+    return (fixed.WRITE_REPLACE if preferences.mode == "replace" else fixed.WRITE_APPEND).format(field=field)

@@ -11,9 +11,14 @@ from accolade.sources import fixed
 RESULT = "work_title string, work_author string, award_name string, award_year int, category string, status string, rank int, source_name string, source_url string, notes string, identity_kind string"
 
 
+def fold(c: Column) -> Column:
+    """Case folding by upper and lower case, so what has several small forms gets one; ß is ss. Ligatures and the dotless i stay apart from Unicode's full folding."""
+    return F.translate(F.lower(F.upper(F.regexp_replace(c, "[ßẞ]", "ss"))), "ς", "σ")
+
+
 def folded(c: Column) -> Column:
-    """Trimmed and lower-cased, for names of awards, categories and statuses."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, r"^(?U)\s+", ""), r"(?U)\s+$", ""))
+    """Trimmed and folded, for names of awards, categories and statuses."""
+    return fold(F.regexp_replace(F.regexp_replace(c, r"^(?U)\s+", ""), r"(?U)\s+$", ""))
 
 
 def blank(c: Column) -> Column:

@@ -10,19 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accolade.functions import text as T
 from accolade.operators import archives as A
-from accolade.operators.qualify import assess, blank, place_status
+from accolade.operators.qualify import assess, blank, place_status, result_violations
 from accolade.operators.relational import first_wins, key_join, only_match
 from accolade.sources import fixed
 from accolade.sources.snapshots import raw_rows
 
 RESULT = ["query_id", "source_ord", "result_ord", "work_title", "work_author", "award_name", "award_year", "category", "status", "rank", "source_name", "source_url", "notes", "identity_kind"]
-ERRORS = {"pulitzer": "PulitzerSourceError", "nebula": "NebulaSourceError", "hugo": "HugoSourceError", "locus": "LocusSourceError", "world_fantasy": "WorldFantasySourceError"}
-
 _q_title, _r_title = {}, {}
 for _name, _form in (("basic", T.title_basic), ("dots", T.title_dots), ("marked", T.title_marked), ("cleaned", T.title_cleaned)):
     _q_title[_name] = T.list_column(lambda v, f=_form: T.title_keys(f(v), True))
@@ -37,17 +36,20 @@ _series, _slugs, _casefold = T.text_column(T.series_name), T.list_column(T.slugs
 
 @dataclass(frozen=True)
 class Report:
-    """results (RESULT, decision, reason) and failures (query_id, source_ord, source_name, error_type, message)."""
+    """results (RESULT, decision, reason, preselected) and failures (query_id, source_ord, source_name, error_type, message)."""
 
     results: DataFrame
     failures: DataFrame
 
 
-def clean_requests(requests: DataFrame) -> DataFrame:
-    """Trimmed requests; a blank title or author is an error, a blank series is none."""
+def clean_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trimmed requests, a blank series being none, and the failures of those with a blank title or author."""
     trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"^(?U)\s+", ""), r"(?U)\s+$", "")
-    must = lambda c: F.when(blank(F.col(c)), F.raise_error(F.lit(f"{c} must be a non-empty string"))).otherwise(trim(F.col(c)))
-    return requests.select("query_id", must("title").alias("title"), must("author").alias("author"), F.when(blank(F.col("series")), F.lit(None)).otherwise(trim(F.col("series"))).alias("series"))
+    wrong = F.when(blank(F.col("title")), F.lit(fixed.BLANK_FIELD.format(field="title"))).when(blank(F.col("author")), F.lit(fixed.BLANK_FIELD.format(field="author")))
+    good = requests.where(wrong.isNull())
+    good = good.select("query_id", trim(F.col("title")).alias("title"), trim(F.col("author")).alias("author"), F.when(blank(F.col("series")), F.lit(None)).otherwise(trim(F.col("series"))).alias("series"))
+    bad = requests.where(wrong.isNotNull())
+    return good, bad.select("query_id", F.lit(-1).alias("source_ord"), F.lit("request").alias("source_name"), F.lit("ValueError").alias("error_type"), wrong.alias("message"))
 
 
 def _pairs(requests, records, title: str, q_author, r_author, r_names="match_authors") -> DataFrame:
@@ -93,6 +95,10 @@ def hugo_results(requests: DataFrame, records: DataFrame, rankings: DataFrame |
 
 
 def ranking_table(spark) -> DataFrame:
+    """The curated placements; a table that ranks a work twice, or shares a rank without a tie, is a ValueError."""
+    works = {(y, t.casefold(), a.casefold()) for y, t, a, _ in fixed.HUGO_RANKINGS}
+    if len(works) < len(fixed.HUGO_RANKINGS) or len({(y, k) for y, _, _, k in fixed.HUGO_RANKINGS}) < len(fixed.HUGO_RANKINGS):
+        raise ValueError("the table of rankings repeats a work or a rank")
     rows = [(y, t, a, k, fixed.HUGO_STATISTICS[y], False) for y, t, a, k in fixed.HUGO_RANKINGS]
     return spark.createDataFrame(rows, "award_year int, work_title string, work_author string, rank int, source_url string, tied boolean")
 
@@ -134,7 +140,7 @@ def locus_results(requests: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataF
     entries = entries.withColumn("entry", F.struct(*A.ORDER))
     there = raw.where("page_role = 'annual' and error is null").select(F.col("page_url").alias("annual_url")).distinct().withColumn("there", F.lit(True))
     state = entries.join(there, "annual_url", "left").join(broken.where("page_role = 'annual'").select(F.col("page_url").alias("annual_url"), "message"), "annual_url", "left")
-    unread = F.coalesce("message", F.when(F.col("there").isNull(), F.concat(F.lit("Locus annual page request failed with HTTP 404 for "), "annual_url")))
+    unread = F.coalesce("message", F.when(F.col("there").isNull(), F.format_string(fixed.LOCUS_UNREAD, "annual_url")))
     failed = failed.union(state.where(unread.isNotNull()).select("query_id", F.lit(100), unread))
     good = state.where(unread.isNull())
     linked = annual.withColumns({"_t2": _r_title["dots"]("work_title")}).withColumn("_n", F.explode(F.array_union("match_authors", F.array("work_author")))).withColumn("_nk", _folded("_n"))
@@ -142,54 +148,162 @@ def locus_results(requests: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataF
     on = (good["annual_url"] == linked["source_url"]) & (good["e_category"] == linked["category"])
     both = good.join(linked, on).where(F.arrays_overlap("_k", "_t2") & F.arrays_overlap(_folded("author"), "_nk")).select("query_id", "entry", "rec", "e_rank", "e_winner", "rank", "winner", "annual_url")
     lost = good.join(both.select("query_id", "entry").distinct(), ["query_id", "entry"], "left_anti")
-    failed = failed.union(lost.select("query_id", F.lit(101), F.concat(F.lit("SFADB author-page Locus entry was not present on the annual results page: "), "annual_url")))
-    wrong = F.when(F.col("e_rank").isNotNull() & (F.col("rank") != F.col("e_rank")), F.concat(F.lit("SFADB author-page Locus placement disagreed with the annual page: discovery="), F.col("e_rank").cast("string"), F.lit(" annual="), F.col("rank").cast("string"), F.lit(" url="), "annual_url"))
-    wrong = wrong.when(F.col("e_winner") & ~F.col("winner"), F.concat(F.lit("SFADB author-page Locus winner disagreed with the annual page: "), "annual_url"))
+    failed = failed.union(lost.select("query_id", F.lit(101), F.format_string(fixed.LOCUS_LOST, "annual_url")))
+    wrong = F.when(F.col("e_rank").isNotNull() & (F.col("rank") != F.col("e_rank")), F.format_string(fixed.LOCUS_PLACED, F.col("e_rank").cast("string"), F.col("rank").cast("string"), "annual_url"))
+    wrong = wrong.when(F.col("e_winner") & ~F.col("winner"), F.format_string(fixed.LOCUS_WON, "annual_url"))
     failed = failed.union(both.where(wrong.isNotNull()).select("query_id", F.lit(102), wrong))
     failures = failed.groupBy("query_id").agg(F.min_by("message", F.struct("at", "message")).alias("message"))
     found = both.select("query_id", "rec").distinct().join(failures.select("query_id"), "query_id", "left_anti")
     return _matched(found, annual).withColumn("status", place_status(F.col("rank"), F.col("winner"))), failures
 
 
-def _ordered(found: DataFrame, ord_: int, name: str, keys: list, order: list) -> DataFrame:
+def _ordered(found: DataFrame, ord_: int, source: Source) -> DataFrame:
     """Result rows of one source: repeats within a request go, places are numbered in the source's order."""
     df = found.withColumns({"_title": _casefold("work_title"), "_author": _casefold("work_author")})
-    df = first_wins(df, ["query_id", *keys], A.ORDER) if keys else df
-    df = df.withColumn("result_ord", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    df = first_wins(df, ["query_id", *source.same], A.ORDER) if source.same else df
+    df = df.withColumn("result_ord", F.row_number().over(Window.partitionBy("query_id").orderBy(*source.order())))
     notes = F.when(F.coalesce("tied", F.lit(False)) & F.col("rank").isNotNull(), "tie")
-    return df.withColumns({"source_ord": F.lit(ord_), "source_name": F.lit(name), "notes": notes}).select(*RESULT)
+    if "notes" in df.columns:
+        notes = F.coalesce("notes", notes)
+    return df.withColumns({"source_ord": F.lit(ord_), "source_name": F.lit(source.name), "notes": notes}).select(*RESULT)
+
+
+@dataclass(frozen=True)
+class Source:
+    """A place in the registry: how a source's archive is built and checked, and how requests are matched against it.
 
+    `records` makes the archive of the raw rows (null: the source looks into them itself), `contract` gives at most one row with
+    what is wrong with it, `match` gives the found records with query_id, and the failures (query_id, message) of single requests or None.
+    """
 
-def lookup_awards(requests: DataFrame, snapshots: DataFrame, full_history: bool = True, on_progress: Callable[[int, int, str | None], None] | None = None) -> Report:
-    """Results and failures of all requests over the stored pages.
+    key: str
+    name: str
+    error_type: str
+    match: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame | None]]
+    records: Callable[[DataFrame], DataFrame] | None = None
+    contract: Callable[[DataFrame, DataFrame, bool], DataFrame] | None = None
+    same: tuple[str, ...] = ()
+    order: Callable[[], list] = lambda: A.ORDER
+    #: (category_key, address) of pages without which the archive is not whole.
+    pages: tuple[tuple[str, str], ...] = ()
+    #: Whether the source is made of snapshots at all.
+    from_pages: bool = True
+
+
+def _whole_archive(match):
+    return lambda requests, records: (match(requests, records), None)
+
+
+def _locus_order() -> list:
+    return [F.coalesce("award_year", F.lit(0)), F.coalesce("category", F.lit("")), F.coalesce("rank", F.lit(0)), "_title"]
+
+
+_WORK = ("award_year", "category", "status", "_title", "_author", "source_url")
+_TYPE = fixed.ERROR_TYPES
+#: The sources in the order of their results; a longer tuple can be handed to the lookup.
+SOURCES = (
+    Source("pulitzer", fixed.NAMES["pulitzer"], _TYPE["pulitzer"], _whole_archive(pulitzer_results), A.pulitzer_records, pages=fixed.PULITZER_CATEGORIES),
+    Source("nebula", fixed.NAMES["nebula"], _TYPE["nebula"], _whole_archive(nebula_results), A.nebula_records, lambda raw, r, _: A.nebula_failures(raw, r), ("award_name", *_WORK)),
+    Source("hugo", fixed.NAMES["hugo"], _TYPE["hugo"], _whole_archive(hugo_results), A.hugo_records, lambda raw, r, _: A.hugo_failures(raw, r), _WORK),
+    Source("locus", fixed.NAMES["locus"], _TYPE["locus"], locus_results, same=("award_year", "category", "_title", "_author", "rank", "source_url"), order=_locus_order),
+    Source("world_fantasy", fixed.NAMES["world_fantasy"], _TYPE["world_fantasy"], _whole_archive(world_fantasy_results), A.fantasy_records, A.fantasy_failures, _WORK),
+)
+
+
+def user_source(key: str, name: str, function: Callable[[str, str, str | None], list[dict]]) -> Source:
+    """A source that is a function of (title, author, series) giving rows of results as dicts; what it raises fails that request only."""
+    fields = {"work_title": pa.string(), "work_author": pa.string(), "award_name": pa.string(), "award_year": pa.int32(), "category": pa.string(), "status": pa.string(), "rank": pa.int32(), "source_url": pa.string(), "notes": pa.string(), "identity_kind": pa.string()}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for q in batch.to_pylist():
+                try:
+                    found = [{"identity_kind": "work", **f} for f in function(q["title"], q["author"], q["series"])]
+                    rows += [{"query_id": q["query_id"], "rec_ord": i, **{k: f.get(k) for k in fields}} for i, f in enumerate(found)]
+                except Exception as e:  # a failure of this request, not of the lookup
+                    rows.append({"query_id": q["query_id"], "message": f"{type(e).__name__}: {e}"})
+            kinds = {"query_id": batch.schema.field("query_id").type, "rec_ord": pa.int32(), **fields, "message": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], list(kinds))
+
+    def match(requests: DataFrame, _) -> tuple[DataFrame, DataFrame]:
+        names = {pa.string(): "string", pa.int32(): "int"}
+        own = requests.schema["query_id"].dataType.simpleString()
+        rows = requests.mapInArrow(run, f"query_id {own}, rec_ord int, {', '.join(f'{k} {names[t]}' for k, t in fields.items())}, message string")
+        found = rows.where("message is null").drop("message").withColumns({"config_ord": F.lit(0), "page_ord": F.lit(0), "tied": F.lit(False)})
+        return found, rows.where("message is not null").select("query_id", "message")
+
+    return Source(key, name, "UserSourceError", match, from_pages=False)
+
+
+class Archives:
+    """Snapshots read and checked once, for any number of lookups; `close` frees what is kept.
+
+    A source whose archive breaks its contract has a message in `broken`, and no records.
+    """
 
-    A source whose archive breaks its contract gives no results and one failure for each request; the
-    others are unaffected. on_progress hears (0, n, None), then each source as its archive is checked.
+    def __init__(self, snapshots: DataFrame, full_history: bool = True, sources: tuple[Source, ...] = SOURCES):
+        self.sources, self.raw = sources, raw_rows(snapshots).persist()
+        self.records: dict[str, DataFrame] = {}
+        self.broken: dict[str, str] = {r["source_key"]: r["message"] for r in A.page_failures(self.raw).collect()}  # one row a source at most
+        wanted = [c for s in sources for c, _ in s.pages]
+        pages = F.collect_set(F.when(F.col("category_key").isin(*wanted), F.col("category_key"))) if wanted else F.array()
+        there = {r["source_key"]: set(r["pages"]) for r in snapshots.where(F.col("source_key").isin(*[s.key for s in sources])).groupBy("source_key").agg(pages.alias("pages")).collect()}
+        for source in sources:
+            if not source.from_pages:
+                continue
+            missing = [url for category, url in source.pages if category not in there.get(source.key, ())]
+            if source.key not in there:
+                self.broken[source.key] = fixed.NO_PAGE.format(name=source.name)
+            elif missing:
+                self.broken.setdefault(source.key, fixed.PAGE_MISSING.format(name=source.name, url=missing[0]))
+            elif source.records and source.key not in self.broken:
+                self.records[source.key] = records = source.records(self.raw).persist()
+                wrong = source.contract(self.raw, records, full_history).first() if source.contract else None
+                if wrong is not None:
+                    self.broken[source.key] = wrong["message"]
+
+    def close(self) -> None:
+        for df in (self.raw, *self.records.values()):
+            df.unpersist()
+
+    def __enter__(self) -> Archives:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def lookup_awards(requests: DataFrame, snapshots: DataFrame | Archives, full_history: bool = True, on_progress: Callable[[int, int, str | None], None] | None = None, sources: tuple[Source, ...] = SOURCES) -> Report:
+    """Results and failures of all requests over the stored pages, or over Archives opened before.
+
+    A source whose archive breaks its contract, or has no page, gives no results and one failure for each request; the
+    others are unaffected. A request with a blank title or author fails alone, and so does a source for a request if one of its results
+    breaks the contract of results. on_progress hears (0, n, None), then each source when its results are computed.
     """
-    requests = clean_requests(requests)
-    raw = raw_rows(snapshots).persist()
-    tell = on_progress or (lambda *_: None)
-    tell(0, len(fixed.SOURCES), None)
-    build = {"pulitzer": A.pulitzer_records, "nebula": A.nebula_records, "hugo": A.hugo_records, "world_fantasy": A.fantasy_records}
-    contract = {"nebula": A.nebula_failures, "hugo": A.hugo_failures, "world_fantasy": lambda raw, r: A.fantasy_failures(raw, r, full_history)}
-    match = {"pulitzer": pulitzer_results, "nebula": nebula_results, "hugo": hugo_results, "world_fantasy": world_fantasy_results}
-    same = {"nebula": ["award_year", "award_name", "category", "status", "_title", "_author", "source_url"], "hugo": ["award_year", "category", "status", "_title", "_author", "source_url"], "world_fantasy": ["award_year", "category", "status", "_title", "_author", "source_url"]}
-    broken = {r["source_key"]: r["message"] for r in A.page_failures(raw).collect()}  # one row a source at most
-    there = {r["source_key"] for r in raw.select("source_key").distinct().collect()}
-    results, failures = [], []
-    for at, (key, name) in enumerate(fixed.SOURCES):
-        if key == "locus":
-            found, lost = locus_results(requests, raw)
-            order = [F.coalesce("award_year", F.lit(0)), F.coalesce("category", F.lit("")), F.coalesce("rank", F.lit(0)), "_title"]
-            results.append(_ordered(found, at, name, ["award_year", "category", "_title", "_author", "rank", "source_url"], order))
-            failures.append(lost.select("query_id", F.lit(at).alias("source_ord"), F.lit(name).alias("source_name"), F.lit(ERRORS[key]).alias("error_type"), "message"))
-        elif key in there:
-            records = build[key](raw).persist()
-            message = broken.get(key) or next((r["message"] for r in contract[key](raw, records).collect()), None) if key in contract else broken.get(key)
-            if message is None:
-                results.append(_ordered(match[key](requests, records), at, name, same.get(key, []), A.ORDER))
-            else:
-                failures.append(requests.select("query_id", F.lit(at).alias("source_ord"), F.lit(name).alias("source_name"), F.lit(ERRORS[key]).alias("error_type"), F.lit(message).alias("message")))
-        tell(at + 1, len(fixed.SOURCES), name)
+    archives = snapshots if isinstance(snapshots, Archives) else Archives(snapshots, full_history, sources)
+    requests, unusable = clean_requests(requests)
+    tell, count = on_progress or (lambda *_: None), len(archives.sources)
+    tell(0, count, None)
+    results, failures = [], [unusable]
+    for at, source in enumerate(archives.sources):
+        fail = lambda df, at=at, source=source: df.select("query_id", F.lit(at).alias("source_ord"), F.lit(source.name).alias("source_name"), F.lit(source.error_type).alias("error_type"), "message")
+        if source.key in archives.broken:
+            failures.append(fail(requests.withColumn("message", F.lit(archives.broken[source.key]))))
+        else:
+            found, lost = source.match(requests, archives.records.get(source.key, archives.raw))
+            rows = _ordered(found, at, source).withColumn("_wrong", result_violations())
+            rows = rows.withColumn("_any", F.max(F.size("_wrong")).over(Window.partitionBy("query_id")))
+            if on_progress:
+                rows = rows.persist()
+                rows.count()
+            results.append(rows.where("_any = 0").select(*RESULT))
+            wrong = rows.where("size(_wrong) > 0").groupBy("query_id").agg(F.min_by(F.array_join("_wrong", "; "), "result_ord").alias("message"))
+            failures += [fail(wrong)] + ([fail(lost)] if lost is not None else [])
+        tell(at + 1, count, source.name)
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    return Report(assess(union(results)), union(failures))
+    if not results:
+        empty = requests.limit(0).select("query_id", *[F.lit(None).cast("int" if c in ("source_ord", "result_ord", "award_year", "rank") else "string").alias(c) for c in RESULT[1:]])
+        results.append(empty)
+    assessed = assess(union(results))
+    return Report(assessed.withColumn("preselected", F.col("decision") == "QUALIFIES"), union(failures))

@@ -161,3 +161,31 @@ REASONS = {
     "ambiguous": "Status meaning depends on the structure of the specific award.",
     "unknown": "Status is unrecognized and requires review.",
 }
+
+#: Marks of a page that checks the browser instead of showing its content, in folded case.
+CHALLENGE_MARKS = ("just a moment...", "checking your browser", "cf-browser-verification", "enable javascript and cookies to continue")
+
+#: Messages of failures of pages and requests.
+PAGE_OUTSIDE = "{name} page is outside its hosts: {url}"
+PAGE_HTTP = "{name} page request failed with HTTP {status} for {url}"
+PAGE_CHALLENGE = "{name} page is blocked by a challenge: {url}"
+PAGE_UNREADABLE = "{name} page could not be read: {url} ({error})"
+PAGE_MISSING = "{name} page is missing from the snapshots: {url}"
+NO_PAGE = "{name} has no page in the snapshots"
+BLANK_FIELD = "{field} must be a non-empty string"
+LOCUS_UNREAD = "Locus annual page request failed with HTTP 404 for %s"
+LOCUS_LOST = "SFADB author-page Locus entry was not present on the annual results page: %s"
+LOCUS_PLACED = "SFADB author-page Locus placement disagreed with the annual page: discovery=%s annual=%s url=%s"
+LOCUS_WON = "SFADB author-page Locus winner disagreed with the annual page: %s"
+LOCUS_YEAR = "SFADB Locus annual URL is not a usable year page: {url}"
+
+#: Error types of the sources' failures.
+ERROR_TYPES = {"pulitzer": "PulitzerSourceError", "nebula": "NebulaSourceError", "hugo": "HugoSourceError", "locus": "LocusSourceError", "world_fantasy": "WorldFantasySourceError"}
+
+#: What a write-back tells before it is done.
+WRITE_REPLACE = "Replace mode: Write Selected will replace the existing values in {field} with the selected awards. Cancel makes no change."
+WRITE_APPEND = "Write Selected will append selected awards to {field}. Cancel makes no change."
+WRITE_DISABLED = "Metadata write-back is disabled. Close dismisses this dialog without changing metadata."
+WRITE_NO_FIELD = "Write-back unavailable: no destination column is configured. Close dismisses this dialog without changing metadata."
+WRITE_LOST_FIELD = "Write-back unavailable: configured column {field} is not available. Close dismisses this dialog without changing metadata."
+WRITE_NOTHING = "No matching award records were found. Close dismisses this dialog without changing metadata."

@@ -51,8 +51,8 @@ def decode(body: bytes, source_key: str, headers: dict[str, str]) -> str:
 
 def is_challenge(text: str) -> bool:
     """Whether a page is a browser check instead of content."""
-    low = text.lower()
-    return "just a moment" in low and ("cloudflare" in low or "challenge" in low) or "cf-challenge" in low or "challenge-platform" in low
+    low = text.casefold()
+    return any(mark in low for mark in fixed.CHALLENGE_MARKS)
 
 
 def collection(text: str, headers: dict[str, str]) -> list[tuple[str, str, str]]:
@@ -92,13 +92,13 @@ def _read(key: str, role: str, category: str | None, url: str, status: int, head
     text = decode(body or b"", key, headers)
     name = fixed.NAMES.get(key, key)
     if key == "locus" and not pages.locus_allowed(url):
-        return 0, [{"error": f"{name} page is outside its hosts: {url}"}]
+        return 0, [{"error": fixed.PAGE_OUTSIDE.format(name=name, url=url)}]
     if key == "locus" and role == "author" and status == 404:
         return 0, []
     if status != 200 or not text.strip():
-        return 0, [{"error": f"{name} page request failed with HTTP {status} for {url}"}]
+        return 0, [{"error": fixed.PAGE_HTTP.format(name=name, status=status, url=url)}]
     if is_challenge(text):
-        return 0, [{"error": f"{name} page is blocked by a challenge: {url}"}]
+        return 0, [{"error": fixed.PAGE_CHALLENGE.format(name=name, url=url)}]
     if key == "pulitzer":
         order = [c for c, _ in fixed.PULITZER_CATEGORIES]
         return order.index(category), pages.pulitzer(text, category, url)
@@ -117,7 +117,7 @@ def _read(key: str, role: str, category: str | None, url: str, status: int, head
                 rows += [{"award_year": int(m[1]), "status": "", "identity_kind": "heading"}, *pages.hugo(content, int(m[1]), link)]
         return 0, rows
     if key == "locus":
-        return 0, pages.locus_index(text, url) if role == "author" else pages.locus_annual(text, url) if pages.locus_year(url) is not None else [{"error": f"SFADB Locus annual URL is not a usable year page: {url}"}]
+        return 0, pages.locus_index(text, url) if role == "author" else pages.locus_annual(text, url) if pages.locus_year(url) is not None else [{"error": fixed.LOCUS_YEAR.format(url=url)}]
     if key == "world_fantasy":
         at, _, year = _FANTASY[role]
         return at, pages.fantasy_table(text, url) if year is None else pages.fantasy_paragraphs(text, year, url) if year == 2024 else pages.fantasy_lists(text, year, url, by_prefix=year != 2013)
@@ -132,8 +132,9 @@ def _reader(batches):
             try:
                 at, rows = _read(s["source_key"], s["page_role"], s["category_key"], s["url"] or "", s["http_status"] or 0, dict(s["headers"] or []), s["body"])
                 rows = list(rows)
-            except (KeyError, ValueError, StopIteration) as e:
-                at, rows = 0, [{"error": f"unknown page: {s['source_key']} {s['page_role']} {s['category_key']} ({e})"}]
+            except Exception as e:  # whatever a reader does, only its own source fails
+                key = s["source_key"] or ""
+                at, rows = 0, [{"error": fixed.PAGE_UNREADABLE.format(name=fixed.NAMES.get(key, key), url=s["url"], error=f"{type(e).__name__}: {e}")}]
             for n, row in enumerate(rows):
                 row = {"identity_kind": "work"} | row | place | {"config_ord": at, "rec_ord": n}
                 for k, v in columns.items():
@@ -154,23 +155,34 @@ def next_page(text: str) -> str | None:
     return None
 
 
-def chain(snapshots: DataFrame, first: str, most: int = 1000) -> DataFrame:
-    """(url, page_ord) of the pages reached from `first` over their next links; a page is never visited twice.
+def _next_pages(batches):
+    for batch in batches:
+        urls = batch.column("url").to_pylist()
+        found = [next_page((body or b"").decode("utf-8", "replace")) for body in batch.column("body").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array([n and urljoin(u or "", n) for u, n in zip(urls, found, strict=True)], pa.string())], ["url", "next"])
+
+
+def chain(snapshots: DataFrame, first: str) -> DataFrame:
+    """(url, page_ord) of the pages of one archive reached from `first` over their next links, however many; a page is never visited twice.
 
-    The links are a column; only one address a step is looked up, as the chain is sequential by nature.
+    A chain is sequential by nature: the links, one narrow row a page of that archive, are read by one job and walked here.
     """
-    link = F.udf(lambda body: next_page(bytes(body or b"").decode("utf-8", "replace")), "string")
-    links = snapshots.select("url", link("body").alias("next")).persist()
-    seen: list[str] = []
+    there = snapshots.where("url is not null").select("url", "body").dropDuplicates(["url"])
+    links = {r["url"]: r["next"] for r in there.mapInArrow(_next_pages, "url string, next string").collect()}
+    order: dict[str, int] = {}
     at: str | None = first
-    while at and at not in seen and len(seen) < most:
-        row = links.where(F.col("url") == at).first()
-        if row is None:
-            break
-        seen.append(at)
-        at = row["next"] and urljoin(at, row["next"])
-    links.unpersist()
-    return snapshots.sparkSession.createDataFrame([(u, i) for i, u in enumerate(seen)], "url string, page_ord int")
+    while at in links and at not in order:
+        order[at] = len(order)
+        at = links[at]
+    return snapshots.sparkSession.createDataFrame(list(order.items()), "url string, page_ord int")
+
+
+def in_chain_order(snapshots: DataFrame, source_key: str, category_key: str, first: str) -> DataFrame:
+    """The snapshots with the pages of one archive numbered as its next links lead, from `first` on; pages that no link reaches go."""
+    own = (F.col("source_key") == source_key) & (F.col("category_key") == category_key)
+    order = chain(snapshots.where(own), first)
+    placed = snapshots.where(own).drop("page_ord").join(order, "url").select(*snapshots.columns)
+    return snapshots.where(~F.coalesce(own, F.lit(False))).unionByName(placed)
 
 
 def host_is_allowed(url: F.Column, hosts) -> F.Column:

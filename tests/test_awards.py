@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from accolade.functions import text as T
 from accolade.plans.lookup import lookup_awards
@@ -57,7 +58,7 @@ def test_readers():
     assert pages.locus_index_category("Tide — Horror/Dark Fantasy Novel — 2nd place", "Tide") == "Horror/Dark Fantasy Novel"
     assert pages.locus_authors(["A", "B"], "A translated by B") == ["A"]
     assert decode(b"\x93x\x94", "world_fantasy", {}) == "“x”" and decode(b"\xe9", "locus", {"Content-Type": "text/html; charset=latin-1"}) == "é"
-    assert is_challenge("<title>Just a moment...</title> Cloudflare") and next_page('<link href="/p2" rel="next">') == "/p2"
+    assert all(is_challenge(f"<p>{mark.upper()}</p>") for mark in fixed.CHALLENGE_MARKS) and not is_challenge("<script src='/cdn-cgi/challenge-platform/x.js'>") and next_page('<link href="/p2" rel="next">') == "/p2"
     for body, headers, part in (("{", {}, "not valid JSON"), ("{}", {}, "not a list"), ("[]", {}, "empty"), ('[{"title":{"rendered":"a"},"link":"l","content":{"rendered":"c"}}]', {"X-WP-Total": "2"}, "1 != 2"), ('[{"title":{"rendered":"a"},"link":"l"}]', {}, "usable content.rendered")):
         with pytest.raises(ValueError, match=part):
             collection(body, headers)
@@ -148,6 +149,70 @@ def test_a_broken_source_fails_alone(spark, snapshots):
     assert "had no year headings" in messages["Nebula Awards"] and "list was empty" in messages["Hugo Awards"] and "2024 annual page" in messages["World Fantasy Awards"]
 
 
+def test_missing_pages_and_odd_requests(spark, snapshots):
+    one = snapshots.where(F.col("category_key") == fixed.PULITZER_CATEGORIES[0][0])
+    requests = spark.createDataFrame([(1, "Low Tide", "Ann Ode", None), (2, " ", "Ann Ode", None), (3, "X", None, None)], "query_id long, title string, author string, series string")
+    got = lookup_awards(requests, one)
+    assert got.results.count() == 0
+    failures = sorted((f["query_id"], f["source_ord"], f["message"]) for f in got.failures.collect())
+    assert [f[:2] for f in failures] == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, -1), (3, -1)]
+    assert fixed.PULITZER_CATEGORIES[1][1] in failures[0][2] and failures[1][2] == fixed.NO_PAGE.format(name="Nebula Awards") and "author" in failures[-1][2]
+    # A page that no reader knows fails its source only, whatever it raises.
+    odd = spark.createDataFrame([("pulitzer", "category", "Unheard", 0, "http://u", 200, {}, b"x"), (None, None, None, None, None, None, None, None)], SNAPSHOT)
+    report = lookup_awards(requests.limit(1), snapshots.where("source_key = 'pulitzer'").union(odd))
+    assert "could not be read" in next(f["message"] for f in report.failures.collect() if f["source_ord"] == 0)
+
+
+def test_user_sources(spark, snapshots):
+    from accolade.plans.lookup import SOURCES, Archives, user_source
+
+    def find(title, author, series):
+        if title == "Bad":
+            raise LookupError("no luck")
+        return [{"work_title": title, "work_author": author, "award_name": "Own Prize", "award_year": 2000, "category": "Any", "status": "Winner"}, {"work_title": title, "work_author": author, "award_name": " " if title == "Odd" else "Own Prize", "status": "Finalist", "award_year": 2001}]
+
+    requests = spark.createDataFrame([(1, "Good", "A", None), (2, "Bad", "A", None), (3, "Odd", "A", None)], "query_id long, title string, author string, series string")
+    with Archives(snapshots.where("source_key = 'pulitzer'"), sources=(SOURCES[0], user_source("own", "Own Prizes", find))) as archives:
+        got = lookup_awards(requests, archives)
+        assert [(r["query_id"], r["source_name"], r["award_year"], r["decision"], r["preselected"]) for r in got.results.orderBy("query_id", "result_ord").collect()] == [(1, "Own Prizes", 2000, "QUALIFIES", True), (1, "Own Prizes", 2001, "REVIEW", False)]
+        assert sorted((f["query_id"], f["error_type"], f["message"]) for f in got.failures.collect()) == [(2, "UserSourceError", "LookupError: no luck"), (3, "UserSourceError", "award_name is blank")]
+
+
+def test_chains_of_pages(spark):
+    from accolade.sources.snapshots import chain, in_chain_order
+
+    page = lambda n: f'<link rel="next" href="/p{n}">'
+    rows = [snapshot_of("nebula", "archive", "k", 0, f"http://h/p{i}", page(i + 1) if i < 1100 else "end") for i in range(1101)]
+    rows += [snapshot_of("nebula", "archive", "k", 0, "http://h/else", page(5)), snapshot_of("hugo", "archive", None, 3, "http://h/x", "y")]
+    df = spark.createDataFrame(rows, SNAPSHOT)
+    got = {r["url"]: r["page_ord"] for r in chain(df, "http://h/p0").collect()}
+    assert got == {f"http://h/p{i}": i for i in range(1101)}
+    ring = spark.createDataFrame([snapshot_of("nebula", "archive", "k", 0, f"http://h/p{i}", page((i + 1) % 3)) for i in range(3)], SNAPSHOT)
+    assert sorted((r["page_ord"], r["url"]) for r in chain(ring, "http://h/p1").collect()) == [(0, "http://h/p1"), (1, "http://h/p2"), (2, "http://h/p0")]
+    assert chain(ring, "http://h/none").count() == 0
+    assert in_chain_order(df, "nebula", "k", "http://h/p0").count() == 1102
+
+
+def test_presentation(spark):
+    from accolade.operators import present as P
+
+    df = spark.createDataFrame([(1, " T ", "A", " S ", "T", "B", "series", 0, 1, "Winner", None, 1990, "P", "C", "QUALIFIES"), (2, "T", "A", None, "T", "A ", "work", 0, 1, "x", None, 1990, "P", "C", "REVIEW")], "query_id long, title string, author string, series string, work_title string, work_author string, identity_kind string, source_ord int, result_ord int, status string, rank int, award_year int, award_name string, category string, decision string")
+    got = df.select(P.book_line(F.col("title"), F.col("author")), P.series_line(F.col("series")), P.identity_if_different(F.col("work_title"), F.col("work_author"), F.col("title"), F.col("author"))).collect()
+    assert [tuple(r) for r in got] == [("Book: T | A", "Series: S", "T | B"), ("Book: T | A", None, None)]
+    assert [(r["query_id"], r["has_series_award"]) for r in P.with_series_award(df.select("query_id", "series"), df).orderBy("query_id").collect()] == [(1, True), (2, False)]
+    assert [(r["query_id"], r["lines"]) for r in P.formatted_qualifying(df).collect()] == [(1, ["Winner - 1990 P - C [T]"])]
+    lists = df.select(F.array("title").alias("zed"), F.array("title").alias("b", metadata={"name": "Alpha"}), F.array("title").alias("names", metadata={"is_names": True}), "rank")
+    assert P.eligible_targets(lists) == [("b", "Alpha"), ("zed", "zed")] and not P.is_eligible_target(lists, "names")
+    odd = P.Preferences.of({"template": " ", "mode": "Other", "field": " zed ", "enabled": 1})
+    assert odd == P.Preferences(P.TEMPLATE, True, "zed", "append") and P.Preferences.of({}) == P.Preferences()
+    assert P.status_text(lists, odd) == fixed.WRITE_APPEND.format(field="zed") and P.status_text(lists, P.Preferences.of({"mode": "REPLACE", "field": "b", "enabled": True})) == fixed.WRITE_REPLACE.format(field="b")
+    assert P.status_text(lists, P.Preferences()) == fixed.WRITE_DISABLED and P.status_text(lists, P.Preferences(enabled=True)) == fixed.WRITE_NO_FIELD
+    assert P.status_text(lists, P.Preferences(enabled=True, field="rank")) == fixed.WRITE_LOST_FIELD.format(field="rank") and P.status_text(lists, odd, any_results=False) == fixed.WRITE_NOTHING
+    folds = ["STRASSE", "Straße", "ΟΔΟΣ", "οδος", "ẞ", "É"]
+    from accolade.operators.qualify import folded
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in folds], "x string").select(folded(F.col("x"))).collect()] == [x.casefold() for x in folds]
+
+
 def test_contracts(spark, snapshots):
     from accolade.operators import archives as A
     from accolade.plans.lookup import ranking_table

@@ -65,10 +65,13 @@ def test_streamed_lookups(spark, tmp_path):
     from accolade.streaming.lookups import REQUEST, stream_lookups
 
     page = '<a href="/prize-winners-by-year/1990">1990</a><h2>Low Tide, by Ann Ode (Press)</h2>'
-    snapshots = spark.createDataFrame([snapshot_of("pulitzer", "category", c, 0, u, page) for c, u in fixed.PULITZER_CATEGORIES[:1]], SNAPSHOT)
-    spark.createDataFrame([(1, "Low Tide", "Ann Ode", None), (2, "Other", "Ann Ode", None)], REQUEST).coalesce(1).write.parquet(f"{tmp_path}/in")
+    snapshots = spark.createDataFrame([snapshot_of("pulitzer", "category", c, 0, u, page) for c, u in fixed.PULITZER_CATEGORIES], SNAPSHOT)
+    spark.createDataFrame([(1, "Low Tide", "Ann Ode", None), (2, "Other", "Ann Ode", None), (3, " ", "Ann Ode", None)], REQUEST).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(REQUEST).parquet(f"{tmp_path}/in")
     query = stream_lookups(stream, snapshots, f"{tmp_path}/out", f"{tmp_path}/state")
     query.awaitTermination(180)
     got = spark.read.parquet(f"{tmp_path}/out/results").collect()
-    assert [(r["query_id"], r["award_year"], r["decision"]) for r in got] == [(1, 1990, "QUALIFIES")]
+    assert sorted((r["query_id"], r["category"], r["award_year"], r["decision"]) for r in got) == [(1, "Fiction", 1990, "QUALIFIES"), (1, "Novel", 1990, "QUALIFIES")]
+    failures = spark.read.parquet(f"{tmp_path}/out/failures").collect()
+    assert [f["message"] for f in failures if f["query_id"] == 3] == [fixed.BLANK_FIELD.format(field="title")]
+    assert sorted(f["source_name"] for f in failures if f["query_id"] == 1) == sorted(n for k, n in fixed.SOURCES if k != "pulitzer")
