@@ -245,14 +245,11 @@ class _Sequence:
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Minima of values[lo:hi], ranges of at least one; values has one element more than any range needs."""
-    order = np.argsort(-lo, kind="stable")
+    """Minima of values[lo:hi], ranges of at least one of which starts or ends ascend; values has one element more than any range needs."""
     ends = np.empty(2 * len(lo), np.int64)
-    # Starts descend, so what reduceat does from an end to the next start is a single element.
-    ends[::2], ends[1::2] = lo[order], hi[order]
-    out = np.empty(len(lo), values.dtype)
-    out[order] = np.minimum.reduceat(values, ends)[::2] if len(lo) else values[:0]
-    return out
+    # What reduceat takes from an end to the next start on the way is all in all one pass over the values.
+    ends[::2], ends[1::2] = lo, hi
+    return np.minimum.reduceat(values, ends)[::2] if len(lo) else values[:0]
 
 
 def _look(sequence: _Sequence, place: np.ndarray, symbol: np.ndarray, totals: np.ndarray, prefixes: bool = True):
@@ -273,27 +270,32 @@ def _look(sequence: _Sequence, place: np.ndarray, symbol: np.ndarray, totals: np
         lcp[:n], lcp[n] = piece.view(np.uint8)[1::2] if most < 256 else piece >> 8, most
         i, j = np.searchsorted(place, (base, base + n))
         rows, mine = place[i:j] - base, symbol[i:j]
-        by = np.argsort(mine, kind="stable")
+        by = np.argsort(codes[rows], kind="stable")
+        sorted_rows, places = rows[by], np.empty(len(rows), np.int64)
+        first = 0
+        for c, n_rows in enumerate(np.bincount(mine, minlength=256).tolist()):
+            if n_rows:
+                some = slice(first, first + n_rows)
+                places[some] = starts[c] + np.searchsorted(tails[starts[c] : starts[c] + counts[c]], sorted_rows[some])
+                first += n_rows
         at = np.empty(len(rows), np.int64)
-        cuts = np.searchsorted(mine[by], np.arange(257))
-        for c in np.unique(mine):
-            some = by[cuts[c] : cuts[c + 1]]
-            at[some] = starts[c] + np.searchsorted(tails[starts[c] : starts[c] + counts[c]], rows[some])
-        nth[i:j] = passed[mine] + at - starts[mine]
+        at[by] = places
+        begin, end = starts[mine], starts[mine] + counts[mine]
+        nth[i:j] = passed[mine] + at - begin
         if prefixes:
             if several:
                 for c in np.flatnonzero(waits >= 0):
                     ahead[c] = min(ahead[c], lcp[: (tails[starts[c]] + 1 if counts[c] else n)].min())
                     if counts[c]:
                         behind[waits[c]], waits[c] = ahead[c], -1
-            has = at > starts[mine]
+            has = at > begin
             prior = np.where(has, tails[np.maximum(at - 1, 0)] + 1, 0)
             least = _least(lcp, prior, rows + 1).astype(np.int64)
             before[i:j] = np.where(has, least, np.where(passed[mine] > 0, np.minimum(least, since[mine]), 0))
-            has = np.flatnonzero(at + 1 < starts[mine] + counts[mine])
+            has = np.flatnonzero(at + 1 < end)
             behind[i:j][has] = _least(lcp, rows[has] + 1, tails[at[has] + 1] + 1)
             if several:
-                for k in np.flatnonzero(at + 1 == starts[mine] + counts[mine]):
+                for k in np.flatnonzero(at + 1 == end):
                     waits[mine[k]], ahead[mine[k]] = i + k, lcp[rows[k] + 1 : n].min(initial=most)
                 for c in range(256):
                     last = tails[starts[c] + counts[c] - 1] + 1 if counts[c] else 0
@@ -329,27 +331,26 @@ def repeated_windows(strings: list[bytes], length: int, folder: str | None = Non
         order, place = order[live], place[live]
         symbol = by_end[j - 1, order].astype(np.int64)
         nth, before, behind = _look(now, place, symbol, counts)
-        by = np.argsort(symbol, kind="stable")
-        starts = np.cumsum(counts) - counts
-        order, place = order[by], (starts[symbol] + nth - counts[0] + m)[by]
-        before, behind = (np.where(x[by] >= length, length, x[by] + 1) for x in (before, behind))
-        # No earlier or later row with the symbol: nothing is shared, not even that.
-        before[nth[by] == 0] = 0
-        last = np.r_[symbol[by][1:] != symbol[by][:-1], True] if len(by) else np.zeros(0, bool)
-        behind[nth[by] + 1 == counts[symbol[by]]] = 0
+        by = np.argsort(by_end[j - 1, order], kind="stable")
+        order, symbol, nth = order[by], symbol[by], nth[by]
+        place = (np.cumsum(counts) - counts)[symbol] + nth + (m - counts[0])
+        # Where there is an earlier or later row with the symbol, that is shared and what follows it.
+        before = np.where(nth == 0, 0, np.minimum(before[by] + 1, length))
+        behind = np.where(nth + 1 == counts[symbol], 0, np.minimum(behind[by] + 1, length))
         into = place - np.arange(len(place))
-        rows = (by_end[j, order].astype(np.int64) + (np.minimum(before, length) << 8)).astype(kind)
-        follows = np.r_[into[1:] != into[:-1], True] if len(into) else last
+        rows = (by_end[j, order] + (before << 8)).astype(kind)
+        follows = np.empty(len(into), bool)
+        follows[:-1], follows[-1:] = into[1:] != into[:-1], True
         following, base = _Sequence(kind, folder, held, piece), 0
         for x in now.read():
             a, b = np.searchsorted(into, (base, base + len(x)))
             if base + len(x) == now.size:
                 b = len(into)
             at = into[a:b] - base
-            x = x.copy()
+            x = x if x.flags.writeable else x.copy()
             is_next = follows[a:b] & (at < len(x))
             to = at[is_next]
-            x[to] = (x[to] & 255) + (np.minimum(behind[a:b][is_next], length) << 8).astype(kind)
+            x[to] = (x[to] & 255) + (behind[a:b][is_next] << 8).astype(kind)
             following.append(np.insert(x, at, rows[a:b]))
             base += len(x)
         now.delete()
