@@ -14,11 +14,11 @@ still be shared outside the counted columns stay below the bound that both sizes
 * the two positions of a shared n-gram bound the overlap on both sides of it.
 
 What is left is counted exactly on whole sets. So that a group of thousands of near copies does not
-become all its pairs, products of columns with one set each come first: in each column the set whose
-n-grams most others share, then, in a second round, any; of these pairs each set tries the one with the
-highest count. The components of the links found so are put back into the columns, and the last, complete product
+become all its pairs, a product of columns with one set each comes first: in each column the set whose
+n-grams most others share; of these pairs each set tries the one with the
+highest count. The components of the links found so are put back into the columns, and the second, complete product
 leaves out pairs within a component only. A column of many sets is cut into tiles for it, so no task
-holds more than two tiles of a column; the first ones stream.
+holds more than two tiles of a column; the first one streams.
 
 A set is known by a 64-bit digest of its sorted n-gram hashes, so equal texts are one vertex whatever their
 doc_id, and rows that repeat a doc_id with other texts stay apart.
@@ -380,18 +380,15 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 75, block_bytes: int
     widths = shared.groupBy("h").agg(F.count("*").alias("width"))
     weights = stored(shared.join(widths, "h").groupBy("doc").agg(F.sum("width").alias("weight")), "ngram-weights")
     placed = stored(shared.join(small(weights, weights.count()), "doc").withColumn("comp", F.col("doc")), "ngram-placed")
-    open_, links = open_columns(placed), None
-    for order in (F.desc("weight"), F.xxhash64("doc")):
-        entries = placed.join(small(open_, open_.count()), "h", "left_semi").repartition("h").sortWithinPartitions("h", order, "doc").select("h", "doc", "size", "pos", "comp")
-        counts = entries.mapInArrow(_stars(percent), _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
-        found = confirm(counts.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
-        links = found if links is None else links.union(found)
-        roots = stored(components(links), "ngram-roots")
-        now = placed.drop("comp").join(small(roots, roots.count()).withColumnRenamed("node", "doc"), "doc", "left")
-        now = stored(now.select("h", "doc", "size", "pos", "weight", F.coalesce("root", "doc").alias("comp")), "ngram-placed")
-        drop_stored(placed, open_, roots)
-        placed = now
-        open_ = open_columns(placed)
+    entries = placed.repartition("h").sortWithinPartitions("h", F.desc("weight"), "doc").select("h", "doc", "size", "pos", "comp")
+    counts = entries.mapInArrow(_stars(percent), _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    links = confirm(counts.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+    roots = stored(components(links), "ngram-roots")
+    joined = placed.drop("comp").join(small(roots, roots.count()).withColumnRenamed("node", "doc"), "doc", "left")
+    joined = stored(joined.select("h", "doc", "size", "pos", F.coalesce("root", "doc").alias("comp")), "ngram-placed")
+    drop_stored(placed, roots)
+    placed = joined
+    open_ = open_columns(placed)
     tiled = placed.join(small(open_, open_.count()), "h").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     group = F.when(F.col("tiles") == 1, F.col("h")).otherwise(F.xxhash64("h", low, high))
