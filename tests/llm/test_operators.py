@@ -477,6 +477,29 @@ def edits(a, b):
     return p[-1]
 
 
+def test_many_pairs_within(monkeypatch):
+    """Bands of one to four words against a table of edits; groups of few pairs go one by one, with the same answers."""
+    rng = random.Random(31)
+    a, b, k, want = [], [], [], []
+    for number in range(160):
+        letters = rng.choice(["ab", "abcd", "a\u00e9\u6f22\U0001f600\x00"])
+        x = "".join(rng.choice(letters) for _ in range(rng.choice([0, 5, 60, 150])))
+        y = list(x)
+        for _ in range(rng.choice([0, 3, 40, 90])):
+            place = rng.randrange(len(y) + 1)
+            y[place : place + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        y = "".join(y)
+        a.append(x)
+        b.append(y)
+        k.append(max(0, edits(x, y) + rng.choice([-1, 0, 1, 40])))
+        want.append(edits(x, y) <= k[-1])
+    assert {31 < v for v in k} == set(want) == {True, False}
+    for few in (1, 1000):
+        monkeypatch.setattr(op08_line_dedup, "_FEW", few)
+        assert op08_line_dedup._all_within(a, b, np.array(k)).tolist() == want
+    assert op08_line_dedup._all_within([], [], np.zeros(0, int)).tolist() == []
+
+
 def test_within():
     r = random.Random(5)
     for _ in range(1500):
