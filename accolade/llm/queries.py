@@ -16,6 +16,9 @@ MODULES = {
     "op8_line_dedup": "op08_line_dedup",
     "op9_language_id": "op09_language_id",
     "op10_warc": "op10_warc",
+    "op11_vector_codes": "op11_vector_codes",
+    "op12_lexical_search": "op12_lexical_search",
+    "op13_byte_bpe": "op13_byte_bpe",
 }
 
 
