@@ -141,12 +141,19 @@ def credited_names(author: str) -> list[str]:
     return list(dict.fromkeys(plain(n, True) for n in (author, Phrase(author).less(TRANSLATOR, strip=" ,").less(LAST_GROUP_WITH_LETTER) or author)))
 
 
+#: A simple credit of a related book. What ends it is cut, prose makes it unsafe, and of several people each has so many words.
+_RELATED = {"role": _CREDIT_ROLE, "prose": _RELATED_PROSE, "between": ("word", "sign", "comma"), "least_words": 2}
+
+
 def related_people(author: str) -> list[str]:
-    """People of a credit of editors and authors, if it is simple; with several, each needs two words."""
-    credit = Phrase(author).less(_CREDIT_ROLE).rstrip(",") or squeeze(author)
-    names = [] if _RELATED_PROSE.search(credit) else people(credit, "word", "sign", "comma")
-    unsure = len(names) > 1 and min(n.count(" ") for n in names) == 0
-    return [] if unsure else [plain(n, True) for n in names]
+    """People of a credit of editors and authors if it is simple, else none."""
+    credit = Phrase(author).less(_RELATED["role"]).rstrip(",") or squeeze(author)
+    if _RELATED["prose"].search(credit):
+        return []
+    names = people(credit, *_RELATED["between"])
+    if any(len(n.split()) < _RELATED["least_words"] for n in names) and len(names) > 1:
+        return []
+    return [plain(n, True) for n in names]
 
 
 def related_query(author: str) -> list[str]:

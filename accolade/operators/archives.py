@@ -6,12 +6,12 @@ records at all, the others are untouched.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accolade.functions import text as T
 from accolade.operators.relational import first_wins, gap_message, gaps, is_shared
+from accolade.operators.rounds import first_fit
 from accolade.sources import fixed
 
 ORDER = ["config_ord", "page_ord", "rec_ord"]
@@ -156,23 +156,11 @@ def fantasy_candidates(raw: DataFrame) -> DataFrame:
     return tables.select(*columns).unionByName(annual.select(*columns))
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """Takes records in merge order unless an author key of theirs is taken; what is left out takes none."""
-    taken: set[str] = set()
-    keep = []
-    for keys in group.sort_values(ORDER)["keys"]:
-        fresh = taken.isdisjoint(keys)
-        if fresh:
-            taken.update(keys)
-        keep.append(fresh)
-    return group.sort_values(ORDER)[keep].drop(columns="keys")
-
-
 def fantasy_records(raw: DataFrame) -> DataFrame:
     """The merged archive.
 
-    Records of one work never cross (year, category, title), so the order-dependent merge runs by that
-    key. Nominees and conventions lose a 2012 row whose work stands on the 2013 page: it was filed wrong.
+    Records of one work never cross (year, category, title), so the merge in order runs by that
+    key, in groups of any size: a record goes if an author key of its is taken. Nominees and conventions lose a 2012 row whose work stands on the 2013 page: it was filed wrong.
     """
     df = fantasy_candidates(raw)
     named = df.select("*", F.explode("name_list").alias("_name")).withColumn("_keys", _identity("_name"))
@@ -182,8 +170,7 @@ def fantasy_records(raw: DataFrame) -> DataFrame:
     wrong = df.where("award_year = 2012 and page_role in ('nominees', 'convention_1982', 'convention_1993', 'convention_2005')").select("page_role", *ORDER, "category", "title_key", F.explode("keys").alias("_key"))
     wrong = wrong.join(right, ["category", "title_key", "_key"], "left_semi").select("page_role", *ORDER).distinct()
     df = df.join(wrong, ["page_role", *ORDER], "left_anti")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "keys")
-    merged = df.groupBy("award_year", "category", "title_key").applyInPandas(_merge, schema)
+    merged = first_fit(df, ["award_year", "category", "title_key"], ORDER, "keys").drop("keys")
     return merged.withColumns({"source_key": F.lit("world_fantasy"), "award_name": F.lit("World Fantasy Award"), "match_titles": F.array("work_title"), "identity_kind": F.lit("work"), "rank": F.lit(None).cast("int"), "winner": F.lit(None).cast("boolean"), "tied": F.lit(None).cast("boolean")})
 
 

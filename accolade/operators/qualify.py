@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accolade.operators.matching import Rules, rules_table, with_rule
 from accolade.operators.relational import year_in_range
 from accolade.sources import fixed
 
@@ -33,30 +36,50 @@ def result_violations() -> Column:
 
 
 def policies(rows=fixed.POLICIES) -> Column:
-    """The policy table as a constant array; a row that contradicts itself is a ValueError.
+    """The policy table as a constant array; a row that contradicts itself, or two that one result could fall under, are a ValueError.
 
     A handful of fixed rows needs no join: the range condition is tested in place, without a shuffle.
     """
-    out = []
+    out, told = [], []
     for award, category, start, end, good, bad, notes in rows:
         good, bad = ({s.strip().casefold() for s in x} for x in (good, bad))
         years = [y for y in (start, end) if y is not None]
         if not award.strip() or good & bad or "" in good | bad or min(years, default=1) <= 0 or years != sorted(years):
             raise ValueError(f"contradictory policy for {award!r}")
         sets = [F.array(*[F.lit(s) for s in sorted(x)]).cast("array<string>").alias(n) for x, n in ((good, "qualifying"), (bad, "nonqualifying"))]
+        told.append((award.strip().casefold(), category and category.strip().casefold(), start, end))
         out.append(F.struct(F.lit(award.strip().casefold()).alias("award"), F.lit(category and category.strip().casefold()).cast("string").alias("category"), F.lit(start).cast("int").alias("start"), F.lit(end).cast("int").alias("end"), *sets))
+    for (award, category, first, last), (other, kind, begin, end) in combinations(told, 2):
+        apart = None not in (category, kind) and category != kind or None not in (last, begin) and last < begin or None not in (end, first) and end < first
+        if award == other and not apart:
+            raise ValueError(f"overlapping policies for {award!r}")
     return F.array(*out)
 
 
-def with_policy(results: DataFrame, table: Column) -> DataFrame:
-    """Each result with the status sets of the policy whose award, category and year range it falls in; two such policies are an error."""
+def policy_rules(policies: DataFrame) -> Rules:
+    """Any number of policies as a checked table of rules: rows of (award_name, category, start, end, qualifying, nonqualifying).
+
+    A null category holds for any, null years are open. A policy that contradicts itself and two policies that
+    one result could fall under are a ValueError, before any result is read.
+    """
+    names = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), folded))
+    table = policies.select(folded(F.col("award_name")).alias("_award"), folded(F.col("category")).alias("_category"), "start", "end", names("qualifying").alias("qualifying"), names("nonqualifying").alias("nonqualifying"))
+    unclear = blank(F.col("_award")) | F.arrays_overlap("qualifying", "nonqualifying") | F.array_contains(F.concat("qualifying", "nonqualifying"), "") | (F.least("start", "end") <= 0)
+    wrong = table.where(unclear).limit(1).collect()
+    if wrong:
+        raise ValueError(f"contradictory policy: {wrong[0].asDict()}")
+    return rules_table(table, ["_award", "_category"], "start", "end", ["_category"])
+
+
+def with_policy(results: DataFrame, table: Column | Rules) -> DataFrame:
+    """Each result with the status sets of the policy whose award, category and year range it falls in."""
     award, category, year = folded(F.col("award_name")), folded(F.col("category")), F.col("award_year")
+    if isinstance(table, Rules):
+        found = with_rule(results.withColumns({"_award": award, "_category": category}), table, "award_year")
+        return found.withColumns({"qualifying": F.col("rule.qualifying"), "nonqualifying": F.col("rule.nonqualifying")}).drop("rule", "_award", "_category")
     found = F.filter(table, lambda p: (p["award"] == award) & F.coalesce(p["category"].isNull() | (p["category"] == category), F.lit(False)) & year_in_range(year, p["start"], p["end"]))
-    df = results.withColumn("_policies", found)
-    over = F.raise_error(F.concat(F.lit("Overlapping award policies for "), F.col("award_name")))
-    name = F.when(F.size("_policies") > 1, over).otherwise(F.col("award_name"))
-    one = F.get("_policies", F.lit(0))
-    return df.withColumns({"award_name": name, "qualifying": one["qualifying"], "nonqualifying": one["nonqualifying"]}).drop("_policies")
+    one = F.get(found, F.lit(0))
+    return results.withColumn("_policy", one).withColumns({"qualifying": F.col("_policy.qualifying"), "nonqualifying": F.col("_policy.nonqualifying")}).drop("_policy")
 
 
 def _cascade() -> list[tuple[Column, str, str]]:
@@ -81,7 +104,7 @@ def decide(df: DataFrame) -> DataFrame:
     return df.withColumns({"decision": decision.otherwise("REVIEW"), "reason": reason.otherwise(fixed.REASONS["unknown"])})
 
 
-def assess(results: DataFrame, table: Column | None = None) -> DataFrame:
+def assess(results: DataFrame, table: Column | Rules | None = None) -> DataFrame:
     return decide(with_policy(results, policies() if table is None else table)).drop("qualifying", "nonqualifying")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from accolade.functions import text as T
 from accolade.operators import archives as A
+from accolade.operators.matching import contains_all
 from accolade.operators.qualify import assess, blank, place_status, result_violations
 from accolade.operators.relational import first_wins, key_join, only_match
 from accolade.sources import fixed
@@ -86,7 +87,7 @@ def hugo_results(requests: DataFrame, records: DataFrame, rankings: DataFrame |
     titles = key_join(requests.withColumn("_k", _q_title["marked"]("title")), related.select("rec", F.explode("match_titles").alias("_t")).withColumn("_k2", _r_title["marked"]("_t")), "_k", "_k2", [], ["query_id"], ["rec"])
     people = titles.join(requests.select("query_id", _related_query("author").alias("_q")), "query_id").join(related.select("rec", _related_people("work_author").alias("_s")), "rec")
     # Every credited person is among those asked for; more may be asked for.
-    found = found.union(people.where((F.size("_s") > 0) & F.forall("_s", lambda p: F.array_contains("_q", p))).select("query_id", "rec"))
+    found = found.union(people.where(contains_all(F.col("_s"), F.col("_q"))).select("query_id", "rec"))
     named = requests.where("series is not null").withColumn("_k", F.array(_series("series"))).where("_k[0] != ''")
     by_series = key_join(named, series.withColumn("_k2", F.array(_series("work_title"))), "_k", "_k2", [], ["query_id"], ["rec"])
     by_series = by_series.join(requests.select("query_id", _credited("author").alias("_q")), "query_id").join(series.select("rec", _credited("work_author").alias("_s")), "rec").where(F.arrays_overlap("_q", "_s")).select("query_id", "rec")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from accolade.operators.rounds import list_ranks
 from accolade.sources import fixed, pages
 
 SNAPSHOT = "source_key string, page_role string, category_key string, page_ord int, url string, http_status int, headers map<string,string>, body binary"
@@ -165,16 +165,11 @@ def _next_pages(batches):
 def chain(snapshots: DataFrame, first: str) -> DataFrame:
     """(url, page_ord) of the pages of one archive reached from `first` over their next links, however many; a page is never visited twice.
 
-    A chain is sequential by nature: the links, one narrow row a page of that archive, are read by one job and walked here.
+    The links, one narrow row a page, are ranked in rounds of joins; neither links nor pages go to the driver.
     """
-    there = snapshots.where("url is not null").select("url", "body").dropDuplicates(["url"])
-    links = {r["url"]: r["next"] for r in there.mapInArrow(_next_pages, "url string, next string").collect()}
-    order: dict[str, int] = {}
-    at: str | None = first
-    while at in links and at not in order:
-        order[at] = len(order)
-        at = links[at]
-    return snapshots.sparkSession.createDataFrame(list(order.items()), "url string, page_ord int")
+    links = snapshots.where("url is not null").select("url", "body").mapInArrow(_next_pages, "url string, next string")
+    start = snapshots.sparkSession.createDataFrame([(first,)], "url string")
+    return list_ranks(links, start, "url", "next").select("url", F.col("place").cast("int").alias("page_ord"))
 
 
 def in_chain_order(snapshots: DataFrame, source_key: str, category_key: str, first: str) -> DataFrame:

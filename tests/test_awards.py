@@ -54,6 +54,12 @@ def test_readers():
     assert pages.is_ballot_note("(1,200 final ballots, 900 nominating ballots)") and not pages.is_ballot_note("Best Novel")
     assert pages.fantasy_story("Winner: “Moon,” Ann Ode (Book)") == ("Moon,", "Ann Ode") and pages.fantasy_story("“A” and “B” Ann Ode") is None
     assert pages.title_and_status(["a", "b", "1990", "Novel", "Low Tide\tWinner"]) == ("Low Tide", "Winner")
+    row = lambda *cells: pages.title_and_status(["a", "b", "1990", "Novel", *cells])
+    assert row("The Winner", "") is None and row("Low Tide Winner", "") is None and row("Low Tide", "Other") is None and row("Winner") is None
+    assert row("Low Tide", " nominee ") == ("Low Tide", "Nominee") and row("Low Tide Winner", "Nominee") == ("Low Tide Winner", "Nominee") and row("Low Tide nominee") == ("Low Tide", "Nominee")
+    assert row("", "Winner") is None and pages.title_and_status(["a", "b", "1990", "Novel"]) is None and row("Low Tide", "Winner", "more") == ("Low Tide", "Winner")
+    assert pages.locus_index_category("Tide (Press) — Other — a first novel — x", "Tide") == "first novel" and pages.locus_index_category("Tide", "Tide") == ""
+    assert pages.nebula_status("Winner, Best Novel", ("Best Novel",), True) == "Winner" and pages.nebula_status("Winner, Best Novel", ("Best Novel",), False) is None
     assert pages.table_category("Long Fiction", 2017) == ("Novella", None) and pages.table_category("Long Fiction", 2010)[1]
     assert pages.locus_index_category("Tide — Horror/Dark Fantasy Novel — 2nd place", "Tide") == "Horror/Dark Fantasy Novel"
     assert pages.locus_authors(["A", "B"], "A translated by B") == ["A"]
@@ -238,6 +244,16 @@ def test_qualify_and_write_back(spark):
     assert [r["decision"] for r in qualify.assess(df).orderBy("i").collect()] == [c[-1] for c in cases]
     with pytest.raises(ValueError):
         qualify.policies((("A", None, 2000, 1999, (), (), ""),))
+    for pair in (((None, None, None), ("c", 1990, 1999)), (("c", 1990, 2000), ("C ", 2000, None)), (("c", None, 5), ("c", 5, 5))):
+        with pytest.raises(ValueError, match="overlapping"):
+            qualify.policies([("A", c, a, b, (), (), "") for c, a, b in pair])
+    rules = spark.createDataFrame([("pulitzer PRIZE", "fiction", 1980, None, [" Finalist"], None), ("Booker Prize", None, None, None, None, ["longlisted"])], "award_name string, category string, start int, end int, qualifying array<string>, nonqualifying array<string>")
+    many = qualify.assess(df, qualify.policy_rules(rules))
+    assert many.columns == qualify.assess(df).columns and [r["decision"] for r in many.orderBy("i").collect()] == [c[-1] for c in cases]
+    with pytest.raises(ValueError, match="overlap"):
+        qualify.policy_rules(rules.union(rules.limit(1)))
+    with pytest.raises(ValueError, match="contradictory"):
+        qualify.policy_rules(rules.withColumn("nonqualifying", rules["qualifying"]))
     odd = spark.createDataFrame([(None, " ", None, None, None, "<year>", "work")], "rank int, status string, award_name string, award_year int, category string, work_title string, identity_kind string")
     assert odd.select(present.formatted()).first()[0] == "<placement missing> - <year missing> <award missing> - <category missing>"
     marks = spark.createDataFrame([(11, "x", "<year>", 1990, "C", "T", "series")], df.schema.fieldNames()[:7] and "rank int, status string, award_name string, award_year int, category string, work_title string, identity_kind string")
