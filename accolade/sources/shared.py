@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from functools import lru_cache
@@ -64,3 +65,34 @@ def delete(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint for a side that was counted and is within the bounds."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df
+
+
+# --- published states: small JSON documents by number, each made visible at once ---
+
+
+def latest(spark: SparkSession, folder: str) -> tuple[int, dict]:
+    """The highest published number and its state; (0, {}) where nothing was published."""
+    fs, at = file_system(spark, folder)
+    if not fs.exists(at):
+        return 0, {}
+    numbers = [int(name.removesuffix(".json")) for s in fs.listStatus(at) if (name := s.getPath().getName()).endswith(".json") and not name.startswith(".")]
+    if not numbers:
+        return 0, {}
+    return max(numbers), json.loads(spark.read.text(f"{folder}/{max(numbers):08d}.json", wholetext=True).first()[0])
+
+
+def publish(spark: SparkSession, folder: str, number: int, state: dict) -> None:
+    """Makes a state visible under its number by one rename, or raises FileExistsError if another writer has taken the number."""
+    fs, at = file_system(spark, f"{folder}/{number:08d}.json")
+    jvm, draft = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(state).encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(draft, at, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:
+        fs.delete(draft, False)
+        if fs.exists(at):
+            raise FileExistsError(f"{folder} has a state {number} already: another writer was first") from e
+        raise
