@@ -5,7 +5,7 @@ itself gives those two back: no merge ever crosses a boundary of the result, so
 see what lies further away. The merges are compiled to that relation of neighbours. It is a
 non-deterministic transducer whose states are tokens partly read, with one accepting path for each
 input. It is determinised while it is used: a state is the last token that is certain and the bytes
-behind it; each prefix of those bytes has one last token, and a boundary stays open while some longer
+behind it; each prefix of those bytes has one sequence of tokens, and a boundary stays open while some longer
 token begins as the bytes behind it do. A byte leads to the state in which the tokens that all open
 boundaries have in common are emitted. No boundary stays open for more bytes than the longest token has,
 so what is looked ahead is bounded by the vocabulary, whatever the length of the piece.
@@ -26,6 +26,7 @@ gives an empty result; repeated rows and further columns do not matter.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -38,61 +39,70 @@ from pyspark.sql import DataFrame, SparkSession
 from accolade.llm._shared import table
 
 #: States, pairs and pieces that a worker keeps; code points of a piece that is kept; code points of a text cut at once; tokens of a run.
-STATES, PAIRS, PIECES, SHORT, STRETCH, RUN = 150_000, 500_000, 400_000, 64, 1 << 16, 1 << 14
+STATES, PAIRS, PIECES, SHORT, STRETCH, RUN = 250_000, 500_000, 300_000, 64, 1 << 16, 1 << 14
 _NEVER = 1 << 62
 
 
-class _State:
-    """The open ends of a piece: last[j] and start[j] are the last token of the first j pending bytes and where it begins."""
-
-    __slots__ = ("end", "last", "next", "open", "pending", "start")
-
-    def __init__(self, pending: bytes, last: list, start: list[int], open_: list[int]):
-        self.pending, self.last, self.start, self.open = pending, last, start, open_
-        self.next: dict[int, tuple[tuple[int, ...], _State]] = {}
-        self.end: tuple[int, ...] | None = None
-
-
 class Transducer:
-    """Encodes pieces of bytes by ranks of merges (token -> id)."""
+    """Encodes pieces of bytes by ranks of merges (token -> id).
+
+    Beginnings of tokens are nodes of a tree, numbered from 0, the empty one. A state is the last certain token and, for each open boundary,
+    the node of the bytes behind it and the tokens between; states have numbers too, and `moves` is the determinised part.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        #: Whether longer tokens begin as these bytes do, for all tokens and beginnings of tokens.
-        self.known = dict.fromkeys(ranks, False) | {t[:k]: True for t in ranks for k in range(1, len(t))}
-        self.start = _State(b"", [None], [0], [0])
-        self.states: dict[tuple[bytes | None, bytes], _State] = {}
-        self.pairs: dict[tuple[bytes | None, bytes], bool] = {}
-        self.merges: dict[bytes, tuple[list, list]] = {}
-
-    def history(self, token: bytes) -> tuple[list, list]:
+        self.tokens_of = {i: t for t, i in ranks.items()}
+        self.child: dict[int, int] = {}
+        self.token_at, self.grows = [-1], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.grows[node] = True
+                below = self.child.setdefault(node << 8 | byte, len(self.token_at))
+                if below == len(self.token_at):
+                    self.token_at.append(-1)
+                    self.grows.append(False)
+                node = below
+            self.token_at[node] = rank
+        self.merges: dict[int, tuple[list, list]] = {}
+        self.pairs: dict[int, bool] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}
+        self.states, self.numbers = [(-1, ((0, ()),))], {}
+
+    def history(self, token: int) -> tuple[list, list]:
         """The merges by which a token comes about, as (rank, its last part after it) and (rank, its first part after it); both end with the token if it does."""
         found = self.merges.get(token)
         if found is None:
-            parts, after = [token[i : i + 1] for i in range(len(token))], ([(-1, token[-1:])], [(-1, token[:1])])
+            whole = self.tokens_of[token]
+            parts, found = [whole[i : i + 1] for i in range(len(whole))], ([(-1, whole[-1:])], [(-1, whole[:1])])
             while len(parts) > 1:
                 rank, at = min((self.ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1))
                 if rank == _NEVER:
                     break
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
-                after[0].append((rank, parts[-1]))
-                after[1].append((rank, parts[0]))
-            for side, part in zip(after, (parts[-1], parts[0]), strict=True):
+                found[0].append((rank, parts[-1]))
+                found[1].append((rank, parts[0]))
+            for side, part in zip(found, (parts[-1], parts[0]), strict=True):
                 side.append((_NEVER, part))
-            found = self.merges[token] = after
+            self.merges[token] = found
         return found
 
-    def agree(self, left: bytes | None, right: bytes) -> bool:
-        """Whether two tokens (or the first one, behind none) can stand side by side.
+    def agree(self, left: int, right: int) -> bool:
+        """Whether two tokens (or the first one, behind none, which is -1) can stand side by side.
 
         Each side's merges run in the order that ranks give; at no time may the parts that meet be a token of a lesser rank
         than what is next on either side (of equals the leftmost pair comes first).
         """
-        found = self.pairs.get((left, right))
+        key = (left + 1) << 32 | right
+        found = self.pairs.get(key)
         if found is None:
             begins = self.history(right)[1]
-            found = begins[-1][1] == right
-            if found and left is not None:
+            found = len(begins[-1][1]) == len(self.tokens_of[right])
+            if found and left >= 0:
                 ends, i, j, ranks = self.history(left)[0], 0, 0, self.ranks
                 while found:
                     before, after = ends[i + 1][0], begins[j + 1][0]
@@ -107,51 +117,49 @@ class Transducer:
                         j += 1
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = found
+            self.pairs[key] = found
         return found
 
-    def _path(self, last: list, start: list[int], to: int) -> tuple[int, ...]:
-        out = []
-        while to:
-            out.append(self.ranks[last[to]])
-            to = start[to]
-        return tuple(reversed(out))
-
-    def step(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
-        """The ids that are certain after one more byte, and the state it leads to; kept with the state."""
-        pending, known, ranks, token, at, open_ = state.pending + bytes((byte,)), self.known, self.ranks, None, 0, []
-        for j in state.open:
-            part = pending[j:]
-            more = known.get(part)
-            if more is None:
+    def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
+        """The ids that are certain after one more byte, and the state it leads to."""
+        last, open_ = self.states[state]
+        child, token_at, grows, pairs, whole, told, after, n = self.child, self.token_at, self.grows, self.pairs, None, None, [], 0
+        for node, path in open_:
+            node = child.get(node << 8 | byte)
+            if node is None:
                 continue
-            if more:
-                open_.append(j)
-            if token is None and part in ranks and self.agree(state.last[j], part):
-                token, at = part, j
-        last, start = [*state.last, token], [*state.start, at]
-        open_.append(len(pending))
-        base = open_[0]
-        for j in open_[1:]:
-            while j != base:
-                if j > base:
-                    j = start[j]
+            token = token_at[node]
+            if token >= 0 and whole is None:
+                before = path[-1] if path else last
+                fits = pairs.get((before + 1) << 32 | token)
+                if fits or fits is None and self.agree(before, token):
+                    whole = (*path, token)
+            if grows[node]:
+                after.append((node, path))
+                if told is None:
+                    told, n = path, len(path)
                 else:
-                    base = start[base]
-            if not base:
-                break
-        if base:
-            told = self._path(last, start, base)
-            pending, last, start, open_ = pending[base:], last[base:], [s - base for s in start[base:]], [j - base for j in open_]
+                    while path[:n] != told[:n]:
+                        n -= 1
+        after.append((0, whole))
+        if told is None:
+            told, n = whole, len(whole)
         else:
-            told = ()
-        after = self.states.get((last[0], pending))
-        if after is None:
+            while whole[:n] != told[:n]:
+                n -= 1
+            told = told[:n]
+        if n:
+            last = told[-1]
+            after = [(node, path[n:]) for node, path in after]
+        # The certain token does not matter where no boundary is open right behind it.
+        key = (last if () in [path for _, path in after] else -2, tuple(after))
+        number = self.numbers.get(key)
+        if number is None:
             if len(self.states) >= STATES:
-                self.states.clear()
-                self.start.next.clear()
-            after = self.states[last[0], pending] = _State(pending, last, start, open_)
-        state.next[byte] = found = told, after
+                self._forget()
+            number = self.numbers[key] = len(self.states)
+            self.states.append(key)
+        self.moves[state << 8 | byte] = found = told, number
         return found
 
     def tokens(self, piece: bytes) -> list[int]:
@@ -159,15 +167,16 @@ class Transducer:
         if piece in self.ranks:
             return [self.ranks[piece]]
         out: list[int] = []
-        state = self.start
+        state, moves = 0, self.moves
         for byte in piece:
-            found = state.next.get(byte) or self.step(state, byte)
-            if found[0]:
-                out += found[0]
-            state = found[1]
-        if state.end is None:
-            state.end = self._path(state.last, state.start, len(state.pending))
-        return out + [*state.end]
+            found = moves.get(state << 8 | byte)
+            if found is None:
+                found = self.step(state, byte)
+                moves = self.moves
+            told, state = found
+            if told:
+                out += told
+        return out + [*self.states[state][1][-1][1]]
 
 
 class Utf8Stream:
@@ -207,21 +216,23 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.transducer, self.pieces = Transducer(self.ranks), regex.compile(pattern)
-        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        self.bytes_of = self.transducer.tokens_of
+        #: Ids of short pieces, and those of before the last time that there were too many: what is still asked for comes back from there.
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.tokens(piece.encode("utf-8", "replace")))
+        ids = self.older.get(piece) or tuple(self.transducer.tokens(piece.encode("utf-8", "replace")))
         if len(piece) <= SHORT:
-            if len(self.kept) >= PIECES:
-                self.kept.clear()
             self.kept[piece] = ids
         return ids
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, stretch by stretch."""
-        kept, own = self.kept, self._piece
         for stretch in stretches(text):
+            if len(self.kept) >= PIECES:
+                self.kept, self.older = {}, self.kept
+            kept, own = self.kept, self._piece
             yield [i for p in self.pieces.findall(stretch) for i in kept.get(p) or own(p)]
 
     def decode(self, ids: Iterable[list[int]]) -> Iterator[str]:
@@ -251,7 +262,11 @@ def stretches(text: str, most: int | None = None) -> Iterator[str]:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    made = Codec(path, pattern)
+    # What is kept has no cycles and stays as long as the worker: collections walk the tables never, and the caches seldom.
+    gc.freeze()
+    gc.set_threshold(200_000, 20, 50)
+    return made
 
 
 def default_path() -> str:
