@@ -12,7 +12,7 @@ order of additions does not matter, and a part that stays where it is costs noth
 The driver holds codebooks only: entries times dimensions numbers.
 
 Distances are products of matrices where all their numbers are whole numbers below 2^53 and so exact, and Python's
-integers otherwise; an error that no long holds is null. A finite component of 2^53 or more after scaling makes the query fail
+integers otherwise; an error that no long holds is null, and so is a label's sum of such. A finite component of 2^53 or more after scaling makes the query fail
 with a message that says so.
 
 Defined cases: rows whose vector is null or holds null or non-finite components go; so do vectors whose
@@ -186,7 +186,7 @@ def with_label_error(codes: DataFrame) -> DataFrame:
     Sums are added up within tasks first. The sums are broadcast where they were counted and are few; else each sum stands in
     SHARES rows and a label's vectors are dealt over them, so that a label may hold any share of the rows.
     """
-    sums = stored(codes.groupBy("label").agg(F.sum("error").alias("label_error")), "labels")
+    sums = stored(codes.groupBy("label").agg(F.when(F.count_if(F.col("error").isNull()) == 0, F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long")).alias("label_error")), "labels")
     n = sums.count()
     shares = 1 if small(sums, n) is not sums else SHARES
     spread = sums.select(F.col("label").alias("_label"), "label_error", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"))

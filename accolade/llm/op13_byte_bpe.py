@@ -122,7 +122,7 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         """The ids that are certain after one more byte, and the state it leads to."""
-        last, open_ = self.states[state]
+        (last, open_), moves = self.states[state], self.moves
         child, token_at, grows, pairs, whole, told, after, n = self.child, self.token_at, self.grows, self.pairs, None, None, [], 0
         for node, path in open_:
             node = child.get(node << 8 | byte)
@@ -159,7 +159,9 @@ class Transducer:
                 self._forget()
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        self.moves[state << 8 | byte] = found = told, number
+        found = told, number
+        if moves is self.moves:  # else `state` is a number of before
+            moves[state << 8 | byte] = found
         return found
 
     def tokens(self, piece: bytes) -> list[int]:
