@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from accolade.functions import text as T
@@ -20,6 +20,7 @@ from accolade.operators.matching import contains_all
 from accolade.operators.qualify import assess, blank, place_status, result_violations
 from accolade.operators.relational import first_wins, key_join, only_match
 from accolade.sources import fixed
+from accolade.sources.shared import Kept
 from accolade.sources.snapshots import raw_rows
 
 RESULT = ["query_id", "source_ord", "result_ord", "work_title", "work_author", "award_name", "award_year", "category", "status", "rank", "source_name", "source_url", "notes", "identity_kind"]
@@ -37,10 +38,18 @@ _series, _slugs, _casefold = T.text_column(T.series_name), T.list_column(T.slugs
 
 @dataclass(frozen=True)
 class Report:
-    """results (RESULT, decision, reason, preselected) and failures (query_id, source_ord, source_name, error_type, message)."""
+    """results (RESULT, decision, reason, preselected) and failures (query_id, source_ord, source_name, error_type, message).
+
+    Where matches were stored (progress was asked for, or `once`), both read them there, until `free` deletes them.
+    """
 
     results: DataFrame
     failures: DataFrame
+    kept: Kept | None = None
+
+    def free(self) -> None:
+        if self.kept:
+            self.kept.free_all()
 
 
 def clean_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,24 +130,28 @@ def world_fantasy_results(requests: DataFrame, records: DataFrame) -> DataFrame:
     return _matched(_pairs(requests, r, "cleaned", _parts, _parts, "_names"), r.drop("_names"))
 
 
-def locus_results(requests: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def locus_results(requests: DataFrame, raw: DataFrame, read: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Matches and failures (query_id, message).
 
-    A request's author leads to an index page, its titles there to annual pages; only those are looked
-    into. An entry that its annual page lacks, or places elsewhere, makes the request fail.
+    A request's author leads to an index page, its titles there to annual pages; only those are read, by `read`, which makes
+    raw rows of the pages of some addresses (url); without it raw has them all. An entry that its annual page
+    lacks, or places elsewhere, makes the request fail.
     """
     raw = raw.where("source_key = 'locus'")
-    index, annual = A.locus_index(raw), _numbered(A.locus_records(raw))
+    index = A.locus_index(raw)
     slug = requests.select("query_id", "title", "author", F.posexplode(_slugs("author")).alias("nth", "slug")).withColumn("page_url", F.concat(F.lit(fixed.LOCUS_ORIGIN), F.url_encode("slug")))
-    broken = raw.where("error is not null").groupBy("page_url", "page_role").agg(F.min_by("error", F.struct(*A.ORDER)).alias("message"))
     names = index.select("page_url", "page_name").distinct().withColumn("_s", _folded("page_name"))
     reached = slug.join(names, "page_url").where(F.arrays_overlap(_folded("author"), "_s"))
     reached = first_wins(reached, ["query_id"], ["nth"]).select("query_id", "title", "author", "page_url", "nth")
-    failed = slug.join(broken.where("page_role = 'author'"), "page_url").join(reached.select("query_id", F.col("nth").alias("ok")), "query_id", "left").where("ok is null or nth < ok").select("query_id", F.col("nth").alias("at"), "message")
+    first_error = lambda df: df.where("error is not null").groupBy("page_url", "page_role").agg(F.min_by("error", F.struct(*A.ORDER)).alias("message"))
+    failed = slug.join(first_error(raw.where("page_role = 'author'")), "page_url").join(reached.select("query_id", F.col("nth").alias("ok")), "query_id", "left").where("ok is null or nth < ok").select("query_id", F.col("nth").alias("at"), "message")
     entries = reached.join(index.where("category is not null and work_title != ''"), "page_url")
     entries = entries.withColumns({"_k": _q_title["dots"]("title"), "_k2": _r_title["dots"]("work_title")}).where(F.arrays_overlap("_k", "_k2"))
     entries = entries.select("query_id", "author", "_k", *A.ORDER, "annual_url", F.col("category").alias("e_category"), F.col("rank").alias("e_rank"), F.col("winner").alias("e_winner"))
     entries = entries.withColumn("entry", F.struct(*A.ORDER))
+    if read:
+        raw = read(entries.select(F.col("annual_url").alias("url")).distinct())
+    annual, broken = _numbered(A.locus_records(raw)), first_error(raw)
     there = raw.where("page_role = 'annual' and error is null").select(F.col("page_url").alias("annual_url")).distinct().withColumn("there", F.lit(True))
     state = entries.join(there, "annual_url", "left").join(broken.where("page_role = 'annual'").select(F.col("page_url").alias("annual_url"), "message"), "annual_url", "left")
     unread = F.coalesce("message", F.when(F.col("there").isNull(), F.format_string(fixed.LOCUS_UNREAD, "annual_url")))
@@ -189,6 +202,8 @@ class Source:
     pages: tuple[tuple[str, str], ...] = ()
     #: Whether the source is made of snapshots at all.
     from_pages: bool = True
+    #: The role of pages that are read only where others name them; match is then given the reader of pages as well.
+    directed: str | None = None
 
 
 def _whole_archive(match):
@@ -206,7 +221,7 @@ SOURCES = (
     Source("pulitzer", fixed.NAMES["pulitzer"], _TYPE["pulitzer"], _whole_archive(pulitzer_results), A.pulitzer_records, pages=fixed.PULITZER_CATEGORIES),
     Source("nebula", fixed.NAMES["nebula"], _TYPE["nebula"], _whole_archive(nebula_results), A.nebula_records, lambda raw, r, _: A.nebula_failures(raw, r), ("award_name", *_WORK)),
     Source("hugo", fixed.NAMES["hugo"], _TYPE["hugo"], _whole_archive(hugo_results), A.hugo_records, lambda raw, r, _: A.hugo_failures(raw, r), _WORK),
-    Source("locus", fixed.NAMES["locus"], _TYPE["locus"], locus_results, same=("award_year", "category", "_title", "_author", "rank", "source_url"), order=_locus_order),
+    Source("locus", fixed.NAMES["locus"], _TYPE["locus"], locus_results, same=("award_year", "category", "_title", "_author", "rank", "source_url"), order=_locus_order, directed="annual"),
     Source("world_fantasy", fixed.NAMES["world_fantasy"], _TYPE["world_fantasy"], _whole_archive(world_fantasy_results), A.fantasy_records, A.fantasy_failures, _WORK),
 )
 
@@ -240,11 +255,18 @@ def user_source(key: str, name: str, function: Callable[[str, str, str | None],
 class Archives:
     """Snapshots read and checked once, for any number of lookups; `close` frees what is kept.
 
-    A source whose archive breaks its contract has a message in `broken`, and no records.
+    A source whose archive breaks its contract has a message in `broken`, and no records. Pages of a role that others name are not read
+    here: `read` reads those asked for. raw, if given, are the raw rows of the snapshots, read before.
     """
 
-    def __init__(self, snapshots: DataFrame, full_history: bool = True, sources: tuple[Source, ...] = SOURCES):
-        self.sources, self.raw = sources, raw_rows(snapshots).persist()
+    def __init__(self, snapshots: DataFrame, full_history: bool = True, sources: tuple[Source, ...] = SOURCES, raw: DataFrame | None = None):
+        self.sources, self.pages, self.was_read, self.pages_read = sources, snapshots, raw, 0
+        late = F.lit(False)
+        for s in sources:
+            late = late | F.coalesce((F.col("source_key") == s.key) & (F.col("page_role") == s.directed), F.lit(False)) if s.directed else late
+        self.late = late
+        self.raw = (raw_rows(snapshots.where(~late)) if raw is None else raw.where(~late)).persist()
+        self.kept = Kept(snapshots.sparkSession, "archives")
         self.records: dict[str, DataFrame] = {}
         self.broken: dict[str, str] = {r["source_key"]: r["message"] for r in A.page_failures(self.raw).collect()}  # one row a source at most
         wanted = [c for s in sources for c, _ in s.pages]
@@ -264,9 +286,23 @@ class Archives:
                 if wrong is not None:
                     self.broken[source.key] = wrong["message"]
 
+    def read(self, key: str, urls: DataFrame) -> DataFrame:
+        """Raw rows of the pages of a source that are read on demand, of the addresses in urls (url, each once); pages_read counts pages.
+
+        They are stored once, as a lookup reads them for its matches and for its failures.
+        """
+        asked = urls.where("url is not null")
+        if self.was_read is not None:
+            return self.was_read.where(self.late & (F.col("source_key") == key)).join(asked.withColumnRenamed("url", "page_url"), "page_url", "left_semi")
+        seen = Observation()
+        rows = self.kept(raw_rows(self.pages.where(self.late & (F.col("source_key") == key)).join(asked, "url", "left_semi").select(*self.pages.columns).observe(seen, F.count(F.lit(1)).alias("pages"))))
+        self.pages_read += seen.get["pages"]
+        return rows
+
     def close(self) -> None:
         for df in (self.raw, *self.records.values()):
             df.unpersist()
+        self.kept.free_all()
 
     def __enter__(self) -> Archives:
         return self
@@ -275,16 +311,18 @@ class Archives:
         self.close()
 
 
-def lookup_awards(requests: DataFrame, snapshots: DataFrame | Archives, full_history: bool = True, on_progress: Callable[[int, int, str | None], None] | None = None, sources: tuple[Source, ...] = SOURCES) -> Report:
+def lookup_awards(requests: DataFrame, snapshots: DataFrame | Archives, full_history: bool = True, on_progress: Callable[[int, int, str | None], None] | None = None, sources: tuple[Source, ...] = SOURCES, once: bool = False) -> Report:
     """Results and failures of all requests over the stored pages, or over Archives opened before.
 
     A source whose archive breaks its contract, or has no page, gives no results and one failure for each request; the
     others are unaffected. A request with a blank title or author fails alone, and so does a source for a request if one of its results
-    breaks the contract of results. on_progress hears (0, n, None), then each source when its results are computed.
+    breaks the contract of results. on_progress hears (0, n, None), then each source when its results have been computed; they are
+    stored for that, as they are with `once`, so results and failures are read from one computation.
     """
     archives = snapshots if isinstance(snapshots, Archives) else Archives(snapshots, full_history, sources)
     requests, unusable = clean_requests(requests)
     tell, count = on_progress or (lambda *_: None), len(archives.sources)
+    kept = Kept(requests.sparkSession, "lookup") if on_progress or once else None
     tell(0, count, None)
     results, failures = [], [unusable]
     for at, source in enumerate(archives.sources):
@@ -292,12 +330,12 @@ def lookup_awards(requests: DataFrame, snapshots: DataFrame | Archives, full_his
         if source.key in archives.broken:
             failures.append(fail(requests.withColumn("message", F.lit(archives.broken[source.key]))))
         else:
-            found, lost = source.match(requests, archives.records.get(source.key, archives.raw))
+            reader = [lambda urls, key=source.key: archives.read(key, urls)] if source.directed else []
+            found, lost = source.match(requests, archives.records.get(source.key, archives.raw), *reader)
             rows = _ordered(found, at, source).withColumn("_wrong", result_violations())
             rows = rows.withColumn("_any", F.max(F.size("_wrong")).over(Window.partitionBy("query_id")))
-            if on_progress:
-                rows = rows.persist()
-                rows.count()
+            if kept:
+                rows = kept(rows)
             results.append(rows.where("_any = 0").select(*RESULT))
             wrong = rows.where("size(_wrong) > 0").groupBy("query_id").agg(F.min_by(F.array_join("_wrong", "; "), "result_ord").alias("message"))
             failures += [fail(wrong)] + ([fail(lost)] if lost is not None else [])
@@ -307,4 +345,4 @@ def lookup_awards(requests: DataFrame, snapshots: DataFrame | Archives, full_his
         empty = requests.limit(0).select("query_id", *[F.lit(None).cast("int" if c in ("source_ord", "result_ord", "award_year", "rank") else "string").alias(c) for c in RESULT[1:]])
         results.append(empty)
     assessed = assess(union(results))
-    return Report(assessed.withColumn("preselected", F.col("decision") == "QUALIFIES"), union(failures))
+    return Report(assessed.withColumn("preselected", F.col("decision") == "QUALIFIES"), union(failures), kept)

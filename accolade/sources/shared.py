@@ -50,6 +50,10 @@ class Kept:
             if path:
                 delete(self.spark, path)
 
+    def free_all(self) -> None:
+        delete(self.spark, self.root)
+        self.paths.clear()
+
 
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system and path object of a path, for renames and deletes on whatever store it names."""

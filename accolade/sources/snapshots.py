@@ -25,7 +25,8 @@ _FIELDS = {
     "award_year": pa.int32(), "award_name": pa.string(), "category": pa.string(), "official_category": pa.string(), "status": pa.string(), "rank": pa.int32(), "winner": pa.bool_(), "tied": pa.bool_(),
     "work_title": pa.string(), "work_author": pa.string(), "match_titles": pa.list_(pa.string()), "match_authors": pa.list_(pa.string()), "source_url": pa.string(), "identity_kind": pa.string(), "error": pa.string(),
 }
-_PLACE = {"source_key": pa.string(), "page_role": pa.string(), "page_url": pa.string(), "config_ord": pa.int32(), "page_ord": pa.int32(), "rec_ord": pa.int32()}
+#: digest is that of the page a row was read from, where the snapshots have one.
+_PLACE = {"digest": pa.string(), "source_key": pa.string(), "page_role": pa.string(), "page_url": pa.string(), "config_ord": pa.int32(), "page_ord": pa.int32(), "rec_ord": pa.int32()}
 _SQL = {pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.string()): "array<string>"}
 RAW = ", ".join(f"{k} {_SQL[t]}" for k, t in (_PLACE | _FIELDS).items())
 _YEAR_PAGE = re.compile(r"(\d{4}) Hugo Awards")
@@ -128,7 +129,7 @@ def _reader(batches):
     for batch in batches:
         columns: dict[str, list] = {k: [] for k in _PLACE | _FIELDS}
         for s in batch.to_pylist():
-            place = {"source_key": s["source_key"], "page_role": s["page_role"], "page_url": s["url"], "page_ord": s["page_ord"] or 0}
+            place = {"digest": s.get("digest"), "source_key": s["source_key"], "page_role": s["page_role"], "page_url": s["url"], "page_ord": s["page_ord"] or 0}
             try:
                 at, rows = _read(s["source_key"], s["page_role"], s["category_key"], s["url"] or "", s["http_status"] or 0, dict(s["headers"] or []), s["body"])
                 rows = list(rows)

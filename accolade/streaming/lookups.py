@@ -15,16 +15,18 @@ REQUEST = "query_id long, title string, author string, series string"
 def stream_lookups(requests: DataFrame, snapshots: DataFrame | Archives, out: str, checkpoint: str, once: bool = True, full_history: bool = True, on_batch: Callable[[int], None] | None = None) -> StreamingQuery:
     """Writes results and failures of every batch to out/results and out/failures, under the batch's number.
 
-    Snapshots are read and checked once, before the first batch; Archives that were opened before are used as they are.
+    Snapshots are read and checked once, before the first batch; Archives that were opened before are used as they are. A batch's
+    matches are computed once, for its results and its failures.
     A batch that runs again after a failure overwrites its own folder only, so results are there exactly once.
     """
 
     archives = snapshots if isinstance(snapshots, Archives) else Archives(snapshots, full_history)
 
     def run(batch: DataFrame, number: int) -> None:
-        report = lookup_awards(batch, archives)
+        report = lookup_awards(batch, archives, once=True)
         report.results.write.mode("overwrite").parquet(f"{out}/results/batch={number}")
         report.failures.write.mode("overwrite").parquet(f"{out}/failures/batch={number}")
+        report.free()
         if on_batch:
             on_batch(number)
 

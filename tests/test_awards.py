@@ -264,3 +264,39 @@ def test_qualify_and_write_back(spark):
     got = present.write_back(lists, "old", "new", "replace").collect()
     assert [(r["values"], r["changed"]) for r in got] == [(["B", "a"], True), ([], False)]
     assert present.is_eligible_target(lists, "old") and not present.is_eligible_target(df, "rank")
+
+
+def test_annual_pages_are_read_where_the_index_names_them(spark, snapshots):
+    """Pages of other years, which would fail if they were read, never are."""
+    from accolade.plans.lookup import Archives
+
+    more = [snapshot_of("locus", "annual", None, 0, f"https://www.sfadb.com/Locus_Awards_{y}", "broken") for y in range(1991, 1999)]
+    requests = spark.createDataFrame([(1, "Low Tide", "Ann Ode", None), (2, "No Such", "Bo Pax", None)], "query_id long, title string, author string, series string")
+    with Archives(snapshots.where("source_key = 'locus'").union(spark.createDataFrame(more, SNAPSHOT))) as archives:
+        got = lookup_awards(requests, archives, once=True)
+        assert [(r["query_id"], r["source_name"], r["rank"]) for r in got.results.collect()] == [(1, "Science Fiction Awards Database", 6)]
+        assert archives.pages_read == 1
+        got.free()
+
+
+def test_archive_store(spark, snapshots, tmp_path):
+    from accolade.plans.store import ArchiveStore
+
+    requests = spark.createDataFrame([(1, "Low Tide", "Ann Ode", None)], "query_id long, title string, author string, series string")
+    rows = lambda report: sorted((r["source_name"], r["award_year"], r["status"], r["decision"]) for r in report.results.collect())
+    want = rows(lookup_awards(requests, snapshots))
+    assert len(want) == 4
+    first = ArchiveStore(spark, f"{tmp_path}/store").load(snapshots)
+    pages = snapshots.count()
+    assert (first.number, first.read, first.unchanged, first.refused) == (1, pages, 0, {})
+    # A second session's store reads no page that is there, and gives the same archives.
+    store = ArchiveStore(spark, f"{tmp_path}/store")
+    with store.open() as archives:
+        assert rows(lookup_awards(requests, archives)) == want and archives.broken == {}
+    changed = snapshot_of("hugo", "archive", None, 0, "https://h/json", "[]")
+    again = store.load(snapshots.where("source_key != 'hugo'").union(spark.createDataFrame([changed], SNAPSHOT)))
+    assert (again.read, again.unchanged) == (1, pages - 1) and list(again.refused) == ["hugo"] and "empty" in again.refused["hugo"]
+    # The bad load is not the archive of its source; a load of some sources leaves the others as they are.
+    store.load(snapshots.where("source_key = 'pulitzer'"))
+    with store.open() as archives:
+        assert rows(lookup_awards(requests, archives)) == want and archives.broken == {}
