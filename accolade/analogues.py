@@ -6,12 +6,15 @@ play its part, over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accolade.functions import text as T
 from accolade.operators import present as P
 from accolade.operators import qualify as Q
 from accolade.operators import relational as R
+from accolade.operators.matching import contains_all
+from accolade.operators.rounds import safe_on
 from accolade.sources.snapshots import host_is_allowed
 
 QUERIES: dict = {}
@@ -47,10 +50,9 @@ FROM j
 def qualify_rank_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks within a year, policies by category and year range, the decision, and the formatted line."""
     items = _t(spark, sf_dir, "lineitem").groupBy("l_partkey", F.year("l_shipdate").alias("award_year")).agg(F.round(F.sum(F.col("l_extendedprice") * 100)).cast("long").alias("cents"))
-    n = F.row_number().over(Window.partitionBy("award_year").orderBy(F.desc("cents"), "l_partkey"))
-    df = items.withColumn("n", n).join(_t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    status = F.element_at(F.array(*[F.lit(s) for s in ("Winner", "Finalist", "Longlist", "Other")]), F.col("n") % 4 + 1)
-    df = df.select("l_partkey", "award_year", F.when(F.col("n") <= 10, F.col("n")).alias("rank"), status.alias("status"), F.col("p_type").alias("category"), F.col("p_name").alias("work_title"), F.lit("Revenue Prize").alias("award_name"), F.lit("work").alias("identity_kind"))
+    df = R.numbered(items, ["cents", "l_partkey"], "n", ["award_year"], ("cents",)).join(_t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    status = F.element_at(F.array(*[F.lit(s) for s in ("Winner", "Finalist", "Longlist", "Other")]), (F.col("n") % 4 + 1).cast("int"))
+    df = df.select("l_partkey", "award_year", F.when(F.col("n") <= 10, F.col("n").cast("int")).alias("rank"), status.alias("status"), F.col("p_type").alias("category"), F.col("p_name").alias("work_title"), F.lit("Revenue Prize").alias("award_name"), F.lit("work").alias("identity_kind"))
     rules = Q.policies((("Revenue Prize", "ECONOMY", 1997, None, ("Finalist",), (), ""), ("Revenue Prize", "STANDARD", None, 1998, (), ("Longlist",), "")))
     return Q.assess(df, rules).select("l_partkey", "award_year", "rank", "decision", P.formatted().alias("line"))
 
@@ -74,10 +76,11 @@ def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each normal form; only digests are moved, not texts."""
     form = F.md5(F.lower(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " "))))
     df = _t(spark, sf_dir, "documents").select("doc_id", form.alias("form"))
-    first = df.groupBy("form").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return first.select("doc_id", "copies")
+    copies = df.groupBy("form").agg(F.count(F.lit(1)).alias("copies")).alias("c")
+    return R.first_wins(df, ["form"], ["doc_id"]).alias("f").join(copies, safe_on("f", "c", ["form"])).select("doc_id", "copies")
 
 
+_asked_titles, _known_titles = (T.list_column(lambda v, asked=asked: T.title_keys(T.title_basic(v).replace(": ", ":"), asked)) for asked in (True, False))
 _TITLES = """
 WITH n AS (SELECT DISTINCT p_brand, p_name, p_type FROM part),
 q AS (SELECT DISTINCT p_brand || ' ' || p_name || CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN ': ' || p_type ELSE '' END AS title FROM n),
@@ -94,20 +97,22 @@ SELECT query_title, record_title FROM x JOIN b ON x.n = b.n
   OR (contains(b.n, ':') AND NOT contains(x.n, ':') AND split_part(b.n, ':', 1) = x.n)
 """)
 def title_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that match in full or up to one side's colon, by exploded keys; the SQL joins on the plain condition."""
+    """Titles that match in full or up to one side's colon, by the engine's keys; the SQL joins on the plain condition."""
     n = _t(spark, sf_dir, "part").select("p_brand", "p_name", "p_type").distinct()
     tail = lambda *kinds: F.when(F.col("p_type").isin(*kinds), F.concat(F.lit(": "), F.col("p_type"))).otherwise("")
     q = n.select(F.concat("p_brand", F.lit(" "), "p_name", tail("ECONOMY", "STANDARD")).alias("query_title")).distinct()
     r = n.select(F.concat("p_brand", F.lit(" & "), "p_name", tail("PROMO", "STANDARD")).alias("record_title")).distinct()
+    asked = q.withColumn("k", _asked_titles(F.regexp_replace("query_title", r"^(Brand#[0-9]+) ", "$1 and ")))
+    return R.key_join(asked, r.withColumn("k2", _known_titles("record_title")), "k", "k2", [], ["query_title"], ["record_title"])
 
-    def keys(form, is_query):
-        head = F.trim(F.substring_index(form, ":", 1))
-        own, other = ("S", "P") if is_query else ("P", "S")
-        return F.array(F.concat(F.lit("F|"), form), F.when(F.contains(form, F.lit(":")), F.concat(F.lit(f"{own}|"), head)).otherwise(F.concat(F.lit(f"{other}|"), form)))
 
-    asked = F.lower(F.regexp_replace(F.regexp_replace("query_title", r"^(Brand#[0-9]+) ", "$1 and "), ": ", ":"))
-    known = F.lower(F.regexp_replace(F.regexp_replace("record_title", r"\s+&\s+", " and "), ": ", ":"))
-    return R.key_join(q.withColumn("k", keys(asked, True)), r.withColumn("k2", keys(known, False)), "k", "k2", [], ["query_title"], ["record_title"])
+_ordered_asked, _ordered_known = T.list_column(lambda v: T.ordered_names(v, True)), T.list_column(lambda v: T.ordered_names(v, False))
+_any_part = T.list_column(lambda v: T.any_part([v]))
+
+
+def _credit(names: str, between: str):
+    """The numbers of people as names in one text."""
+    return F.array_join(F.transform(names, lambda x: F.concat(F.lit("Person "), x.cast("string"))), between)
 
 
 _PEOPLE = "WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey % 20))) AS names FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, list_sort(list_distinct([o_custkey % 20, o_orderkey % 20])) AS asked FROM orders) "
@@ -121,18 +126,19 @@ def _people(spark, sf_dir):
 
 @_query(_PEOPLE + "SELECT o_orderkey, len(names) AS n FROM o JOIN s ON o_orderkey = l_orderkey WHERE names = asked")
 def author_list_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _people(spark, sf_dir).where(F.col("names") == F.col("asked")).select("o_orderkey", F.size("names").cast("long").alias("n"))
+    return _people(spark, sf_dir).where(F.arrays_overlap(_ordered_asked(_credit("asked", " & ")), _ordered_known(_credit("names", ", ")))).select("o_orderkey", F.size("names").cast("long").alias("n"))
 
 
 @_query(_PEOPLE + "SELECT o_orderkey, len(list_intersect(names, asked)) AS shared FROM o JOIN s ON o_orderkey = l_orderkey WHERE list_has_any(names, asked)")
 def author_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _people(spark, sf_dir).where(F.arrays_overlap("names", "asked")).select("o_orderkey", F.size(F.array_intersect("names", "asked")).cast("long").alias("shared"))
+    df = _people(spark, sf_dir).where(F.arrays_overlap(_any_part(_credit("names", " & ")), _any_part(_credit("asked", " & "))))
+    return df.select("o_orderkey", F.size(F.array_intersect("names", "asked")).cast("long").alias("shared"))
 
 
 @_query(_PEOPLE + "SELECT o_orderkey, len(names) AS n FROM o JOIN s ON o_orderkey = l_orderkey WHERE list_has_all(asked, names)")
 def author_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every credited one is among those asked for."""
-    return _people(spark, sf_dir).where(F.forall("names", lambda x: F.array_contains("asked", x))).select("o_orderkey", F.size("names").cast("long").alias("n"))
+    return _people(spark, sf_dir).where(contains_all(F.col("names"), F.col("asked"))).select("o_orderkey", F.size("names").cast("long").alias("n"))
 
 
 @_query("""
@@ -188,17 +194,16 @@ JOIN (SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY pos
 """)
 def group_ordered_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a group in order of first appearance, and whether any of its rows won."""
-    at = F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("at"), "l_suppkey")
-    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["l_suppkey"].cast("string")))
+    at = F.struct(F.col("l_linenumber") * 1000000 + F.col("l_partkey"), F.col("l_suppkey"))
+    names = R.in_order_once(at, F.col("l_suppkey").cast("string"))
     return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(names, ",").alias("names"), F.bool_or(F.col("l_returnflag") == "R").alias("winner"))
 
 
 @_query("SELECT o_orderkey FROM orders a WHERE NOT (year(o_orderdate) = 1997 AND EXISTS (SELECT 1 FROM orders b WHERE year(b.o_orderdate) = 1998 AND b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority))")
 def anti_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one year go if the next year's page has their identity; other years are not touched."""
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y"))
-    right = o.where("y = 1998").select("o_custkey", "o_orderpriority", F.lit(1997).alias("y")).distinct()
-    return o.join(right, ["o_custkey", "o_orderpriority", "y"], "left_anti").select("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.array("o_orderpriority").alias("keys"), F.year("o_orderdate").alias("y"))
+    return R.without_identities(o, ["o_orderkey"], F.col("y") == 1997, o.where("y = 1998"), ["o_custkey"], "keys").select("o_orderkey")
 
 
 @_query("""
@@ -206,13 +211,10 @@ SELECT source_ord, key, name, row_number() OVER (ORDER BY source_ord, key) AS pl
 SELECT 0 AS source_ord, CAST(r_regionkey AS BIGINT) AS key, r_name AS name FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation UNION ALL SELECT 2, s_suppkey, s_name FROM supplier)
 """)
 def registry_union_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources one after another. Places are numbered by source with each source's start added, so no task orders all rows."""
+    """Sources one after another, numbered over ranges, so no task orders all rows."""
     parts = [_t(spark, sf_dir, t).select(F.lit(i).alias("source_ord"), F.col(k).cast("long").alias("key"), F.col(n).alias("name")) for i, (t, k, n) in enumerate((("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name")))]
     rows = parts[0].union(parts[1]).union(parts[2])
-    sizes = rows.groupBy("source_ord").count()
-    start = sizes.select("source_ord", F.coalesce(F.sum("count").over(Window.orderBy("source_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("source_ord").orderBy("key"))
-    return rows.withColumn("own", own).join(F.broadcast(start), "source_ord").select("source_ord", "key", "name", (F.col("own") + F.col("start")).cast("long").alias("place"))
+    return R.numbered(rows, ["source_ord", "key"], "place")
 
 
 _LISTS = """

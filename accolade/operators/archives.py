@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accolade.functions import text as T
-from accolade.operators.relational import first_wins, gap_message, gaps, is_shared
+from accolade.operators.relational import first_wins, gap_message, gaps, in_order_once, is_shared, without_identities
 from accolade.operators.rounds import first_fit
 from accolade.sources import fixed
 
@@ -125,7 +125,7 @@ def table_works(raw: DataFrame) -> DataFrame:
     """One row a work of a table page: first title and label, authors in order, winner if any of its rows is."""
     df = _works(raw, "world_fantasy").where("official_category is not null").withColumn("title_key", _fantasy_title("work_title"))
     at = F.struct(*ORDER)
-    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "work_author"))), lambda x: x["work_author"]))
+    names = in_order_once(at, F.col("work_author"))
     works = df.groupBy("page_role", "award_year", "category", "title_key").agg(
         F.min_by("work_title", at).alias("work_title"), F.min_by("official_category", at).alias("official_category"), F.min_by("source_url", at).alias("source_url"),
         names.alias("authors"), F.when(F.bool_or(F.col("status") == "Winner"), "Winner").otherwise("Nominee").alias("status"), F.min(at).alias("at"),
@@ -166,10 +166,8 @@ def fantasy_records(raw: DataFrame) -> DataFrame:
     named = df.select("*", F.explode("name_list").alias("_name")).withColumn("_keys", _identity("_name"))
     grouped = named.groupBy("page_role", *ORDER, "award_year", "category", "title_key").agg(F.array_distinct(F.flatten(F.collect_list("_keys"))).alias("keys"))
     df = df.drop("name_list").join(grouped, ["page_role", *ORDER, "award_year", "category", "title_key"])
-    right = df.where("page_role = 'annual_2013'").select("category", "title_key", F.explode("keys").alias("_key")).distinct()
-    wrong = df.where("award_year = 2012 and page_role in ('nominees', 'convention_1982', 'convention_1993', 'convention_2005')").select("page_role", *ORDER, "category", "title_key", F.explode("keys").alias("_key"))
-    wrong = wrong.join(right, ["category", "title_key", "_key"], "left_semi").select("page_role", *ORDER).distinct()
-    df = df.join(wrong, ["page_role", *ORDER], "left_anti")
+    misfiled = (F.col("award_year") == 2012) & F.col("page_role").isin("nominees", "convention_1982", "convention_1993", "convention_2005")
+    df = without_identities(df, ["page_role", *ORDER], misfiled, df.where("page_role = 'annual_2013'"), ["category", "title_key"], "keys")
     merged = first_fit(df, ["award_year", "category", "title_key"], ORDER, "keys").drop("keys")
     return merged.withColumns({"source_key": F.lit("world_fantasy"), "award_name": F.lit("World Fantasy Award"), "match_titles": F.array("work_title"), "identity_kind": F.lit("work"), "rank": F.lit(None).cast("int"), "winner": F.lit(None).cast("boolean"), "tied": F.lit(None).cast("boolean")})
 

@@ -7,6 +7,7 @@ import sys
 import duckdb
 import pytest
 
+from accolade import analogues_rounds  # noqa: F401
 from accolade.analogues import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
