@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from accolade.functions import text as T
 from accolade.operators.relational import first_wins, gap_message, gaps, in_order_once, is_shared, without_identities
-from accolade.operators.rounds import first_fit
+from accolade.operators.rounds import first_fit, safe_on
 from accolade.sources import fixed
 
 ORDER = ["config_ord", "page_ord", "rec_ord"]
@@ -210,12 +210,31 @@ def annual_2013_titles(raw: DataFrame) -> DataFrame:
 
 
 def ranking_problems(rankings: DataFrame) -> DataFrame:
-    """Rows of a ranking table that repeat a work, or share a rank without being tied."""
-    df = _keyed(rankings)
-    work = Window.partitionBy("award_year", "_title", "_author")
-    rank = Window.partitionBy("award_year", "rank")
-    twice, untied = F.count(F.lit(1)).over(work) > 1, (F.count(F.lit(1)).over(rank) > 1) & ~F.bool_and("tied").over(rank)
-    return df.withColumn("problem", F.when(twice, "work ranked twice").when(untied, "shared rank without a tie")).where("problem is not null").select("award_year", "work_title", "work_author", "rank", "problem")
+    """Rows of a ranking table (award_year, work_title, work_author, rank, source_url, tied) that cannot stand, and why.
+
+    A row lacks a field, has a year or rank that is not positive, ranks what is no work, ranks a work again, or shares its rank with one that is not
+    tied. Ties of unknown state are none.
+    """
+    name = lambda c: _casefold(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"^(?U)\s+", ""), r"(?U)\s+$", ""))
+    df = rankings.withColumns({"_title": name("work_title"), "_author": name("work_author")})
+    same = df.groupBy("award_year", "_title", "_author").agg((F.count(F.lit(1)) > 1).alias("_twice")).alias("w")
+    rank = df.groupBy("award_year", "rank").agg(((F.count(F.lit(1)) > 1) & ~F.bool_and(F.coalesce("tied", F.lit(False)))).alias("_untied")).alias("r")
+    df = df.alias("d").join(same, safe_on("d", "w", ["award_year", "_title", "_author"])).join(rank, safe_on("d", "r", ["award_year", "rank"])).select("d.*", "_twice", "_untied")
+    problem = None
+    for broken, what in (
+        (~F.coalesce(F.col("award_year") > 0, F.lit(False)), "award_year is not positive"), (F.col("_title") == "", "work_title is blank"), (F.col("_author") == "", "work_author is blank"),
+        (~F.coalesce(F.col("rank") > 0, F.lit(False)), "rank is not positive"), (F.trim(F.coalesce("source_url", F.lit(""))) == "", "source_url is blank"),
+        (F.col("_title").isin(*fixed.NO_WORKS) | F.col("_author").isin(*fixed.NO_WORKS), "what is ranked is no work"), (F.col("_twice"), "work ranked twice"), (F.col("_untied"), "shared rank without a tie"),
+    ):
+        problem = F.when(broken, what) if problem is None else problem.when(broken, what)
+    return df.withColumn("problem", problem).where("problem is not null").select("award_year", "work_title", "work_author", "rank", "problem")
+
+
+def ranking_failure(rankings: DataFrame) -> DataFrame:
+    """At most one row (source_key, message): the first problem of a ranking table."""
+    told = F.format_string(fixed.RANKING_BROKEN, F.coalesce(F.col("award_year").cast("string"), F.lit("-")), F.coalesce("work_title", F.lit("-")), "problem")
+    first = ranking_problems(rankings).agg(F.min_by(told, F.struct("award_year", "rank", "work_title", "problem")).alias("message"))
+    return first.where("message is not null").select(F.lit("hugo").alias("source_key"), "message")
 
 
 def page_failures(raw: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from accolade.functions import text as T
 from accolade.operators import archives as A
@@ -214,13 +216,20 @@ def _locus_order() -> list:
     return [F.coalesce("award_year", F.lit(0)), F.coalesce("category", F.lit("")), F.coalesce("rank", F.lit(0)), "_title"]
 
 
+def hugo_source(rankings: DataFrame | None = None) -> Source:
+    """The source with a ranking table of one's own (award_year, work_title, work_author, rank, source_url, tied) in place of the curated one; a table that cannot stand fails the source."""
+    match = lambda requests, records: (hugo_results(requests, records, rankings), None)
+    contract = lambda raw, records, _: A.hugo_failures(raw, records) if rankings is None else A.ranking_failure(rankings).unionByName(A.hugo_failures(raw, records))
+    return Source("hugo", fixed.NAMES["hugo"], fixed.ERROR_TYPES["hugo"], match, A.hugo_records, contract, _WORK)
+
+
 _WORK = ("award_year", "category", "status", "_title", "_author", "source_url")
 _TYPE = fixed.ERROR_TYPES
 #: The sources in the order of their results; a longer tuple can be handed to the lookup.
 SOURCES = (
     Source("pulitzer", fixed.NAMES["pulitzer"], _TYPE["pulitzer"], _whole_archive(pulitzer_results), A.pulitzer_records, pages=fixed.PULITZER_CATEGORIES),
     Source("nebula", fixed.NAMES["nebula"], _TYPE["nebula"], _whole_archive(nebula_results), A.nebula_records, lambda raw, r, _: A.nebula_failures(raw, r), ("award_name", *_WORK)),
-    Source("hugo", fixed.NAMES["hugo"], _TYPE["hugo"], _whole_archive(hugo_results), A.hugo_records, lambda raw, r, _: A.hugo_failures(raw, r), _WORK),
+    hugo_source(),
     Source("locus", fixed.NAMES["locus"], _TYPE["locus"], locus_results, same=("award_year", "category", "_title", "_author", "rank", "source_url"), order=_locus_order, directed="annual"),
     Source("world_fantasy", fixed.NAMES["world_fantasy"], _TYPE["world_fantasy"], _whole_archive(world_fantasy_results), A.fantasy_records, A.fantasy_failures, _WORK),
 )
@@ -252,6 +261,44 @@ def user_source(key: str, name: str, function: Callable[[str, str, str | None],
     return Source(key, name, "UserSourceError", match, from_pages=False)
 
 
+_OWN_ROWS = "query_id long, work_title string, work_author string, award_name string, award_year int, category string, status string, rank int, source_url string, notes string, identity_kind string, message string"
+
+
+def register_source_function(spark, name: str, function: Callable[[str, str, str | None], list[dict]]) -> None:
+    """Makes a source that is a function a table function of SQL.
+
+    SELECT * FROM name(TABLE(requests) PARTITION BY query_id), where requests has query_id, title, author and maybe series, or
+    SELECT ... FROM requests, LATERAL name(query_id, title, author, series). What the function raises is a row with a message.
+    """
+    rows = spark.createDataFrame([], _OWN_ROWS).schema
+    columns = rows.names
+
+    class OwnSource:
+        @staticmethod
+        def analyze(*arguments: AnalyzeArgument) -> AnalyzeResult:
+            one = arguments[0]
+            given = {f.name for f in one.dataType.fields} if one.isTable else {"query_id", "title", "author"} if len(arguments) >= 3 else set()
+            lacking = {"query_id", "title", "author"} - given
+            if lacking:
+                raise ValueError(f"{name} needs {', '.join(sorted(lacking))}")
+            return AnalyzeResult(schema=rows)
+
+        def eval(self, *arguments):
+            if len(arguments) == 1:
+                asked = arguments[0].asDict()
+                query, title, author, series = asked["query_id"], asked["title"], asked["author"], asked.get("series")
+            else:
+                query, title, author, series = (*arguments, None)[:4]
+            try:
+                for found in function(title, author, series):
+                    row = {"identity_kind": "work", **found, "query_id": query}
+                    yield tuple(row.get(c) for c in columns)
+            except Exception as e:  # a failure of this request only
+                yield tuple({"query_id": query, "message": f"{type(e).__name__}: {e}"}.get(c) for c in columns)
+
+    spark.udtf.register(name, udtf(OwnSource))
+
+
 class Archives:
     """Snapshots read and checked once, for any number of lookups; `close` frees what is kept.
 

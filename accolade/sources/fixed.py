@@ -171,6 +171,9 @@ PAGE_HTTP = "{name} page request failed with HTTP {status} for {url}"
 PAGE_CHALLENGE = "{name} page is blocked by a challenge: {url}"
 PAGE_UNREADABLE = "{name} page could not be read: {url} ({error})"
 PAGE_MISSING = "{name} page is missing from the snapshots: {url}"
+RANKING_BROKEN = "Hugo ranking of %s %s cannot be used: %s"
+#: What a list of works names that is no work.
+NO_WORKS = ("no award", "no winner chosen")
 NO_PAGE = "{name} has no page in the snapshots"
 BLANK_FIELD = "{field} must be a non-empty string"
 LOCUS_UNREAD = "Locus annual page request failed with HTTP 404 for %s"

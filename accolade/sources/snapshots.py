@@ -186,8 +186,22 @@ def host_is_allowed(url: F.Column, hosts) -> F.Column:
     return F.coalesce(F.rtrim(F.lower(F.parse_url(url, F.lit("HOST"))), F.lit(".")).isin(*hosts) & F.lower(F.parse_url(url, F.lit("PROTOCOL"))).isin("http", "https"), F.lit(False))
 
 
+_LAYOUT = ["source_key", "page_role"]
+
+
+def write_snapshots(snapshots: DataFrame, path: str, mode: str = "append") -> None:
+    """Adds snapshots to a table with a folder for each source and role, so that what is asked of one source reads its files only."""
+    snapshots.select(*[c.split()[0] for c in SNAPSHOT.split(", ")]).repartition(*_LAYOUT, F.pmod(F.xxhash64("url"), F.lit(16))).write.mode(mode).partitionBy(*_LAYOUT).parquet(path)
+
+
 def read_snapshots(spark, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT).parquet(path)
+    """The table; conditions on source and role choose folders, others are pushed to the files."""
+    return spark.read.schema(SNAPSHOT).parquet(path).select(*[c.split()[0] for c in SNAPSHOT.split(", ")])
+
+
+def stream_snapshots(spark, path: str) -> DataFrame:
+    """Snapshots as they are added."""
+    return spark.readStream.schema(SNAPSHOT).parquet(path).select(*[c.split()[0] for c in SNAPSHOT.split(", ")])
 
 
 def snapshot_of(source_key, page_role, category_key, page_ord, url, body, http_status=200, headers=None):

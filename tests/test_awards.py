@@ -232,6 +232,22 @@ def test_contracts(spark, snapshots):
     assert A.ranking_problems(ranking_table(spark)).count() == 0
     twice = ranking_table(spark).union(ranking_table(spark).limit(1))
     assert A.ranking_problems(twice).count() == 2
+    good = (1990, "T", "A", 1, "u", False)
+    kinds = [((0, "T", "A", 1, "u", False), "year"), ((1990, " ", "A", 1, "u", False), "title"), ((1990, "T", None, 1, "u", False), "author"), ((1990, "T", "A", 0, "u", False), "rank is not"), ((1990, "T", "A", 1, "", None), "url"), ((1990, "No AWARD", "A", 1, "u", False), "no work")]
+    shape = "award_year int, work_title string, work_author string, rank int, source_url string, tied boolean"
+    for row, told in kinds:
+        assert told in A.ranking_problems(spark.createDataFrame([row], shape)).first()["problem"]
+    assert A.ranking_problems(spark.createDataFrame([good, (1990, " t", "a ", 2, "u", False)], shape)).count() == 2
+    for tied, problems in ((True, 0), (None, 2), (False, 2)):
+        assert A.ranking_problems(spark.createDataFrame([(*good[:5], True), (1990, "U", "A", 1, "u", tied)], shape)).count() == problems
+    # A table that is handed in is checked before it is used: a repeated rank fails the source.
+    from accolade.plans.lookup import Archives, hugo_source
+    ask = spark.createDataFrame([(1, "Starter Villain", "John Scalzi", None)], "query_id long, title string, author string, series string")
+    for rows, fails in (([(2024, "Starter Villain", "John Scalzi", 4, "own", False)], False), ([(2024, "Starter Villain", "John Scalzi", 4, "own", False), (2024, "Other", "Zed", 4, "own", False)], True)):
+        with Archives(snapshots.where("source_key = 'hugo'"), sources=(hugo_source(spark.createDataFrame(rows, shape)),)) as archives:
+            got = lookup_awards(ask, archives)
+            assert [(r["rank"], r["source_url"]) for r in got.results.collect()] == ([] if fails else [(4, "own")])
+            assert [("shared rank" in f["message"]) for f in got.failures.collect()] == ([True] if fails else [])
     works = A.table_works(raw_rows(snapshots)).where("title_key = 'shared omen'").first()
     assert works["authors"] == ["Ann Ode", "Bo Pax"]
 
@@ -300,3 +316,43 @@ def test_archive_store(spark, snapshots, tmp_path):
     store.load(snapshots.where("source_key = 'pulitzer'"))
     with store.open() as archives:
         assert rows(lookup_awards(requests, archives)) == want and archives.broken == {}
+
+
+def test_own_source_in_sql(spark):
+    from accolade.plans.lookup import register_source_function
+
+    def find(title, author, series):
+        if title == "bad":
+            raise LookupError("no luck")
+        return [{"work_title": title, "award_name": "Own", "award_year": 2000 + i, "rank": i} for i in range(len(series or ""))]
+
+    register_source_function(spark, "own_prizes", find)
+    spark.createDataFrame([(1, "A", "x", "ss"), (2, "bad", "x", None), (3, "B", "x", None), (4, "C", "y", "s")], "query_id long, title string, author string, series string").createOrReplaceTempView("asked")
+    want = [(1, "A", 2000, None), (1, "A", 2001, None), (2, None, None, "LookupError: no luck"), (4, "C", 2000, None)]
+    for call in ("own_prizes(TABLE(asked) PARTITION BY query_id)", "asked a, LATERAL own_prizes(a.query_id, a.title, a.author, a.series) o"):
+        o = "o." if "LATERAL" in call else ""
+        got = spark.sql(f"SELECT {o}query_id, {o}work_title, {o}award_year, {o}message FROM {call}").collect()
+        assert sorted([tuple(r) for r in got], key=repr) == sorted(want, key=repr)
+    with pytest.raises(Exception, match="needs author"):
+        spark.sql("SELECT * FROM own_prizes(TABLE(SELECT query_id, title FROM asked) PARTITION BY query_id)").collect()
+
+
+def test_snapshots_by_source_and_role(spark, snapshots, tmp_path):
+    from accolade.sources.snapshots import read_snapshots, stream_snapshots, write_snapshots
+
+    path = f"{tmp_path}/pages"
+    write_snapshots(snapshots, path)
+    write_snapshots(spark.createDataFrame([snapshot_of("locus", "author", None, 0, "u", "x")], SNAPSHOT), path)
+    table = read_snapshots(spark, path)
+    assert table.columns == snapshots.columns and table.count() == snapshots.count() + 1
+    one = table.where("source_key = 'locus' and page_role = 'author'").select("url", F.input_file_name().alias("f"))
+    plan = one._jdf.queryExecution()
+    assert one.count() == 3
+    plan.executedPlan().execute().count()
+    scan = plan.executedPlan()
+    while scan.children().size():
+        scan = scan.children().apply(0)
+    assert scan.metrics().apply("numFiles").value() == one.select("f").distinct().count() < table.select(F.input_file_name()).distinct().count()
+    stream = stream_snapshots(spark, path).where("source_key = 'hugo'").writeStream.format("memory").queryName("hugo_pages").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    stream.awaitTermination(120)
+    assert spark.table("hugo_pages").count() == snapshots.where("source_key = 'hugo'").count()
