@@ -84,6 +84,24 @@ class _Builder(HTMLParser):
         self.at.inside.append(data)
 
 
+def numbered(root: Node) -> list[tuple[int, int, Node | str]]:
+    """Everything on a page in order, as (place, place of the last thing inside, node or text): a lies in b if b's places enclose a's."""
+    out: list[list] = []
+    open_: list[tuple[int, Iterator]] = [(-1, iter(root.inside))]
+    while open_:
+        at, rest = open_[-1]
+        x = next(rest, None)
+        if x is None:
+            open_.pop()
+            if at >= 0:
+                out[at][1] = len(out) - 1
+            continue
+        out.append([len(out), len(out), x])
+        if isinstance(x, Node):
+            open_.append((len(out) - 1, iter(x.inside)))
+    return [tuple(x) for x in out]
+
+
 def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)

@@ -171,6 +171,7 @@ PAGE_HTTP = "{name} page request failed with HTTP {status} for {url}"
 PAGE_CHALLENGE = "{name} page is blocked by a challenge: {url}"
 PAGE_UNREADABLE = "{name} page could not be read: {url} ({error})"
 PAGE_MISSING = "{name} page is missing from the snapshots: {url}"
+LONG_FICTION_OUTSIDE = "World Fantasy table used Long Fiction in %d, outside the official 2016–2018 interval"
 RANKING_BROKEN = "Hugo ranking of %s %s cannot be used: %s"
 #: What a list of works names that is no work.
 NO_WORKS = ("no award", "no winner chosen")

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accolade.functions.dom import Node, numbered, parse
 from accolade.operators.rounds import list_ranks
-from accolade.sources import fixed, pages
+from accolade.sources import fixed, pages, readers
 
 SNAPSHOT = "source_key string, page_role string, category_key string, page_ord int, url string, http_status int, headers map<string,string>, body binary"
 _FIELDS = {
@@ -88,8 +89,12 @@ def collection(text: str, headers: dict[str, str]) -> list[tuple[str, str, str]]
     return out
 
 
-def _read(key: str, role: str, category: str | None, url: str, status: int, headers: dict[str, str], body: bytes):
-    """(config_ord, raw rows) of one snapshot."""
+#: Whose pages become raw rows by windows over their elements; of the last one only pages that are tables.
+_BY_ELEMENTS = ("pulitzer", "world_fantasy")
+
+
+def _read(key: str, role: str, category: str | None, url: str, status: int, headers: dict[str, str], body: bytes, elements: bool = False):
+    """(config_ord, raw rows) of one snapshot; with `elements` its text in place of rows if it is one that is read by elements, else None."""
     text = decode(body or b"", key, headers)
     name = fixed.NAMES.get(key, key)
     if key == "locus" and not pages.locus_allowed(url):
@@ -102,7 +107,7 @@ def _read(key: str, role: str, category: str | None, url: str, status: int, head
         return 0, [{"error": fixed.PAGE_CHALLENGE.format(name=name, url=url)}]
     if key == "pulitzer":
         order = [c for c, _ in fixed.PULITZER_CATEGORIES]
-        return order.index(category), pages.pulitzer(text, category, url)
+        return order.index(category), text if elements else []
     if key == "nebula":
         at, archive = next((i, a) for i, a in enumerate(fixed.NEBULA_ARCHIVES) if a[0] == category)
         years = [{"award_year": int(y), "category": archive[2], "status": "", "identity_kind": "heading"} for y in re.findall(r"<h2[^>]*>\s*(\d{4})\s*</h2>", text, re.I)]
@@ -121,7 +126,9 @@ def _read(key: str, role: str, category: str | None, url: str, status: int, head
         return 0, pages.locus_index(text, url) if role == "author" else pages.locus_annual(text, url) if pages.locus_year(url) is not None else [{"error": fixed.LOCUS_YEAR.format(url=url)}]
     if key == "world_fantasy":
         at, _, year = _FANTASY[role]
-        return at, pages.fantasy_table(text, url) if year is None else pages.fantasy_paragraphs(text, year, url) if year == 2024 else pages.fantasy_lists(text, year, url, by_prefix=year != 2013)
+        if year is None or elements:
+            return at, (text if year is None else None) if elements else []
+        return at, pages.fantasy_paragraphs(text, year, url) if year == 2024 else pages.fantasy_lists(text, year, url, by_prefix=year != 2013)
     raise ValueError(f"unknown source {key!r}")
 
 
@@ -143,9 +150,43 @@ def _reader(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, (_PLACE | _FIELDS)[k]) for k, v in columns.items()], list(columns))
 
 
+_ELEMENT = {"pre": pa.int32(), "post": pa.int32(), "tag": pa.string(), "classes": pa.list_(pa.string()), "href": pa.string(), "text": pa.string()}
+_OF_PAGE = {"page_no": pa.int64(), "category": pa.string()} | {k: t for k, t in _PLACE.items() if k != "rec_ord"}
+ELEMENTS = ", ".join(f"{k} {'bigint' if t == pa.int64() else _SQL[t]}" for k, t in (_OF_PAGE | _ELEMENT).items())
+
+
+def _elements(batches):
+    """What stands on usable pages, one row an element or text: a page's place, and where an element begins and ends."""
+    kinds = _OF_PAGE | _ELEMENT
+    for batch in batches:
+        for s in batch.to_pylist():
+            try:
+                at, text = _read(s["source_key"], s["page_role"], s["category_key"], s["url"] or "", s["http_status"] or 0, dict(s["headers"] or []), s["body"], True)
+            except Exception:  # told by the other reader
+                continue
+            if not isinstance(text, str):
+                continue
+            page = {"page_no": s["page_no"], "category": s["category_key"], "digest": s.get("digest"), "source_key": s["source_key"], "page_role": s["page_role"], "page_url": s["url"], "config_ord": at, "page_ord": s["page_ord"] or 0}
+            found = numbered(parse(text))
+            node = lambda f: [f(x) if isinstance(x, Node) else None for _, _, x in found]  # noqa: B023, E731
+            columns = {k: [v] * len(found) for k, v in page.items()} | {"pre": [a for a, _, _ in found], "post": [b for _, b, _ in found], "tag": node(lambda x: x.tag), "classes": node(lambda x: x.classes), "href": node(lambda x: x.attrs.get("href")), "text": [x if isinstance(x, str) else None for _, _, x in found]}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], list(kinds))
+
+
+def page_elements(snapshots: DataFrame) -> DataFrame:
+    """The elements of the pages that are read by elements."""
+    own = snapshots.where(F.col("source_key").isin(*_BY_ELEMENTS)).withColumn("page_no", F.monotonically_increasing_id())
+    return own.mapInArrow(_elements, ELEMENTS)
+
+
 def raw_rows(snapshots: DataFrame) -> DataFrame:
-    """Raw rows of all snapshots; each page is read once, and pages are read side by side."""
-    return snapshots.mapInArrow(_reader, RAW)
+    """Raw rows of all snapshots, and of what is wrong with pages; each page is read once, and pages are read side by side."""
+    elements = page_elements(snapshots)
+    rows = snapshots.mapInArrow(_reader, RAW)
+    for found in (readers.pulitzer(elements), readers.fantasy_tables(elements)):
+        given = found.columns
+        rows = rows.unionByName(found.select(*[(F.col(c) if c in given else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in RAW.split(", "))]))
+    return rows
 
 
 def next_page(text: str) -> str | None:

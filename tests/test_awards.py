@@ -43,9 +43,6 @@ def test_forms():
 
 
 def test_readers():
-    html = '<a href="/prize-winners-by-year/1990">1990</a><h2><em>Low Tide</em>, by Ann Ode (Press)</h2><div class="finalist-title">High Tide, by Bo Pax</div><div class="finalist-title">High Tide, by Bo Pax</div><div class="winner-citation">No award</div>'
-    got = list(pages.pulitzer(html, "Fiction", "u"))
-    assert [(r["award_year"], r["status"], r["work_title"], r["work_author"]) for r in got] == [(1990, "Winner", "Low Tide", "Ann Ode"), (1990, "Finalist", "High Tide", "Bo Pax"), (1990, "Finalist", "High Tide", "Bo Pax")]
     assert pages.nebula_status("Nominated for Best Novel in 2015, Winner, Andre Norton Award in 2015", ("Best Novel",), False) == "Nominated"
     assert pages.hugo_work("“Moth Song,” by Ann Ode (Mag)", "", "", False) == ("Moth Song,", "Ann Ode")
     assert pages.hugo_work("The Isle”, Bo Pax (Mag)", "", "The Isle”, Bo Pax (Mag)", True) == ("The Isle", "Bo Pax")
@@ -53,14 +50,8 @@ def test_readers():
     assert pages.hugo_titles("Tide (alt: Ebb)") == ["Tide", "Tide (alt: Ebb)", "Ebb"]
     assert pages.is_ballot_note("(1,200 final ballots, 900 nominating ballots)") and not pages.is_ballot_note("Best Novel")
     assert pages.fantasy_story("Winner: “Moon,” Ann Ode (Book)") == ("Moon,", "Ann Ode") and pages.fantasy_story("“A” and “B” Ann Ode") is None
-    assert pages.title_and_status(["a", "b", "1990", "Novel", "Low Tide\tWinner"]) == ("Low Tide", "Winner")
-    row = lambda *cells: pages.title_and_status(["a", "b", "1990", "Novel", *cells])
-    assert row("The Winner", "") is None and row("Low Tide Winner", "") is None and row("Low Tide", "Other") is None and row("Winner") is None
-    assert row("Low Tide", " nominee ") == ("Low Tide", "Nominee") and row("Low Tide Winner", "Nominee") == ("Low Tide Winner", "Nominee") and row("Low Tide nominee") == ("Low Tide", "Nominee")
-    assert row("", "Winner") is None and pages.title_and_status(["a", "b", "1990", "Novel"]) is None and row("Low Tide", "Winner", "more") == ("Low Tide", "Winner")
     assert pages.locus_index_category("Tide (Press) — Other — a first novel — x", "Tide") == "first novel" and pages.locus_index_category("Tide", "Tide") == ""
     assert pages.nebula_status("Winner, Best Novel", ("Best Novel",), True) == "Winner" and pages.nebula_status("Winner, Best Novel", ("Best Novel",), False) is None
-    assert pages.table_category("Long Fiction", 2017) == ("Novella", None) and pages.table_category("Long Fiction", 2010)[1]
     assert pages.locus_index_category("Tide — Horror/Dark Fantasy Novel — 2nd place", "Tide") == "Horror/Dark Fantasy Novel"
     assert pages.locus_authors(["A", "B"], "A translated by B") == ["A"]
     assert decode(b"\x93x\x94", "world_fantasy", {}) == "“x”" and decode(b"\xe9", "locus", {"Content-Type": "text/html; charset=latin-1"}) == "é"
@@ -70,6 +61,47 @@ def test_readers():
             collection(body, headers)
 
 
+def rows_of(spark, *snapshots):
+    from accolade.sources.snapshots import raw_rows
+
+    return raw_rows(spark.createDataFrame(list(snapshots), SNAPSHOT)).orderBy("page_url", "rec_ord").collect()
+
+
+def test_pages_by_elements(spark):
+    """Years carried forward from links before and inside, emphasised titles, nested and unclosed elements, citations of no work."""
+    html = """<h2>Early, by No Year</h2><a href="/prize-winners-by-year/1990">1990</a><h2><em>Low</em> <b><em>Tide <em>II</em></em></b>, by Ann Ode (Press)</h2>
+    <div class="x finalist-title">High\n Tide, by Bo Pax<p>unclosed</div><div class="finalist-title">High Tide, by Bo Pax</div>
+    <div class="winner-citation"><a href="/prize-winners-by-year/1991?x">n</a><h2>Hidden, by Nobody</h2>No award</div><em>Stray</em>
+    <h2>A, by B, by C <a href="/prize-winners-by-year/1992/">1992</a></h2><h2>No Award</h2><h2>Titled only</h2><div class="finalist-title winner-citation">X, by Y</div><h2> Last , BY  D\u00a0E (P) (Q)</h2>"""
+    other = "<a href='/prize-winners-by-year/2001'></a><h2>Other, by Zed</h2>"
+    category = fixed.PULITZER_CATEGORIES[0][0]
+    got = rows_of(spark, snapshot_of("pulitzer", "category", category, 0, "u", html), snapshot_of("pulitzer", "category", fixed.PULITZER_CATEGORIES[1][0], 0, "v", other), snapshot_of("pulitzer", "category", "Unknown", 0, "w", other), snapshot_of("pulitzer", "category", category, 1, "x", "", 500))
+    assert [(r["award_year"], r["status"], r["work_title"], r["work_author"], r["category"]) for r in got if not r["error"]] == [
+        (1990, "Winner", "LowTide II", "Ann Ode", category), (1990, "Finalist", "High Tide", "Bo Paxunclosed", category), (1990, "Finalist", "High Tide", "Bo Pax", category),
+        (1992, "Winner", "A", "B, by C 1992", category), (1992, "Winner", "Last", "D E", category), (2001, "Winner", "Other", "Zed", fixed.PULITZER_CATEGORIES[1][0]),
+    ]
+    assert [(r["page_url"], r["config_ord"]) for r in got if not r["error"]][-2:] == [("u", 0), ("v", 1)] and sorted(r["page_url"] for r in got if r["error"]) == ["w", "x"]
+
+
+def test_tables_by_elements(spark):
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}" + "</td>" * (i % 2) for i, c in enumerate(cells)) + "</tr>"
+    lines = [
+        ("Ann", "Ode", "1990", "Novel", "Low <i>Tide</i>", "Winner"), ("Ann", "Ode", "1990", "Novel", "The Winner", ""), ("Ann", "Ode", "1990", "Novel", "Low Tide Winner", ""), ("Ann", "Ode", "1990", "Novel", "Low Tide", "Other"),
+        ("Bo", "Pax", " 1991 ", "NOVEL", "Low Tide Winner", " nominee "), ("Bo", "Pax", "1991", "Novel", "High Tide\tnominee"), ("Bo", "Pax", "1991", "Novel", "Winner"), ("Bo", "Pax", "1991", "Novel", "“Moon”,  WINNER "),
+        ("Bo", "Pax", "1991", "Novel", "", "Winner"), ("Bo", "Pax", "1991", "Other", "X", "Winner"), ("", " ", "1991", "Novel", "X", "Winner"), ("Bo", "Pax", "199", "Novel", "X", "Winner"), ("Bo", "Pax", "0000", "Novel", "X", "Winner"),
+        ("Bo", "Pax", "1991", "Novel"), ("", "Pax", "2017", "Long Fiction", "Y", "Winner", "more"), ("First Name", "L", "1991", "Novel", "X", "Winner"),
+    ]
+    table = "<table><tr><th>First name</th></tr><tr></tr>" + "".join(row(*x) for x in lines)
+    role, url = next((role, url) for role, url, year in fixed.WORLD_FANTASY_PAGES if year is None)
+    good = snapshot_of("world_fantasy", role, None, 0, url, "<p>x</p>" + table + "</table><table>" + row("Second", "Table", "1990", "Novel", "X", "Winner") + "</table>")
+    bad = snapshot_of("world_fantasy", role, None, 1, url + "2", table + row("Bo", "Pax", "2010", "long fiction", "Z", "Winner") + row(*lines[0]) + "</table>")
+    want = [("Ann Ode", 1990, "Novel", "Low Tide", "Winner"), ("Bo Pax", 1991, "Novel", "Low Tide Winner", "Nominee"), ("Bo Pax", 1991, "Novel", "High Tide", "Nominee"), ("Bo Pax", 1991, "Novel", "Moon", "Winner"), ("Pax", 2017, "Novella", "Y", "Winner")]
+    got = rows_of(spark, good, bad)
+    told = lambda at: [(r["work_author"], r["award_year"], r["category"], r["work_title"], r["status"]) for r in got if r["page_url"] == at and not r["error"]]
+    assert told(url) == told(url + "2") == want
+    assert [(r["page_url"], r["error"]) for r in got if r["error"]] == [(url + "2", fixed.LONG_FICTION_OUTSIDE % 2010)] and got[-1]["error"]
+
+
 def nebula_page(award, years, rows):
     return "".join(f'<h2>{y}</h2><ul class="award_list">' + "".join(f'<li><a href="/nominated-work/{t}/"><em>{t}</em></a> <a href="/nominees/x/">{a}</a> {s}, {award} in {y}</li>' for t, a, s in rows.get(y, [("Other", "Zed Zed", "Winner")])) + "</ul>" for y in years)
 
