@@ -312,8 +312,8 @@ class Archives:
         for s in sources:
             late = late | F.coalesce((F.col("source_key") == s.key) & (F.col("page_role") == s.directed), F.lit(False)) if s.directed else late
         self.late = late
-        self.raw = (raw_rows(snapshots.where(~late)) if raw is None else raw.where(~late)).persist()
         self.kept = Kept(snapshots.sparkSession, "archives")
+        self.raw = (raw_rows(snapshots.where(~late), self.kept) if raw is None else raw.where(~late)).persist()
         self.records: dict[str, DataFrame] = {}
         self.broken: dict[str, str] = {r["source_key"]: r["message"] for r in A.page_failures(self.raw).collect()}  # one row a source at most
         wanted = [c for s in sources for c, _ in s.pages]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accolade.plans.lookup import SOURCES, Archives, Source
-from accolade.sources.shared import latest, publish
+from accolade.sources.shared import Kept, latest, publish
 from accolade.sources.snapshots import RAW, raw_rows
 
 _PAGE = "digest string, source_key string, page_role string, category_key string, page_ord int, url string"
@@ -80,7 +80,9 @@ class ArchiveStore:
         rows = state["rows"]
         if count:
             new = named.join(fresh, "digest", "left_semi").dropDuplicates(["digest"])
-            raw_rows(new).write.mode("overwrite").parquet(f"{self.path}/rows/{number:08d}")
+            kept = Kept(self.spark, "elements")
+            raw_rows(new, kept).write.mode("overwrite").parquet(f"{self.path}/rows/{number:08d}")
+            kept.free_all()
             rows = [*rows, f"rows/{number:08d}"]
         keys = {r["source_key"] for r in pages.select("source_key").distinct().collect()} & {s.key for s in self.sources}
         with self._archives(pages, rows) as archives:

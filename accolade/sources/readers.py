@@ -6,11 +6,15 @@ what belongs together are windows and groups over a page's rows. A page's rows a
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from accolade.functions import text as T
-from accolade.sources import fixed
+from accolade.sources import fixed, pages
 
 _PAGE = ["page_no", "digest", "source_key", "page_role", "page_url", "config_ord", "page_ord"]
 _cleaned_title = T.text_column(T.cleaned_title)
@@ -69,6 +73,50 @@ def pulitzer(elements: DataFrame) -> DataFrame:
     )
 
 
+#: What marks a status, in the order that counts; {award} is any of an award's own names, {year} when it was.
+_MARKED_STATUS = (("Winner", r"(?isU)Winner,\s*(?:{award}){year}"), ("Nominated", r"(?isU)Nominated for\b.*?(?:{award})"))
+_YEAR_TOLD, _YEAR_MAYBE_TOLD = r"\s+in\s+[0-9]{4}", r"(?:\s+in\s+[0-9]{4})?"
+_ENTRY, _ENTRY_KIND = pa.struct({n: pa.string() for n in ("title", "author", "page")}), S.StructType([S.StructField(n, S.StringType()) for n in ("title", "author", "page")])
+
+
+@F.arrow_udf(returnType=_ENTRY_KIND)
+def _entry(em: pa.Array, link: pa.Array, authors: pa.Array, base: pa.Array, href: pa.Array) -> pa.Array:
+    found = [pages.nebula_entry(*x) for x in zip(*(c.to_pylist() for c in (em, link, authors, base, href)), strict=True)]
+    return pa.array([f and dict(zip(("title", "author", "page"), f, strict=True)) for f in found], _ENTRY)
+
+
+def marked_status(told: Column, names: tuple[str, ...], year_optional: bool) -> Column:
+    """The first status whose mark stands with one of the award's own names, else null; stars do not count."""
+    parts = {"award": "|".join(map(re.escape, names)), "year": _YEAR_MAYBE_TOLD if year_optional else _YEAR_TOLD}
+    return F.coalesce(*[F.when(told.rlike(form.format(**parts)), status) for status, form in _MARKED_STATUS])
+
+
+def nebula(elements: DataFrame) -> DataFrame:
+    """Entries of award lists under the last heading that is a year: the outermost items of a list, with what is emphasised and linked in them."""
+    df = elements.where("source_key = 'nebula'")
+    heading = boxes(df, F.col("tag") == "h2", F.lit(True), "h2").where("h2 is not null").groupBy("page_no", F.col("h2.pre").alias("pre")).agg(squeezed(text_of()).alias("told"))
+    years = heading.where(F.col("told").rlike("^[0-9]{4}$")).select("page_no", "pre", F.col("told").cast("int").alias("year"))
+    df = df.join(years, ["page_no", "pre"], "left").withColumn("year", last_so_far(F.col("year")))
+    df = boxes(df, (F.col("tag") == "ul") & F.array_contains("classes", "award_list"), F.col("year"), "list").where("list.what is not null")
+    df = boxes(df, (F.col("tag") == "li") & (F.col("pre") > F.col("list.pre")), F.lit(True), "li").where("li is not null")
+    df = boxes(df, (F.col("tag") == "em") & (F.col("pre") > F.col("li.pre")), F.lit(True), "em")
+    df = df.withColumn("a", last_so_far(F.when(F.col("tag") == "a", F.struct("pre", "post", F.coalesce("href", F.lit("")).alias("href"))))).withColumn("a", F.when((F.col("a.post") >= F.col("pre")) & (F.col("a.pre") > F.col("li.pre")), F.col("a")))
+    linked = df.where("a is not null").groupBy("page_no", F.col("li.pre").alias("pre"), "a").agg(squeezed(text_of()).alias("told"))
+    kind = lambda part: F.when(F.contains(F.col("a.href"), F.lit(part)), F.struct("a", "told"))
+    links = linked.groupBy("page_no", "pre").agg(F.min(kind("/nominated-work/")).alias("work"), F.transform(F.array_sort(F.collect_list(F.when(F.col("told") != "", kind("/nominees/")))), lambda x: x["told"]).alias("authors"))
+    rows = df.groupBy(*_PAGE, "category", F.col("li.pre").alias("pre"), F.col("list.what").alias("award_year")).agg(squeezed(text_of()).alias("told"), squeezed(text_of(F.col("em").isNotNull())).alias("em_told")).join(links, ["page_no", "pre"], "left")
+    archive = lambda value: F.coalesce(*[F.when(F.col("category") == a[0], value(a)) for a in fixed.NEBULA_ARCHIVES])
+    rows = rows.withColumn("status", archive(lambda a: marked_status(F.col("told"), a[3], a[5]))).where("status is not null")
+    base = F.concat(F.lit(fixed.NEBULA_ORIGIN), "category", F.lit("/"))
+    rows = rows.withColumn("entry", _entry("em_told", F.coalesce("work.told", F.lit("")), F.coalesce("authors", F.array().cast("array<string>")), base, F.col("work.a.href")))
+    rows = rows.where(F.col("entry.title").isNotNull() & ~F.lower(squeezed(F.col("entry.title"))).isin("no award", "no awards"))
+    # Headings that are years, read before, are numbered from 0 and count towards the contract only.
+    return rows.select(
+        *_PAGE, (F.col("pre") + 10_000).alias("rec_ord"), "award_year", archive(lambda a: F.lit(a[1])).alias("award_name"), archive(lambda a: F.lit(a[2])).alias("category"), "status",
+        F.col("entry.title").alias("work_title"), F.col("entry.author").alias("work_author"), F.col("entry.page").alias("source_url"), F.lit("work").alias("identity_kind"),
+    )
+
+
 def table_rows(elements: DataFrame) -> DataFrame:
     """The cells of each row of a page's first table: (page, pre, cells), rows without cells left out; a cell belongs to the last row that began."""
     df = boxes(elements, F.col("tag") == "table", F.lit(True), "table")

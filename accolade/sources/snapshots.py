@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from accolade.functions.dom import Node, numbered, parse
 from accolade.operators.rounds import list_ranks
 from accolade.sources import fixed, pages, readers
+from accolade.sources.shared import Kept
 
 SNAPSHOT = "source_key string, page_role string, category_key string, page_ord int, url string, http_status int, headers map<string,string>, body binary"
 _FIELDS = {
@@ -90,7 +91,7 @@ def collection(text: str, headers: dict[str, str]) -> list[tuple[str, str, str]]
 
 
 #: Whose pages become raw rows by windows over their elements; of the last one only pages that are tables.
-_BY_ELEMENTS = ("pulitzer", "world_fantasy")
+_BY_ELEMENTS = ("pulitzer", "nebula", "world_fantasy")
 
 
 def _read(key: str, role: str, category: str | None, url: str, status: int, headers: dict[str, str], body: bytes, elements: bool = False):
@@ -110,8 +111,10 @@ def _read(key: str, role: str, category: str | None, url: str, status: int, head
         return order.index(category), text if elements else []
     if key == "nebula":
         at, archive = next((i, a) for i, a in enumerate(fixed.NEBULA_ARCHIVES) if a[0] == category)
+        if elements:
+            return at, text
         years = [{"award_year": int(y), "category": archive[2], "status": "", "identity_kind": "heading"} for y in re.findall(r"<h2[^>]*>\s*(\d{4})\s*</h2>", text, re.I)]
-        return at, [*years, *pages.nebula(text, archive)]
+        return at, years
     if key == "hugo":
         try:
             items = collection(text, headers)
@@ -179,11 +182,15 @@ def page_elements(snapshots: DataFrame) -> DataFrame:
     return own.mapInArrow(_elements, ELEMENTS)
 
 
-def raw_rows(snapshots: DataFrame) -> DataFrame:
-    """Raw rows of all snapshots, and of what is wrong with pages; each page is read once, and pages are read side by side."""
+def raw_rows(snapshots: DataFrame, kept: Kept | None = None) -> DataFrame:
+    """Raw rows of all snapshots, and what is wrong with pages; pages are read side by side.
+
+    Several readers look at the elements: with `kept` they are stored there, and parsed once, until it is freed; else each reader parses its own.
+    """
     elements = page_elements(snapshots)
+    elements = kept(elements) if kept else elements
     rows = snapshots.mapInArrow(_reader, RAW)
-    for found in (readers.pulitzer(elements), readers.fantasy_tables(elements)):
+    for found in (readers.pulitzer(elements), readers.nebula(elements), readers.fantasy_tables(elements)):
         given = found.columns
         rows = rows.unionByName(found.select(*[(F.col(c) if c in given else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in RAW.split(", "))]))
     return rows

@@ -43,7 +43,6 @@ def test_forms():
 
 
 def test_readers():
-    assert pages.nebula_status("Nominated for Best Novel in 2015, Winner, Andre Norton Award in 2015", ("Best Novel",), False) == "Nominated"
     assert pages.hugo_work("“Moth Song,” by Ann Ode (Mag)", "", "", False) == ("Moth Song,", "Ann Ode")
     assert pages.hugo_work("The Isle”, Bo Pax (Mag)", "", "The Isle”, Bo Pax (Mag)", True) == ("The Isle", "Bo Pax")
     assert pages.hugo_series("Tide Saga, by Ann Ode (Press)") == ("Tide Saga", "Ann Ode") and pages.hugo_series("No Award") is None
@@ -51,7 +50,6 @@ def test_readers():
     assert pages.is_ballot_note("(1,200 final ballots, 900 nominating ballots)") and not pages.is_ballot_note("Best Novel")
     assert pages.fantasy_story("Winner: “Moon,” Ann Ode (Book)") == ("Moon,", "Ann Ode") and pages.fantasy_story("“A” and “B” Ann Ode") is None
     assert pages.locus_index_category("Tide (Press) — Other — a first novel — x", "Tide") == "first novel" and pages.locus_index_category("Tide", "Tide") == ""
-    assert pages.nebula_status("Winner, Best Novel", ("Best Novel",), True) == "Winner" and pages.nebula_status("Winner, Best Novel", ("Best Novel",), False) is None
     assert pages.locus_index_category("Tide — Horror/Dark Fantasy Novel — 2nd place", "Tide") == "Horror/Dark Fantasy Novel"
     assert pages.locus_authors(["A", "B"], "A translated by B") == ["A"]
     assert decode(b"\x93x\x94", "world_fantasy", {}) == "“x”" and decode(b"\xe9", "locus", {"Content-Type": "text/html; charset=latin-1"}) == "é"
@@ -83,6 +81,24 @@ def test_pages_by_elements(spark):
     assert [(r["page_url"], r["config_ord"]) for r in got if not r["error"]][-2:] == [("u", 0), ("v", 1)] and sorted(r["page_url"] for r in got if r["error"]) == ["w", "x"]
 
 
+def test_lists_by_elements(spark):
+    key = fixed.NEBULA_ARCHIVES[0][0]
+    item = lambda *x: "<li>" + "".join(x) + "</li>"
+    html = "<ul class='award_list'>" + item("<em>Early</em> Winner, Best Novel in 1990") + "</ul><h2> 1990 </h2><ul class='x award_list y'>" + item(
+        "<a href='/nominated-work/low/'>“Low Tide”</a> <a href='/nominees/a'>Ann  Ode</a>, <a href='/nominees/b'> </a><a href='/nominees/b'>Bo Pax</a> WINNER, Best\u00a0Novel in 1990"
+    ) + item("<em>High <em>Tide</em>, by Cy Quo (Press)</em> Nominated for x, Best Novel<ul class='award_list'><li>Inner</li></ul>") + item("<em>Odd</em> starred") + item("<em>No Award</em> Winner, Best Novel in 1990") + item("<em>Late</em> Winner, Best Novel")
+    html += "</ul><h2>Not 1991</h2><ul>" + item("<em>Plain</em> Winner, Best Novel in 1990") + "</ul><ul class='award_list'><p><li><a href='rel'>x</a><a href='/nominated-work/mid'>Mid, by D E</a> Winner, Best Novel in 1990<li>"
+    got = rows_of(spark, snapshot_of("nebula", "archive", key, 0, "u", html))
+    assert [(r["award_year"], r["identity_kind"]) for r in got if r["identity_kind"] == "heading"] == [(1990, "heading")]
+    assert [(r["award_year"], r["status"], r["work_title"], r["work_author"], r["source_url"]) for r in got if r["identity_kind"] == "work"] == [
+        (1990, "Winner", "Low Tide", "Ann Ode and Bo Pax", "https://nebulas.sfwa.org/nominated-work/low/"), (1990, "Nominated", "High Tide", "Cy Quo", None), (1990, "Winner", "Mid", "D E", "https://nebulas.sfwa.org/nominated-work/mid"),
+    ]
+    marks = spark.createDataFrame([("Nominated for Best Novel in 2015, Winner, Andre Norton Award in 2015",), ("Winner, Best Novel",)], "t string")
+    from accolade.sources.readers import marked_status
+
+    assert [tuple(r) for r in marks.select(marked_status(F.col("t"), ("Best Novel",), False), marked_status(F.col("t"), ("Best Novel",), True)).collect()] == [("Nominated", "Nominated"), (None, "Winner")]
+
+
 def test_tables_by_elements(spark):
     row = lambda *cells: "<tr>" + "".join(f"<td>{c}" + "</td>" * (i % 2) for i, c in enumerate(cells)) + "</tr>"
     lines = [
