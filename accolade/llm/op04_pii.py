@@ -42,6 +42,10 @@ _LOGIN = re.compile(r"[^\s/?#@\"'<>]++@(?:\[[0-9A-Fa-f:.]++\]|[A-Za-z0-9.-]++)(?
 _SIGN = r"(?:[ \t]{0,4}(?:no\.?|number|id|name))?[ \t]{0,4}"
 #: Groups of digits, or a word of letters, digits and marks.
 _ACCOUNT = re.compile(_SIGN + r"[:=#][ \t]{0,4}[\"']?([0-9]++(?:[ -][0-9]{2,}+)++|[A-Za-z0-9][A-Za-z0-9._-]{2,}+)(?![A-Za-z0-9_@])", re.I)
+#: The same behind a word that says so, without a sign.
+_NUMBERED = re.compile(r"[ \t]{1,4}(?:no\.?|number|id)[ \t]{1,4}[\"']?([0-9]++(?:[ -][0-9]{2,}+)++|[A-Za-z0-9](?:[._-]?[A-Za-z0-9]){2,}+)(?![A-Za-z0-9_@])", re.I)
+#: Digits that what follows such a word has at least.
+NUMBERED_DIGITS = 4
 _IBAN = re.compile(_SIGN + r"[:=#]?[ \t]{0,4}[\"']?([A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30})", re.I)
 _SSN = re.compile(_SIGN + r"[:=#]?[ \t]{0,4}[\"']?((?!000|666|9)[0-9]{3}([- ]?)(?!00)[0-9]{2}\2(?!0000)[0-9]{4})(?![A-Za-z0-9_])", re.I)
 _SECRET = re.compile(r"[ \t]{0,4}[:=]?[ \t]{0,4}[\"']?([^\s\"',;:=]{8,}+)", re.I)
@@ -139,7 +143,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if kind == "iban" and (m := _IBAN.match(text, last + 1)) and (end := iban_end(m[1])):
                 account_end = m.start(1) + end
                 spans.append(("account", m.start(1), account_end))
-            elif (kind == "ssn" and (m := _SSN.match(text, last + 1))) or ((m := _ACCOUNT.match(text, last + 1)) and any("0" <= c <= "9" for c in m[1])):
+            elif (kind == "ssn" and (m := _SSN.match(text, last + 1))) or ((m := _ACCOUNT.match(text, last + 1)) and any("0" <= c <= "9" for c in m[1])) or ((m := _NUMBERED.match(text, last + 1)) and sum("0" <= c <= "9" for c in m[1]) >= NUMBERED_DIGITS):
                 account_end = m.end(1)
                 spans.append(("account", m.start(1), account_end))
     order = {k: i for i, k in enumerate(BASE + ADDED)}

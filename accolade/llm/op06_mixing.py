@@ -98,7 +98,11 @@ def mix(docs: DataFrame, name: str = "mix") -> DataFrame:
     quotient = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rows = rows.withColumn("q", F.when(F.col("p") < 1, F.when(F.col("p") > 0, quotient)))
     place = F.when(F.col("p") >= 1, F.col("u")).when(F.col("p") > 0, 1 + F.col("q") / (1 + F.col("q"))).otherwise(F.lit(2.0))
-    rows = rows.withColumn("place", place).withColumn("range", F.floor(F.col("place") * (RANGES // 2)).cast("int"))
+    # Ranked documents are cut by the logarithm of their quotient, 32 ranges to each doubling: its density is at most a quarter for each factor
+    # of e whatever the sample's share, so no range has more than 0.6 % of a source.
+    octave = F.greatest(F.lit(0), F.least(F.lit(RANGES // 2 - 1), F.floor((F.log2("q") + 32) * (RANGES // 128)))) + RANGES // 2
+    certain = F.when(F.col("p") >= 1, F.floor(F.col("u") * (RANGES // 2)))
+    rows = rows.withColumn("place", place).withColumn("range", F.coalesce(certain, F.when(F.col("q") > 0, octave), F.when(F.col("q") == 0, F.lit(RANGES // 2)), F.lit(RANGES)).cast("int"))
     rows = stored(rows.select("doc_id", "source", "name", "size", "source_size", "target", "whole", "missing", "place", "range"), f"{name}-order")
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     ahead = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
