@@ -300,7 +300,7 @@ def register_source_function(spark, name: str, function: Callable[[str, str, str
 
 
 class Archives:
-    """Snapshots read and checked once, for any number of lookups; `close` frees what is kept.
+    """Snapshots read and checked once, for any number of lookups; raw rows and records are tables in the shared folder, which `close` deletes.
 
     A source whose archive breaks its contract has a message in `broken`, and no records. Pages of a role that others name are not read
     here: `read` reads those asked for. raw, if given, are the raw rows of the snapshots, read before.
@@ -313,7 +313,7 @@ class Archives:
             late = late | F.coalesce((F.col("source_key") == s.key) & (F.col("page_role") == s.directed), F.lit(False)) if s.directed else late
         self.late = late
         self.kept = Kept(snapshots.sparkSession, "archives")
-        self.raw = (raw_rows(snapshots.where(~late), self.kept) if raw is None else raw.where(~late)).persist()
+        self.raw = self.kept(raw_rows(snapshots.where(~late), self.kept)) if raw is None else raw.where(~late)
         self.records: dict[str, DataFrame] = {}
         self.broken: dict[str, str] = {r["source_key"]: r["message"] for r in A.page_failures(self.raw).collect()}  # one row a source at most
         wanted = [c for s in sources for c, _ in s.pages]
@@ -328,7 +328,7 @@ class Archives:
             elif missing:
                 self.broken.setdefault(source.key, fixed.PAGE_MISSING.format(name=source.name, url=missing[0]))
             elif source.records and source.key not in self.broken:
-                self.records[source.key] = records = source.records(self.raw).persist()
+                self.records[source.key] = records = self.kept(source.records(self.raw))
                 wrong = source.contract(self.raw, records, full_history).first() if source.contract else None
                 if wrong is not None:
                     self.broken[source.key] = wrong["message"]
@@ -347,8 +347,6 @@ class Archives:
         return rows
 
     def close(self) -> None:
-        for df in (self.raw, *self.records.values()):
-            df.unpersist()
         self.kept.free_all()
 
     def __enter__(self) -> Archives:
