@@ -15,6 +15,7 @@ from accolade.operators import qualify as Q
 from accolade.operators import relational as R
 from accolade.operators.matching import contains_all
 from accolade.operators.rounds import safe_on
+from accolade.sources import readers as W
 from accolade.sources.snapshots import host_is_allowed
 
 QUERIES: dict = {}
@@ -241,10 +242,10 @@ def writeback_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.write_back(df, "existing", "new", "append").select("user_id", F.array_join("values", "|").alias("vals"), "changed")
 
 
-@_query(_LISTS + "SELECT user_id, string_agg(v, '|' ORDER BY i) AS vals FROM u GROUP BY 1")
+@_query(_LISTS + "SELECT l.user_id, coalesce(string_agg(u.v, '|' ORDER BY u.i), '') AS vals FROM l LEFT JOIN u ON u.user_id = l.user_id GROUP BY 1")
 def writeback_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _values(spark, sf_dir).withColumn("existing", F.array().cast("array<string>"))
-    return P.write_back(df, "existing", "new", "replace").where(F.size("values") > 0).select("user_id", F.array_join("values", "|").alias("vals"))
+    return P.write_back(df, "existing", "new", "replace").select("user_id", F.array_join("values", "|").alias("vals"))
 
 
 @_query(_LISTS + "SELECT user_id, count(*) FILTER (contains(v, ',')) AS rejected, count(*) FILTER (NOT contains(v, ',')) AS safe FROM x GROUP BY 1")
@@ -252,21 +253,27 @@ def comma_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir).select("user_id", F.size(P.with_commas(F.col("new"))).cast("long").alias("rejected"), F.size(P.without_commas(F.col("new"))).cast("long").alias("safe"))
 
 
-@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0")
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")).where(F.col("k") % 2 == 0)
+    """A field of each payload, read from its variant; what is no JSON has none."""
+    return _t(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
-@_query("SELECT page_id, h AS heading, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-3][^>]*>([^<]*)</h[1-3]>', 1)) AS h FROM pages) GROUP BY 1, 2")
+@_query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#x27;?', '''', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS heading, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-3][^>]*>([^<]*)</h[1-3]>', 1)) AS h FROM pages) GROUP BY 1, 2")
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h[1-3][^>]*>([^<]*)</h[1-3]>"), F.lit(1))).alias("heading"))
-    return df.groupBy("page_id", "heading").agg(F.count("*").alias("n"))
+    """Headings and how often a page has them, by the engine's elements."""
+    elements = W.elements_of(_t(spark, sf_dir, "pages"), "page_id", "html")
+    inside = W.boxes(elements, F.col("tag").isin("h1", "h2", "h3"), F.lit(True), "box").where("box is not null")
+    told = inside.groupBy("page_no", "box").agg(W.squeezed(W.text_of()).alias("heading"))
+    return told.groupBy(F.col("page_no").alias("page_id"), "heading").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT page_id, count(*) AS links, count(DISTINCT h) AS targets FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h FROM pages) GROUP BY 1")
+@_query("SELECT page_id, CAST(len(h) AS BIGINT) AS links, CAST(len(list_distinct(h)) AS BIGINT) AS targets FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages)")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("h")).where(F.size("h") > 0)
-    return df.select("page_id", F.size("h").cast("long").alias("links"), F.size(F.array_distinct("h")).cast("long").alias("targets"))
+    """Links of every page, by the engine's elements."""
+    pages = _t(spark, sf_dir, "pages")
+    found = W.elements_of(pages, "page_id", "html").where("tag = 'a' and href is not null").groupBy(F.col("page_no").alias("page_id")).agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"))
+    return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("targets", F.lit(0)).alias("targets"))
 
 
 @_query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked_at FROM conversations")

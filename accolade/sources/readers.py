@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from accolade.functions import text as T
+from accolade.functions.dom import Node, numbered, parse
 from accolade.sources import fixed, pages
 
 _PAGE = ["page_no", "digest", "source_key", "page_role", "page_url", "config_ord", "page_ord"]
@@ -25,6 +26,30 @@ _STATUS_END = r"(?isU)^(.+?)\s+(Winner|Nominee)\s*$"
 _STATUSES = {"winner": "Winner", "nominee": "Nominee"}
 
 
+#: What is told of each element and text of a page.
+ELEMENT = {"pre": pa.int32(), "post": pa.int32(), "tag": pa.string(), "classes": pa.list_(pa.string()), "href": pa.string(), "text": pa.string()}
+ELEMENT_SQL = "pre int, post int, tag string, classes array<string>, href string, text string"
+
+
+def element_columns(html: str) -> dict[str, list]:
+    """The columns of ELEMENT for what stands on a page, in its order."""
+    found = numbered(parse(html))
+    told = lambda f: [f(x) if isinstance(x, Node) else None for _, _, x in found]
+    return {"pre": [a for a, _, _ in found], "post": [b for _, b, _ in found], "tag": told(lambda x: x.tag), "classes": told(lambda x: x.classes), "href": told(lambda x: x.attrs.get("href")), "text": [x if isinstance(x, str) else None for _, _, x in found]}
+
+
+def elements_of(df: DataFrame, page_no: str, html: str) -> DataFrame:
+    """(page_no, elements) of any pages, page_no telling them apart; a null page has none."""
+
+    def run(batches):
+        for batch in batches:
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                columns = element_columns(text.as_py() or "")
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(columns["pre"]), batch.schema.field(0).type), *[pa.array(columns[k], t) for k, t in ELEMENT.items()]], ["page_no", *ELEMENT])
+
+    return df.select(page_no, html).mapInArrow(run, f"page_no {df.schema[page_no].dataType.simpleString()}, {ELEMENT_SQL}")
+
+
 def _up_to(end: int) -> WindowSpec:
     """A page's rows from the first to the `end`-th from here."""
     return Window.partitionBy("page_no").orderBy("pre").rowsBetween(Window.unboundedPreceding, end)

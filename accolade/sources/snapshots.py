@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accolade.functions.dom import Node, numbered, parse
 from accolade.operators.rounds import list_ranks
 from accolade.sources import fixed, pages, readers
 from accolade.sources.shared import Kept
@@ -153,14 +152,13 @@ def _reader(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, (_PLACE | _FIELDS)[k]) for k, v in columns.items()], list(columns))
 
 
-_ELEMENT = {"pre": pa.int32(), "post": pa.int32(), "tag": pa.string(), "classes": pa.list_(pa.string()), "href": pa.string(), "text": pa.string()}
 _OF_PAGE = {"page_no": pa.int64(), "category": pa.string()} | {k: t for k, t in _PLACE.items() if k != "rec_ord"}
-ELEMENTS = ", ".join(f"{k} {'bigint' if t == pa.int64() else _SQL[t]}" for k, t in (_OF_PAGE | _ELEMENT).items())
+ELEMENTS = ", ".join(f"{k} {'bigint' if t == pa.int64() else _SQL[t]}" for k, t in (_OF_PAGE | readers.ELEMENT).items())
 
 
 def _elements(batches):
     """What stands on usable pages, one row an element or text: a page's place, and where an element begins and ends."""
-    kinds = _OF_PAGE | _ELEMENT
+    kinds = _OF_PAGE | readers.ELEMENT
     for batch in batches:
         for s in batch.to_pylist():
             try:
@@ -170,9 +168,8 @@ def _elements(batches):
             if not isinstance(text, str):
                 continue
             page = {"page_no": s["page_no"], "category": s["category_key"], "digest": s.get("digest"), "source_key": s["source_key"], "page_role": s["page_role"], "page_url": s["url"], "config_ord": at, "page_ord": s["page_ord"] or 0}
-            found = numbered(parse(text))
-            node = lambda f: [f(x) if isinstance(x, Node) else None for _, _, x in found]  # noqa: B023, E731
-            columns = {k: [v] * len(found) for k, v in page.items()} | {"pre": [a for a, _, _ in found], "post": [b for _, b, _ in found], "tag": node(lambda x: x.tag), "classes": node(lambda x: x.classes), "href": node(lambda x: x.attrs.get("href")), "text": [x if isinstance(x, str) else None for _, _, x in found]}
+            found = readers.element_columns(text)
+            columns = {k: [v] * len(found["pre"]) for k, v in page.items()} | found
             yield pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], list(kinds))
 
 
