@@ -24,12 +24,12 @@ def data(tmp_path_factory):
     c.sql("CREATE TABLE supplier AS SELECT i AS s_suppkey, 'S' || i AS s_name FROM range(40) t(i)")
     c.sql("CREATE TABLE part AS SELECT i AS p_partkey, ['red ring', 'blue box', 'old: pin'][i % 3 + 1] AS p_name, 'Brand#' || (i % 25 + 1) AS p_brand, ['ECONOMY', 'STANDARD', 'PROMO'][i % 7 % 3 + 1] AS p_type, (i * 7 % 50 + 1)::INT AS p_size FROM range(120) t(i)")
     c.sql("CREATE TABLE orders AS SELECT i AS o_orderkey, i * 13 % 30 AS o_custkey, ['O', 'F', 'P'][i % 3 + 1] AS o_orderstatus, TIMESTAMP '1995-01-01' + to_days((i * 37 % 2400)::INT) AS o_orderdate, (i % 5) || '-X' AS o_orderpriority FROM range(400) t(i)")
-    c.sql("CREATE TABLE lineitem AS SELECT i // 3 AS l_orderkey, i * 11 % 120 AS l_partkey, i * 17 % 40 AS l_suppkey, (i % 3 + 1)::INT AS l_linenumber, (i * 31 % 1000) / 4.0 AS l_extendedprice, ['A', 'R', 'N'][i % 5 % 3 + 1] AS l_returnflag, TIMESTAMP '1996-01-01' + to_days((i * 7 % 2000)::INT) AS l_shipdate FROM range(1200) t(i)")
+    c.sql("CREATE TABLE lineitem AS SELECT i // 3 AS l_orderkey, i * 11 % 120 AS l_partkey, i * 17 % 40 AS l_suppkey, (i % 3 + 1)::INT AS l_linenumber, (i * 31 % 1000) / 4.0 AS l_extendedprice, ['A', 'R', 'N'][i % 5 % 3 + 1] AS l_returnflag, TIMESTAMP '1996-01-01' + to_days((i * 7 % 2000)::INT) AS l_shipdate, ['O', 'F'][i % 2 + 1] AS l_linestatus FROM range(1200) t(i)")
     c.sql("CREATE TABLE events AS SELECT i AS event_id, i * 7 % 12 AS user_id, ['click', 'View', 'error'][i % 3 + 1] AS event_type, '{\"k\": ' || i || '}' AS props FROM range(200) t(i)")
     c.sql("CREATE TABLE documents AS SELECT i AS doc_id, ['a  B', 'a b', 'c\nd', ' C D '][i % 4 + 1] || (i // 8) AS text, CASE WHEN i % 3 > 0 THEN 'en' END AS lang FROM range(60) t(i)")
     c.sql("CREATE TABLE pages AS SELECT i AS page_id, 'http' || CASE WHEN i % 2 = 0 THEN 's' ELSE '' END || '://H' || (i % 9) || '.example.com/x?q=' || i AS url, '<h1>T' || (i % 2) || '</h1><h2 class=\"a\">U</h2><a href=\"/a\">x</a><a href=\"/' || i || '\">y</a>' AS html FROM range(40) t(i)")
     c.sql("CREATE TABLE labels AS SELECT i * 2 AS doc_id, (i % 2)::INT AS quality FROM range(20) t(i)")
-    c.sql("CREATE TABLE conversations AS SELECT i // 4 AS conv_id, i % 4 AS turn, ['system', 'user', 'assistant', 'assistant'][i % 4 + 1] AS role FROM range(40) t(i)")
+    c.sql("CREATE TABLE conversations AS SELECT i // 4 AS conv_id, i % 4 AS turn, ['system', 'user', 'assistant', 'assistant'][i % 4 + 1] AS role, CASE WHEN i % 13 > 0 THEN repeat('x', (i * 5 % 23)::INT) END AS text FROM range(40) t(i)")
     for t in TABLES:
         c.sql(f"COPY {t} TO '{folder}/{t}.parquet' (FORMAT parquet)")
     return str(folder), c
