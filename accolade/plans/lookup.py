@@ -42,16 +42,17 @@ _series, _slugs, _casefold = T.text_column(T.series_name), T.list_column(T.slugs
 class Report:
     """results (RESULT, decision, reason, preselected) and failures (query_id, source_ord, source_name, error_type, message).
 
-    Where matches were stored (progress was asked for, or `once`), both read them there, until `free` deletes them.
+    Both read stored tables: those of archives opened for this lookup, and matches where they were stored (progress was asked for, or `once`).
+    `free` deletes them when results and failures have been read.
     """
 
     results: DataFrame
     failures: DataFrame
-    kept: Kept | None = None
+    stored: tuple[Callable[[], None], ...] = ()
 
     def free(self) -> None:
-        if self.kept:
-            self.kept.free_all()
+        for delete in self.stored:
+            delete()
 
 
 def clean_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -364,7 +365,8 @@ def lookup_awards(requests: DataFrame, snapshots: DataFrame | Archives, full_his
     breaks the contract of results. on_progress hears (0, n, None), then each source when its results have been computed; they are
     stored for that, as they are with `once`, so results and failures are read from one computation.
     """
-    archives = snapshots if isinstance(snapshots, Archives) else Archives(snapshots, full_history, sources)
+    own = not isinstance(snapshots, Archives)
+    archives = Archives(snapshots, full_history, sources) if own else snapshots
     requests, unusable = clean_requests(requests)
     tell, count = on_progress or (lambda *_: None), len(archives.sources)
     kept = Kept(requests.sparkSession, "lookup") if on_progress or once else None
@@ -390,4 +392,4 @@ def lookup_awards(requests: DataFrame, snapshots: DataFrame | Archives, full_his
         empty = requests.limit(0).select("query_id", *[F.lit(None).cast("int" if c in ("source_ord", "result_ord", "award_year", "rank") else "string").alias(c) for c in RESULT[1:]])
         results.append(empty)
     assessed = assess(union(results))
-    return Report(assessed.withColumn("preselected", F.col("decision") == "QUALIFIES"), union(failures), kept)
+    return Report(assessed.withColumn("preselected", F.col("decision") == "QUALIFIES"), union(failures), (*([kept.free_all] if kept else []), *([archives.close] if own else [])))

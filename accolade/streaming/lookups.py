@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from accolade.plans.lookup import Archives, lookup_awards
 
@@ -16,11 +16,12 @@ def stream_lookups(requests: DataFrame, snapshots: DataFrame | Archives, out: st
     """Writes results and failures of every batch to out/results and out/failures, under the batch's number.
 
     Snapshots are read and checked once, before the first batch; Archives that were opened before are used as they are. A batch's
-    matches are computed once, for its results and its failures.
+    matches are computed once, for its results and its failures. Archives opened here are closed when the query ends.
     A batch that runs again after a failure overwrites its own folder only, so results are there exactly once.
     """
 
-    archives = snapshots if isinstance(snapshots, Archives) else Archives(snapshots, full_history)
+    own = not isinstance(snapshots, Archives)
+    archives = Archives(snapshots, full_history) if own else snapshots
 
     def run(batch: DataFrame, number: int) -> None:
         report = lookup_awards(batch, archives, once=True)
@@ -31,4 +32,27 @@ def stream_lookups(requests: DataFrame, snapshots: DataFrame | Archives, out: st
             on_batch(number)
 
     writer = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if own:
+        requests.sparkSession.streams.addListener(_Closer(archives, query))
+    return query
+
+
+class _Closer(StreamingQueryListener):
+    """Closes the archives of a query when it ends, however it does."""
+
+    def __init__(self, archives: Archives, query: StreamingQuery):
+        self.archives, self.id, self.session = archives, str(query.id), archives.pages.sparkSession
+        if not query.isActive:  # it ended before anyone listened
+            archives.close()
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) == self.id:
+            self.archives.close()
+            self.session.streams.removeListener(self)

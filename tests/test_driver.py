@@ -1,8 +1,10 @@
 """The driver's entry points, the analogues against DuckDB on a small data folder, and streamed lookups."""
 
+import glob
 import importlib
 import random
 import sys
+import time
 
 import duckdb
 import pytest
@@ -65,6 +67,8 @@ def test_streamed_lookups(spark, tmp_path):
     from accolade.sources.snapshots import SNAPSHOT, snapshot_of
     from accolade.streaming.lookups import REQUEST, stream_lookups
 
+    there = lambda: glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/rounds/archives-*")
+    before = set(there())
     page = '<a href="/prize-winners-by-year/1990">1990</a><h2>Low Tide, by Ann Ode (Press)</h2>'
     snapshots = spark.createDataFrame([snapshot_of("pulitzer", "category", c, 0, u, page) for c, u in fixed.PULITZER_CATEGORIES], SNAPSHOT)
     spark.createDataFrame([(1, "Low Tide", "Ann Ode", None), (2, "Other", "Ann Ode", None), (3, " ", "Ann Ode", None)], REQUEST).coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -75,4 +79,10 @@ def test_streamed_lookups(spark, tmp_path):
     assert sorted((r["query_id"], r["category"], r["award_year"], r["decision"]) for r in got) == [(1, "Fiction", 1990, "QUALIFIES"), (1, "Novel", 1990, "QUALIFIES")]
     failures = spark.read.parquet(f"{tmp_path}/out/failures").collect()
     assert [f["message"] for f in failures if f["query_id"] == 3] == [fixed.BLANK_FIELD.format(field="title")]
+    # The archives that the stream opened for itself are deleted when it has ended.
+    for _ in range(100):
+        if set(there()) <= before:
+            break
+        time.sleep(0.2)
+    assert set(there()) <= before
     assert sorted(f["source_name"] for f in failures if f["query_id"] == 1) == sorted(n for k, n in fixed.SOURCES if k != "pulitzer")
