@@ -13,7 +13,7 @@ are the same as a plain lower-casing and one regular expression; any other chara
 sends the text through the library's own normaliser and pre-tokeniser.
 
 Defined cases: a null text is empty and has no tokens; special tokens written in a text become
-their ids, as the library does; repeated rows and further columns do not matter.
+their ids, as the library does; an empty table gives an empty result; repeated rows and further columns do not matter.
 """
 
 from __future__ import annotations

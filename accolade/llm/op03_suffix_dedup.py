@@ -11,8 +11,8 @@ prefixes are built column-wise: in each round every string gives one more symbol
 to its start. A round reads transform and prefixes once from front to back: counts of the symbols
 passed tell where the new suffixes go (the last-to-first mapping), and the least prefix since a symbol's last
 occurrence gives theirs; then it writes both anew with the new rows put in. Both are one
-sequence, which is a buffer in memory up to a fixed size and a sequential file in the folder that the cluster shares beyond it, so a
-construction's memory does not grow with its block. Neighbours that share `length` bytes or more
+sequence, which is a buffer in memory up to a fixed size and a sequential file in the folder that the cluster shares beyond it. The strings
+of a block and the flags of its suffixes are held in memory, which the size of a block bounds. Neighbours that share `length` bytes or more
 repeat, and walking the mapping takes them back to places in the texts.
 
 A hash that very many different segments share is not left to one task: its segments are cut once more by longer

@@ -3,6 +3,10 @@
 Languages that cannot be told go; repeated lines go, and documents that held nothing else; of each
 group of near duplicates the smallest doc_id stays; sources are mixed to their target weights; what
 is left is encoded.
+
+Defined cases: a null or blank text, which has no language, goes in the first stage; so do no others for their nulls (source and lang may be
+null in any row); rows that repeat a doc_id are documents of their own until their texts are near duplicates; equal rows are near duplicates;
+an empty table gives no rows in any stage; further columns stay up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,7 +71,8 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("bpe", bpe)]
 
-#: A random field, an edit join and a tokenizer have no SQL; tests hold the pipeline against a brute-force version.
+#: A random field, an edit join and a tokenizer have no SQL; each of these operators is tested against a brute-force version, and the
+#: pipeline on planted documents, stage by stage.
 ORACLE_SQL = None
 
 

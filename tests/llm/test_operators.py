@@ -185,6 +185,7 @@ def test_bpe_matches_library(spark, texts):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    assert op02_bpe.encode_documents(frame(spark, docs).limit(0)).count() == op02_bpe.decode_documents(got.limit(0)).count() == 0
     decoded = op02_bpe.decode_documents(got.where("doc_id = 3")).first()["decoded"]
     assert decoded == library.decode(library.encode("One two", add_special_tokens=False).ids, skip_special_tokens=False)
     small = op02_bpe.Codec(op02_bpe.default_path(), leaf=8)
@@ -726,3 +727,13 @@ def test_pipeline(spark, tmp_path, texts):
     codec = op02_bpe.codec(op02_bpe.default_path())
     want = sorted((d, len(codec.encode(dict((x[0], x[1]) for x in docs)[d])) // 4) for d, n in ids["mixing"].items() for _ in range(n))
     assert rows(out, "doc_id", "n_tokens") == sorted(want, key=repr)
+
+
+def test_pipeline_of_an_empty_table_and_of_blanks(spark, tmp_path):
+    import corpus_pipeline
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, docs in (("none", []), ("blank", [(1, None, "en", None, 0), (1, " ", None, "s", 1), (None, "12 34", "en", "s", 5)])):
+        spark.createDataFrame(docs, shape).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.count() == 0 and {"doc_id", "n_tokens"} <= set(out.columns)
