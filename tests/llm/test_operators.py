@@ -621,6 +621,27 @@ def test_line_dedup_clashing_columns_tiles_and_digests(spark, monkeypatch):
     assert sum(w[3] for w in want) >= 5
 
 
+def test_line_dedup_sends_only_keys_that_meet(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(18)
+    alone = ["".join(r.choice("abcdefghij ") for _ in range(r.choice([40, 150, 400]))) + "." for _ in range(300)]
+    pairs = [(x, x[:20] + "#" + x[21:]) for x in alone[:5]]
+    docs = [(i, x) for i, x in enumerate(alone)] + [(1000 + i, y) for i, (_, y) in enumerate(pairs)]
+    keyed = frame(spark, docs).select("text")
+    entries = sum(len(x) // 20 + 1 for _, x in docs)
+    met, kept = op08_line_dedup._meeting_keys(keyed, entries, 6, 16, 2, 20)
+    sent = met.agg(F.sum(F.length("packed"))).first()[0] // op08_line_dedup._KEYED
+    assert 5 <= sent < entries // 10
+    op08_line_dedup.drop_stored(*kept)
+    # Tables of the least size, so that keys are dealt over four rounds.
+    monkeypatch.setattr(op08_line_dedup, "_MOST_BLOCKS", 0)
+    monkeypatch.setattr(op08_line_dedup, "_MOST_ROUNDS", 2)
+    monkeypatch.setattr(op08_line_dedup, "_ENTRY_BITS", 1 << 14)
+    got = op08_line_dedup.dedup_lines(frame(spark, docs))
+    assert [x["doc_id"] for x in got.where("n_near > 0").orderBy("doc_id").collect()] == [1000 + i for i in range(5)]
+
+
 def test_language_field(spark):
     r = random.Random(8)
     vocabulary = {lang: [a + b for a in start for b in end] for lang, start, end in (("aa", ["ka", "to", "mi", "ru"], ["ling", "sto", "ve"]), ("bb", ["ez", "oq", "ul", "yi"], ["ción", "ar", "ñe"]), ("cc", ["schn", "br", "gl", "pf"], ["ung", "heit", "öß"]))}
