@@ -6,8 +6,8 @@ driver, and a lost executor costs the tasks of one round. The driver sees counts
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accolade.sources.shared import Kept, small
@@ -52,18 +52,18 @@ def safe_on(left: str, right: str, names: list[str]) -> list[Column]:
     return [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names]
 
 
-def _greedy(order: list[str]):
-    """Takes the records of a group in order unless a key of theirs is taken; what is left out takes none."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group, taken, fresh = group.sort_values(order, na_position="first"), set(), []
-        for keys in group["_keys"]:
+def _greedy(batches):
+    """Takes the records of each group in order unless a key of theirs is taken; what is left out takes none. `_first` begins a group."""
+    taken = set()
+    for batch in batches:
+        fresh = []
+        for first, keys in zip(batch.column("_first").to_pylist(), batch.column("_keys").to_pylist(), strict=True):
+            if first:
+                taken = set()
             fresh.append(taken.isdisjoint(keys))
             if fresh[-1]:
                 taken.update(keys)
-        return group.loc[fresh, ["_row"]]
-
-    return run
+        yield batch.select(["_row"]).filter(pa.array(fresh, pa.bool_()))
 
 
 def first_fit(records: DataFrame, group: list[str], order: list[str], keys: str, local_rows: int | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def first_fit(records: DataFrame, group: list[str], order: list[str], keys: str,
     count; null is a group, and comes first in an order. Of records with equal places in the order the first one as stored counts first.
 
     This is the lexicographically first maximal independent set of the graph in which records of a group with a common key are
-    neighbours. Groups of at most `local_rows` undecided records are settled by one task each. A larger one is settled in
+    neighbours. A group of at most `local_rows` undecided records is settled in one task, which walks all of its groups in one pass. A larger one is settled in
     rounds over (record, key) pairs, never over pairs of records: a record that is first at each of its keys is taken, all that
     hold one of its keys are out, and what is undecided goes on until its group is small. Each round decides the first record of
     each group with all holders of its keys, so a key that all records of a group hold takes one round.
@@ -84,13 +84,15 @@ def first_fit(records: DataFrame, group: list[str], order: list[str], keys: str,
     own = F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
     narrow = base.select(*group, *[c for c in order if c not in group], "_row", own.alias("_keys"))
     free = F.coalesce(F.size("_keys") <= 0, F.lit(True))
+    in_group = Window.partitionBy(*group).orderBy(*order, "_row")
     taken, open_, before = [narrow.where(free).select("_row")], narrow.where(~free), []
     while True:
         crowded = kept(open_.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*group))
         n = crowded.count()
         side = small(crowded, n, 128).alias("l")
         quiet = open_.alias("o").join(side, safe_on("o", "l", group), "left_anti") if n else open_
-        taken.append(kept(quiet.groupBy(*group).applyInPandas(_greedy([*order, "_row"]), "_row long")))
+        placed = quiet.withColumn("_first", F.row_number().over(in_group) == 1).select("_row", "_keys", "_first")
+        taken.append(kept(placed.mapInArrow(_greedy, "_row long")))
         if not n:
             break
         busy = kept(open_.alias("o").join(side, safe_on("o", "l", group), "left_semi"))

@@ -67,6 +67,19 @@ def test_merge_of_a_hot_group(spark):
     assert {x["o"] for x in got} == {1} | {i for i in range(0, 100_000, 6)}
 
 
+def test_merge_of_many_small_groups(spark, monkeypatch):
+    """Groups cost no call each: a task walks its groups in one pass."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    def called(*_):
+        raise AssertionError("a call for each group")
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", called)
+    df = spark.range(90_000).selectExpr("nullif(id % 30000, 7) AS g", "id AS o", "array(concat('k', id div 60000), null) AS keys").repartition(3)
+    got = R.first_fit(df, ["g"], ["o"], "keys").select("o").collect()
+    assert sorted(x["o"] for x in got) == sorted([*range(30_000), *range(60_000, 90_000)])
+
+
 @pytest.mark.parametrize("share", [10_000, 3])
 def test_containment(spark, share):
     r = random.Random(share)
