@@ -19,9 +19,10 @@ def contains_all(inner: Column, outer: Column) -> Column:
     return F.coalesce((F.size(inner) > 0) & (F.size(F.array_except(inner, outer)) == 0), F.lit(False))
 
 
-def _signature(members: Column) -> Column:
-    """64 bits of a set such that a subset's bits are among its superset's."""
-    return F.aggregate(members, F.lit(0).cast("long"), lambda bits, m: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(m), F.lit(64)).cast("int"))))
+def _signature(hashes: Column, word: int) -> Column:
+    """64 of 128 bits of a set, from its members' hashes, such that a subset's bits are among its superset's."""
+    bit = lambda h: F.when(h % 2 == 0 if word == 0 else h % 2 != 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 1), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
 
 
 def containment_join(queries: DataFrame, records: DataFrame, query_id: str, record_id: str, asked: str, held: str, share_rows: int | None = None) -> DataFrame:
@@ -30,8 +31,8 @@ def containment_join(queries: DataFrame, records: DataFrame, query_id: str, reco
     Records without members match nothing, null members do not count, and equal rows give a pair once.
 
     Records with the same members are one set. A set stands in the index once, under its rarest member, so a query that asks for each
-    of its own members meets each set at most once, and the sets it meets share a member that few sets have. A 64-bit
-    signature drops most of what does not fit before arrays are compared. Where very many sets share their rarest member, its
+    of its own members meets each set at most once, and the sets it meets share a member that few sets have. What a query sends to
+    each of its members is its number and a 128-bit signature, which drops most sets that do not fit; its array goes once, to the sets that are left. Where very many sets share their rarest member, its
     entries are dealt over shares and the queries that ask for it look into each, so no task holds all of them.
     """
     most = SHARE_ROWS if share_rows is None else share_rows
@@ -41,20 +42,28 @@ def containment_join(queries: DataFrame, records: DataFrame, query_id: str, reco
     sets = kept(rows.select("_held").distinct().withColumn("_set", F.monotonically_increasing_id()))
     common = sets.select(F.explode("_held").alias("_m")).groupBy("_m").agg(F.count(F.lit(1)).alias("_n"))
     rare = sets.select("_set", F.explode("_held").alias("_m")).join(common, "_m").groupBy("_set").agg(F.min(F.struct("_n", "_m")).alias("_r")).select("_set", F.col("_r._m").alias("_m"))
-    entries = kept(sets.join(rare, "_set").withColumn("_bits", _signature(F.col("_held"))))
+    words, hashes = (0, 1), lambda c: F.transform(c, lambda m: F.xxhash64(m))
+    entries = kept(sets.join(rare, "_set").withColumns({f"_bits{w}": _signature(hashes("_held"), w) for w in words}))
+    named = kept(rows.join(sets, "_held").select(record_id, "_set"))
+    kept.free(rows, sets)
     shares = entries.groupBy("_m").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_shares"))
     crowded = kept(shares.where("_shares > 1"))
     n = crowded.count()
-    probes = queries.select(query_id, clean(F.col(asked)).alias("_asked")).where("size(_asked) > 0").distinct()
-    probes = probes.withColumn("_all", _signature(F.col("_asked"))).withColumn("_m", F.explode("_asked"))
+    # Signatures are stored: beside an explode they would be computed for each of its rows.
+    asks = queries.select(query_id, clean(F.col(asked)).alias("_asked")).where("size(_asked) > 0").distinct().withColumn("_q", F.monotonically_increasing_id())
+    asks = kept(asks.withColumns({f"_all{w}": _signature(hashes("_asked"), w) for w in words}))
+    probes = asks.select("_q", F.col(query_id).alias("_id"), *[f"_all{w}" for w in words], F.explode("_asked").alias("_m"))
     if n:
         side = small(crowded, n, 64)
         entries = entries.join(side, "_m", "left").withColumn("_share", F.pmod(F.xxhash64("_set"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
         probes = probes.join(side, "_m", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
     on = ["_m", "_share"] if n else ["_m"]
-    fits = (F.col("_bits").bitwiseAND(F.col("_all")) == F.col("_bits")) & contains_all(F.col("_held"), F.col("_asked"))
-    found = probes.join(entries, on).where(fits).select(query_id, "_held")
-    return found.join(rows, "_held").select(query_id, record_id)
+    fits = [F.col(f"_bits{w}").bitwiseAND(F.col(f"_all{w}")) == F.col(f"_bits{w}") for w in words]
+    # A set of one member fits who asks for that member; only larger ones meet the query's array.
+    single = probes.join(entries.where("size(_held) = 1"), on).where(fits[0] & fits[1]).select(F.col("_id").alias(query_id), "_set")
+    several = probes.join(entries.where("size(_held) > 1"), on).where(fits[0] & fits[1]).select("_q", "_set", "_held")
+    several = several.join(asks.select("_q", query_id, "_asked"), "_q").where(contains_all(F.col("_held"), F.col("_asked"))).select(query_id, "_set")
+    return single.unionByName(several).join(named, "_set").select(query_id, record_id)
 
 
 # --- rules that hold over ranges of whole numbers ---

@@ -92,6 +92,17 @@ def test_containment(spark, share):
     assert M.containment_join(spark.createDataFrame([], "q int, m array<string>"), spark.createDataFrame(records, "n int, m array<string>"), "q", "n", "m", "m").count() == 0
 
 
+def test_containment_sends_each_query_once(spark):
+    """A query's array goes to the sets that are left, not to each of its members."""
+    queries = spark.range(40).selectExpr("id AS q", "sequence(id, id + 300) AS m")
+    records = spark.range(400).selectExpr("id AS n", "array(id, id + id % 3) AS m")
+    found = M.containment_join(queries, records, "q", "n", "m", "m")
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    sent = [above for above, line in zip(plan, plan[1:]) if "Generate explode(_asked" in line]
+    assert sent and not any("_asked" in x for x in sent)
+    assert {tuple(x) for x in found.collect()} == {(q, n) for q in range(40) for n in range(400) if q <= n and n + n % 3 <= q + 300}
+
+
 def _rules(spark, rows):
     return spark.createDataFrame(rows, "award string, category string, a int, b int, name string")
 
