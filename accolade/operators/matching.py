@@ -12,6 +12,8 @@ from accolade.sources.shared import Kept, small
 
 #: Entries of the index under one member that one share of them holds.
 SHARE_ROWS = 10_000
+#: More rules than this, of which one at most can hold, are looked up by a walk over sorted rules and numbers.
+WALKED_RULES = 20_000
 
 
 def contains_all(inner: Column, outer: Column) -> Column:
@@ -85,7 +87,7 @@ def _covering(first: Column, last: Column, bits: int) -> Column:
 
 @dataclass(frozen=True)
 class Rules:
-    """A checked table of rules: blocks has (keys, _level, _block, rule), rule being a struct of a rule's columns."""
+    """A checked table of rules: blocks has (keys, _level, _block, rule), rule being a struct of a rule's columns; a large one is walked instead."""
 
     blocks: DataFrame
     keys: list[str]
@@ -94,12 +96,34 @@ class Rules:
     high: int
     levels: list[int]
     rows: int
+    #: For a table that is walked: (keys, _part, _place, rule, _last, _open), a rule once for each part of 2^shift numbers that it reaches into.
+    walked: DataFrame | None = None
+    shift: int = 0
+
+    def _place(self, at: Column) -> Column:
+        # Bounds are one number further out on each side, so that what lies beyond all rules meets the open ones.
+        return (F.greatest(F.least(at, F.lit(self.high)), F.lit(self.low)) - self.low).cast("long")
+
+    def walked_to(self, points: DataFrame, at: str) -> DataFrame:
+        """looked_up() where one rule at most can hold: the last one that begins at or before the number in its part, if it has not ended.
+
+        A number that is unknown looks from the first place on, where only a rule open at both ends may be its own.
+        """
+        place = F.coalesce(F.when(F.col(at).isNotNull(), self._place(F.col(at))), F.lit(0).cast("long"))
+        asked = points.select(*self.keys, F.col(at).alias("_at"), place.alias("_place")).withColumn("_part", F.shiftright("_place", self.shift))
+        found = F.struct("rule", "_last", "_open").alias("_found")
+        rows = self.walked.select(*self.keys, "_part", "_place", F.lit(False).alias("_asks"), F.lit(None).cast(dict(points.dtypes)[at]).alias("_at"), found)
+        rows = rows.unionByName(asked.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+        walk = Window.partitionBy(*self.keys, "_part").orderBy("_place", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+        met = rows.withColumn("_found", F.last("_found", ignorenulls=True).over(walk)).where("_asks and _place <= _found._last and (_at is not null or _found._open)")
+        return met.select(*self.keys, F.col("_at").alias(at), F.col("_found.rule").alias("rule"))
 
     def looked_up(self, points: DataFrame, at: str) -> DataFrame:
         """(keys, at, rule) of the rules that hold for distinct (keys, at)."""
-        # Bounds are one number further out on each side, so that what lies beyond all rules meets the open ones.
-        place = F.greatest(F.least(F.col(at), F.lit(self.high)), F.lit(self.low)) - self.low
-        ancestors = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(place.cast("long"), k).alias("block")) for k in self.levels if k >= 0])
+        if self.walked is not None:
+            return self.walked_to(points, at)
+        place = self._place(F.col(at))
+        ancestors = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(place, k).alias("block")) for k in self.levels if k >= 0])
         unknown = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("block")))
         probes = points.select(*self.keys, at).withColumn("_at", F.explode(F.when(F.col(at).isNull(), unknown).otherwise(ancestors)))
         for k in self.any_keys:
@@ -118,7 +142,8 @@ def rules_table(rules: DataFrame, keys: list[str], first: str, last: str, any_ke
     could meet both: that is found here, before a row is matched. Numbers that are null meet rules open at both ends only.
 
     Overlaps are found by a sweep in order of first: a rule overlaps if it begins at or before the largest end of those before it. The
-    sweep has two levels, within blocks of numbers and over blocks, so a key with most of the rules is not in one task. A rule for any
+    sweep has two levels, within blocks of numbers and over blocks, so a key with most of the rules is not in one task. A large exclusive
+    table without any_keys is kept as it is, cut at parts of numbers so wide that rules and cuts are at most three times the rules; no blocks are made of it. A rule for any
     value and one for a value overlap if one begins within the other, which is the lookup of a point.
     """
     any_keys = any_keys or []
@@ -131,6 +156,16 @@ def rules_table(rules: DataFrame, keys: list[str], first: str, last: str, any_ke
     bits = max(1, (high - low).bit_length())
     bound = rules.select(*keys, F.struct(*rules.columns).alias("rule"), (F.coalesce(F.col(first), F.lit(low)) - low).cast("long").alias("_first"), (F.coalesce(F.col(last), F.lit(high)) - low).cast("long").alias("_last"))
     bound = kept(bound.withColumn("_open", F.col("_first").eqNullSafe(F.lit(0)) & F.col("_last").eqNullSafe(F.lit(high - low))))
+    if exclusive and not any_keys and n > WALKED_RULES:
+        spans = [F.sum(F.shiftright("_last", k) - F.shiftright("_first", k) + 1) for k in range(bits + 1)]
+        shift = next(k for k, total in enumerate(bound.agg(*[c.alias(f"_{k}") for k, c in enumerate(spans)]).first()) if total <= 3 * n)
+        parts = bound.withColumn("_part", F.explode(F.sequence(F.shiftright("_first", shift), F.shiftright("_last", shift))))
+        parts = parts.select(*keys, "_part", F.greatest("_first", F.shiftleft("_part", shift)).alias("_place"), "rule", "_last", "_open")
+        table = Rules(parts, keys, any_keys, low, high, [], n, parts, shift)
+        twice = _overlapping(bound, table, bits)
+        if twice is not None:
+            raise ValueError(f"rules overlap: {twice}")
+        return table
     unknown = F.when(F.col("_open"), F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("block")))).otherwise(F.array())
     covering = F.concat(_covering(F.col("_first"), F.col("_last"), bits), unknown)
     blocks = kept(bound.select(*keys, F.explode(covering).alias("_b"), "rule").select(*keys, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"), "rule"))
@@ -173,7 +208,7 @@ def with_rule(points: DataFrame, table: Rules, at: str) -> DataFrame:
     """points with `rule`, the rule that holds for a row's keys and number, or null; a row for each rule if the table is not exclusive.
 
     Rules are looked up once for each distinct (keys, number): a range becomes blocks, a number the blocks that
-    it lies in, and they meet in an equi-join. Rows then get their rule by an equi-join on what was looked up.
+    it lies in, and they meet in an equi-join (a large exclusive table is walked in order with the numbers instead). Rows then get their rule by an equi-join on what was looked up.
     """
     found = table.looked_up(points.select(*table.keys, at).distinct(), at)
     on = [*table.keys, at]

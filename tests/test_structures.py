@@ -134,6 +134,30 @@ def test_rules_over_ranges(spark):
     assert empty.where("rule is not null").count() == 0 and empty.count() == len(points)
 
 
+def test_many_exclusive_rules_are_walked(spark, monkeypatch):
+    """Numbers are not multiplied by levels: one row for each, and the rules of a key may be long, short, open or none."""
+    monkeypatch.setattr(M, "WALKED_RULES", 3)
+    r, rows = random.Random(8), []
+    for award in ("p", None, "q"):
+        at = r.randint(-50, 0)
+        while at < 400:
+            end = at + r.choice([0, 0, 1, 5, 40, 150])
+            rows.append((award, "x", at, end, f"{award}{at}"))
+            at = end + r.choice([1, 1, 3, 20])
+    rows += [("r", "x", None, 10, "r0"), ("r", "x", 12, None, "r2"), ("s", "x", None, None, "s0"), ("t", "x", -4, None, "t1")]
+    table = M.rules_table(_rules(spark, rows), ["award"], "a", "b")
+    points = [(r.choice(["p", "q", "r", "s", "t", "u", None]), r.choice([None, *range(-80, 480)])) for _ in range(900)]
+    asked = spark.createDataFrame(points, "award string, y int")
+    got = M.with_rule(asked, table, "y").collect()
+    assert len(got) == len(points)
+    for x in got:
+        want = [rule[4] for rule in rows if rule[0] == x["award"] and (rule[2] is None or x["y"] is not None and x["y"] >= rule[2]) and (rule[3] is None or x["y"] is not None and x["y"] <= rule[3])]
+        assert ([x["rule"]["name"]] if x["rule"] else []) == want, x
+    assert table.blocks.count() <= 3 * len(rows)
+    with pytest.raises(ValueError, match="overlap"):
+        M.rules_table(_rules(spark, [*rows, ("p", "x", 390, 391, "late"), ("p", "x", 391, 395, "later")]), ["award"], "a", "b")
+
+
 @pytest.mark.parametrize(("one", "other", "clash"), [
     (("p", "x", 1, 5), ("p", "x", 5, 9), True), (("p", "x", 1, 5), ("p", "x", 6, 9), False), (("p", "x", 1, 500), ("p", "x", 77, 78), True), (("p", "x", None, 5), ("p", "x", None, 2), True),
     (("p", None, 1, 5), ("p", "x", 3, 9), True), (("p", "x", 1, 5), ("p", None, 3, 3), True), (("p", "x", 1, 5), ("p", "y", 3, 3), False), (("p", None, 1, 5), ("q", "x", 3, 3), False), (("p", None, None, None), ("p", "x", 3, 3), True),
