@@ -621,6 +621,25 @@ def test_line_dedup_clashing_columns_tiles_and_digests(spark, monkeypatch):
     assert sum(w[3] for w in want) >= 5
 
 
+def test_line_dedup_passes_on_lines_not_pairs(spark, monkeypatch):
+    counts, stored = {}, op08_line_dedup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(op08_line_dedup, "stored", counted)
+    monkeypatch.setattr(op08_line_dedup, "_TILE", 40)
+    r = random.Random(19)
+    head = "".join(r.choice("abcdef") for _ in range(30))
+    # Anagrams behind one head: all share two segments and have equal counts, few are within two edits.
+    docs = [(i, head + "".join(r.sample("uvwxyzuvw", 9))) for i in range(100)] + [(200, head + "uvwxyzuv"), (201, head + "vwxyzuv")]
+    got = op08_line_dedup.dedup_lines(frame(spark, docs))
+    assert rows(got, "doc_id", "n_lines", "n_same", "n_near", "kept_text") == brute_lines(docs)
+    assert max(counts.values()) <= 8 * len(docs), counts
+
+
 def test_line_dedup_sends_only_keys_that_meet(spark, monkeypatch):
     from pyspark.sql import functions as F
 
