@@ -621,6 +621,37 @@ def test_line_dedup_clashing_columns_tiles_and_digests(spark, monkeypatch):
     assert sum(w[3] for w in want) >= 5
 
 
+def test_ngram_join_passes_on_pairs_that_may_reach_the_threshold(spark, monkeypatch):
+    passed, summed = [], op05_ngram_join._summed
+
+    def counted(partial, percent):
+        out = summed(partial, percent)
+        passed.append((partial.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(op05_ngram_join, "_summed", counted)
+    monkeypatch.setattr(op05_ngram_join, "_TILE", 16)
+    r = random.Random(23)
+    base = [f"w{i}" for i in range(100)]
+    docs = []
+    for i in range(60):  # near copies of one text, just below the threshold to most others
+        w = list(base)
+        for j in r.sample(range(5, 95), 3):
+            w[j] = f"x{r.randrange(10**9)}"
+        docs.append((i, " ".join(w)))
+    got = op05_ngram_join.ngram_components(frame(spark, docs))
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(96)} for d, t in docs}
+    root = {d: d for d in sets}
+    for x in sets:
+        for y in sets:
+            if x < y and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                low, high = sorted((root[x], root[y]))
+                root = {d: low if c == high else c for d, c in root.items()}
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == root
+    (rows_passed, pairs), = passed
+    assert rows_passed <= 2 * len(docs), passed
+
+
 def test_line_dedup_passes_on_lines_not_pairs(spark, monkeypatch):
     counts, stored = {}, op08_line_dedup.stored
 
