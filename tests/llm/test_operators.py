@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from accolade.llm import op01_fingerprints, op02_bpe, op03_suffix_dedup, op04_pii, op05_ngram_join, op06_mixing, op07_media, op08_line_dedup, op09_language_id, op10_warc
@@ -635,6 +637,32 @@ def test_line_dedup_clashing_columns_tiles_and_digests(spark, monkeypatch):
     assert sum(w[3] for w in want) >= 5
 
 
+def test_line_dedup_sends_few_rows_and_decides_repeats_where_they_are():
+    r = random.Random(21)
+    common = "A very common line that many documents hold."
+    texts = [f"{common}\n{i} " + "".join(r.choice("abcdefghij ") for _ in range(200)) for i in range(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array(range(i, i + 100)), pa.array(texts[i : i + 100])], ["doc_id", "text_hash", "text"]) for i in range(0, 3000, 100)]
+    sent = [(b, p) for x in op08_line_dedup._occurrences(1)(iter(batches)) for b, p in zip(x["block"].to_pylist(), x["packed"].to_pylist())]
+    seen = [np.frombuffer(p, op08_line_dedup._SEEN) for b, p in sent if b >= 0]
+    # The common line travels to its block once from this task; its later occurrences are decided.
+    assert sum(map(len, seen)) == 3001 and sum(len(p) for b, p in sent if b < 0) == 2999 * op08_line_dedup._SEEN.itemsize
+    found = pa.Table.from_batches(op08_line_dedup._firsts(iter([pa.RecordBatch.from_arrays([pa.array([b for b, _ in sorted(sent)]), pa.array([p for _, p in sorted(sent)], pa.binary())], ["block", "packed"])])))
+    assert found.num_rows == 6000 and sorted(found.filter(pc.equal(found["kind"], 1))["d"].to_pylist()) == list(range(1, 3000))
+    # Values of a table's blocks: few rows for each block, however many slices and rows they come from.
+    tables = list(op08_line_dedup._table_entries(16, 2, 20, 8, 0, 1)(iter(batches)))
+    assert sum(x.num_rows for x in tables) <= 8
+    probes = pa.RecordBatch.from_arrays([pa.array([i % 50 for i in range(3000)]), pa.array([r.randbytes(2 * op08_line_dedup._KEYED) for _ in range(3000)])], ["block", "packed"])
+    assert sum(x.num_rows for x in op08_line_dedup._wanted_values(8)(iter([probes.slice(i, 100) for i in range(0, 3000, 100)]))) <= 8
+
+
+def test_line_dedup_verifies_what_is_between_common_ends():
+    r = random.Random(22)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(2))
+        x, y = op08_line_dedup._between(a, b)
+        assert len(x) >= len(y) and (not y or (x[0] != y[0] and x[-1] != y[-1])) and edits(x, y) == edits(a, b)
+
+
 def test_ngram_join_passes_on_pairs_that_may_reach_the_threshold(spark, monkeypatch):
     passed, summed = [], op05_ngram_join._summed
 
