@@ -655,6 +655,29 @@ def test_line_dedup_sends_few_rows_and_decides_repeats_where_they_are():
     assert sum(x.num_rows for x in op08_line_dedup._wanted_values(8)(iter([probes.slice(i, 100) for i in range(0, 3000, 100)]))) <= 8
 
 
+def test_line_dedup_looks_at_few_bytes_at_once(monkeypatch):
+    import tracemalloc
+
+    r = random.Random(24)
+    lines = ["".join(r.choice("abcdé ") for _ in range(r.randint(0, 3000))) for _ in range(2000)]
+    raw, cuts = np.frombuffer("".join(lines).encode(), np.uint8), np.cumsum([0, *[len(x.encode()) for x in lines]])
+    tracemalloc.start()
+    counts = np.stack(op08_line_dedup._class_counts(raw, cuts[:-1], cuts[1:]), 1).view(np.uint8).reshape(-1, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i in range(0, 2000, 100):
+        c = Counter(op08_line_dedup._CLASS[b] for b in lines[i].encode())
+        assert counts[i].tolist() == [c[k] % 256 for k in range(16)]
+    assert len(raw) > 3 << 20 and peak < 20 << 20, peak
+    monkeypatch.setattr(op08_line_dedup, "_TILED", 40_000)
+    tiles = np.sort(np.array([r.randrange(60) for _ in lines]))
+    table = pa.table({"tile": tiles, "line_text": lines})
+    parts = list(op08_line_dedup._tiles(iter(table.to_batches(max_chunksize=300))))
+    assert pa.concat_tables(parts).equals(table) and len(parts) > 20
+    edges = [set(p["tile"].to_pylist()) for p in parts]
+    assert sum(map(len, edges)) == len(set(tiles.tolist()))
+
+
 def test_line_dedup_verifies_what_is_between_common_ends():
     r = random.Random(22)
     for _ in range(300):
